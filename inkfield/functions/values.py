@@ -15,6 +15,9 @@ DICT_SEEN = 1 << 8  # an object value itself, not a list of objects
 CONTAINER_SEEN = 1 << 9  # any list or object
 TOO_DEEP = 1 << 10  # nesting beyond the depth the expression was built for
 
+# Lists in lists that the kind of a list looks into.
+LIST_DEPTH = 3
+
 _SCALAR_BITS = {
     "BOOLEAN": BIT["boolean"],
     "BIGINT": BIT["long"],
@@ -34,7 +37,13 @@ def _with(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def kind_bits(v, depth: int = 4) -> Column:
+def _merge_items(acc: Column, b: Column) -> Column:
+    """Kind of a list so far, with one more item: the kind they share, else ``keyword``."""
+    mixed = F.lit(BIT["keyword"]).bitwiseOR(acc.bitwiseOR(b).bitwiseAND(F.lit(TOO_DEEP)))
+    return F.when(b == 0, acc).when((acc == 0) | (acc == b), b).otherwise(mixed)
+
+
+def kind_bits(v, depth: int = LIST_DEPTH) -> Column:
     """Bit of the value's kind, 0 for null and for empty or all-null lists.
 
     A list has the one kind its items share, else ``keyword``. ``TOO_DEEP`` is set when lists nest
@@ -44,38 +53,28 @@ def kind_bits(v, depth: int = 4) -> Column:
     kinds = F.create_map(*[F.lit(x) for kv in _SCALAR_BITS.items() for x in kv])
 
     def of_type(t: Column) -> Column:
-        name = F.regexp_extract(t, "^[A-Z_]+", 0)
         if depth > 0:
-            bits = F.array_distinct(
-                F.filter(
-                    F.transform(v.try_cast("array<variant>"), lambda x: kind_bits(x, depth - 1)),
-                    lambda b: b != 0,
-                )
-            )
-            deep = F.exists(bits, lambda b: b.bitwiseAND(TOO_DEEP) != 0)
-            of_list = _with(
-                bits,
-                lambda b: F.when(F.size(b) == 0, 0)
-                .when(F.size(b) == 1, b[0])
-                .otherwise(F.lit(BIT["keyword"]).bitwiseOR(F.when(deep, TOO_DEEP).otherwise(0))),
-            )
+            items = F.transform(v.try_cast("array<variant>"), lambda x: kind_bits(x, depth - 1))
+            of_list = F.aggregate(items, F.lit(0), _merge_items)
         else:
             of_list = F.lit(TOO_DEEP)
         return (
-            F.when(name == "ARRAY", of_list)
+            F.when(t.startswith("ARRAY"), of_list)
             .when(
-                name == "STRING",
+                t == "STRING",
                 F.when(is_iso_date(v.try_cast("string")), BIT["date"]).otherwise(BIT["string"]),
             )
             # An integer beyond 64 bits is held as a wide decimal without a fraction.
             .when(t.rlike(r"^DECIMAL\((19|2\d|3\d),0\)"), BIT["long"])
-            .otherwise(F.coalesce(F.try_element_at(kinds, name), F.lit(BIT["keyword"])))
+            .otherwise(
+                F.coalesce(F.try_element_at(kinds, F.regexp_extract(t, "^[A-Z_]+", 0)), F.lit(BIT["keyword"]))
+            )
         )
 
     return F.coalesce(_with(F.schema_of_variant(v), of_type), F.lit(0))
 
 
-def field_bits(v, depth: int = 4) -> Column:
+def field_bits(v, depth: int = LIST_DEPTH) -> Column:
     """``kind_bits`` with the marks that tell objects and containers apart."""
     v = col(v)
     t = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))

@@ -21,8 +21,11 @@ def join_key(df: DataFrame, name: str) -> Column:
 
 
 def last_by_key(lookup: DataFrame, key: str, ordinal: str, as_: str = "__record") -> DataFrame:
-    """One record per key, the last in order; combined map-side, so a key held by many rows is cheap."""
-    record = F.struct(*[c for c in lookup.columns if c != ordinal or ordinal == key])
+    """One record per key, the last in order; combined map-side, so a key held by many rows is cheap.
+
+    The place ``_ordinal`` of a source is not part of its records.
+    """
+    record = F.struct(*[f"`{c}`" for c in lookup.columns if c != "_ordinal"])
     return (
         lookup.where(F.col(f"`{key}`").isNotNull())
         .groupBy(join_key(lookup, key).alias("__key"))

@@ -33,7 +33,7 @@ def _paths(v: Column, prefix: Column, depth: int) -> Column:
 
     def member(e: Column) -> Column:
         path = F.concat(prefix, F.array(e["key"]))
-        bits = V.field_bits(e["value"], depth)
+        bits = V.field_bits(e["value"])
         if depth == 0:
             deep = F.coalesce(F.schema_of_variant(e["value"]).startswith("OBJECT"), F.lit(False))
             bits = bits.bitwiseOR(F.when(deep, V.TOO_DEEP).otherwise(0))
@@ -58,12 +58,11 @@ def field_kinds(records: DataFrame, value: str = "v", depth: int = 3) -> DataFra
 
 def _collect_fields(records: DataFrame, value: str) -> list[tuple[tuple[str, ...], int]]:
     """Field list on the driver (as long as the schema, not the data); deeper data widens the depth."""
-    depth = 3
-    while True:
+    for depth in (3, 6, 12):
         rows = [(tuple(r["path"]), r["bits"]) for r in field_kinds(records, value, depth).collect()]
-        if not any(b & V.TOO_DEEP for _, b in rows) or depth > 24:
+        if not any(b & V.TOO_DEEP for _, b in rows):
             return rows
-        depth *= 2
+    raise ValueError("objects nest deeper than 12 levels, or lists deeper than 3")
 
 
 def infer_fields(records: DataFrame, value: str = "v", strict_dates: bool = False) -> list[Field]:

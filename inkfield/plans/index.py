@@ -45,6 +45,20 @@ def _saved(spark: SparkSession, folder: str) -> tuple[DataFrame | None, str | No
     return snapshots.load_state(spark, f"{folder}/build-{row['build']}/state"), f"{folder}/build-{row['build']}"
 
 
+def store_plan(plan: DataFrame, current: DataFrame, store: ChunkStore) -> DataFrame:
+    """The plan against what the store holds, which a failed build may have moved on from the saved state."""
+    build = plan.where("action = 'build'").select("path")
+    live = store.live()
+    if live is None:
+        return build.select("path", F.lit("build").alias("action"))
+    missing = current.join(live, "path", "left_anti").select("path")
+    gone = live.join(current, "path", "left_anti").select("path")
+    return (
+        build.unionByName(missing).distinct().select("path", F.lit("build").alias("action"))
+        .unionByName(gone.select("path", F.lit("drop").alias("action")))
+    )
+
+
 def is_fresh(spark: SparkSession, files: DataFrame, folder: str, force: bool = False) -> bool:
     """Whether a saved index can be used as it is: not forced, present, sources unchanged."""
     state, build = _saved(spark, folder)
@@ -76,8 +90,7 @@ def open_or_refresh(
     current = snapshots.collect_state(files)
     if not force and build is not None and not snapshots.changed(state, current):
         return DocumentIndex(store, ivf.load(spark, f"{build}/index"), False)
-    # What the store holds decides, so a batch written by a failed build is not built a second time wrongly.
-    plan = snapshots.rebuild_plan(state if build else None, current, force)
+    plan = store_plan(snapshots.rebuild_plan(state if build else None, current, force), current, store)
     chosen = files.join(plan.where("action = 'build'").select("path"), "path", "left_semi")
     batch = store.last_batch() + 1
     store.write_batch(batch, plan, chunk_and_embed(load_documents(chosen, pages), encoder))

@@ -82,8 +82,13 @@ def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v{version}")
 
 
-def create_table(spark: SparkSession, table: str, schema, *, drop_existing: bool = False) -> bool:
-    """Create, recreate or keep a table; True when it was made now. No columns is an error."""
+def create_table(
+    spark: SparkSession, table: str, schema, *, drop_existing: bool = False, path: str | None = None
+) -> bool:
+    """Create, recreate or keep a table; True when it was made now. No columns is an error.
+
+    With ``path`` the table's files lie there and outlive it.
+    """
     exists = spark.catalog.tableExists(table)
     if exists and drop_existing:
         spark.sql(f"DROP TABLE {table}")
@@ -92,7 +97,8 @@ def create_table(spark: SparkSession, table: str, schema, *, drop_existing: bool
         return False
     if not schema.fields:
         raise ValueError("no columns inferred from the records")
-    spark.createDataFrame([], schema).write.format("parquet").saveAsTable(table)
+    place = {"path": path} if path else {}
+    spark.createDataFrame([], schema).write.format("parquet").options(**place).saveAsTable(table)
     return True
 
 
