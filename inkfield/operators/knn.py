@@ -14,7 +14,7 @@ from inkfield import config
 from inkfield.functions import vectors as X
 from inkfield.operators import blocks as B
 from inkfield.operators.cells import build_cells
-from inkfield.operators.records import vector_dim
+from inkfield.operators.records import matrix_shape
 from inkfield.session import materialize
 
 # Queries up to this size travel to every task; beyond it they are joined.
@@ -110,9 +110,9 @@ def knn(
         raise ValueError(f"metric must be one of {METRICS}")
     q = plain(queries, query_id or id_, query_vector or vector)
     c = plain(corpus, id_, vector)
-    dim = vector_dim(q, "v")
+    n, dim = matrix_shape(q, "v")
     wanted = k + 1 if exclude_self else k
-    if q.count() * dim * 8 <= broadcast_bytes:
+    if n * dim * 8 <= broadcast_bytes:
         hits = scan_topk(c, q.toArrow(), dim, wanted, metric, q.schema["id"].dataType)
     else:
         hits = knn_join(c, q, dim, wanted, metric)
@@ -140,7 +140,7 @@ def knn_join(corpus: DataFrame, queries: DataFrame, dim: int, k: int, metric: st
     """
     reps = queries.groupBy("v").agg(F.min("id").alias("id"))
     reps = materialize(reps.select("id", "v"), "knn-queries")
-    distinct = first_copies(corpus, k)
+    distinct = materialize(first_copies(corpus, k), "knn-corpus")
     index = build_cells(distinct, dim, metric, pivots=pivots)
     near = materialize(index.search(reps, k, probes=1), "knn-near")
     bound = top_k(near, k).groupBy("query_id").agg(F.max("key").alias("kth"), F.count("*").alias("n"))
@@ -166,7 +166,7 @@ def similar_pairs(
     if threshold <= 0:
         raise ValueError("threshold must be positive: below it, the result is every pair")
     named = plain(rows, id_, vector)
-    dim = vector_dim(named, "v")
+    _, dim = matrix_shape(named, "v")
     reps = named.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     reps = materialize(reps.select("id", "v", "n"), "pair-reps")
     nonzero = reps.where(F.exists("v", lambda x: x != 0))

@@ -53,11 +53,11 @@ def vector_checks(df: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
-def vector_dim(df: DataFrame, vector: str = "embedding") -> int:
-    """The common dimension; empty sets, missing vectors and mixed lengths are errors."""
+def matrix_shape(df: DataFrame, vector: str = "embedding") -> tuple[int, int]:
+    """Number of vectors and their dimension; empty sets, missing vectors and mixed lengths are errors."""
     r = vector_checks(df, vector).first()
     if not r["n"]:
         raise ValueError("no vectors")
     if r["n_missing"] or r["min_dim"] != r["max_dim"] or not r["min_dim"]:
         raise ValueError(f"vectors do not form a matrix: dimensions {r['min_dim']}..{r['max_dim']}")
-    return r["min_dim"]
+    return r["n"], r["min_dim"]

@@ -26,53 +26,55 @@ def tokens_of(df: DataFrame, stream_id: Column | str, text: str = "text") -> Dat
     )
 
 
-def _runs(tokens: DataFrame, chunk_chars: int, block_tokens: int) -> DataFrame:
+def _runs(tokens: DataFrame, chunk_chars: int, soft_chars: int, block_tokens: int) -> DataFrame:
     """(stream_id, run, start, token): a stream cut into runs that can be segmented on their own.
 
-    Once a separator has been read, everything up to it has left the buffer, provided the text since the
-    separator before is too short for a full piece; so a run may start right behind that separator with
-    an empty buffer. This is seen from a block of tokens alone. The tokens before a block's first such
-    point belong to the run before. ``start`` is the token's character offset in its stream.
+    A run may start behind a token after which the buffer is empty whatever came before. Within a block of
+    tokens, the buffer is known to reach back at most to the last separator (``low``), and at least to the
+    last token that could have caused a cut (``high``). So it is empty after a token that ends with a
+    separator, and after one that closes a sentence that is long enough to be delivered, as long as no
+    full piece can have come between. The tokens before a block's first such point belong to the run
+    before. ``start`` is the token's character offset in its stream.
     """
     separator = "|".join(re.escape(s) for s in config.SEGMENT_SEPARATORS)
     t = tokens.withColumn("block", F.floor(F.col("seq") / block_tokens))
     by_seq = Window.partitionBy("stream_id", "block").orderBy("seq")
     upto = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = by_seq.rowsBetween(Window.unboundedPreceding, -1)
+    token = F.col("token")
+    # A separator may begin in the token before.
     before = F.coalesce(F.right(F.lag("token").over(by_seq), F.lit(1)), F.lit(""))
-    t = t.withColumn("before", before)
-    # Characters of the token up to the end of its last separator, which may begin in the token before.
-    reach = F.length(F.regexp_extract(F.concat("before", "token"), rf"(?s)\A.*(?:{separator})", 0)) - F.length("before")
-    t = t.withColumn("reach", reach).withColumn("pos", F.sum(F.length("token")).over(upto) - F.length("token"))
-    kept_from = F.max(F.when(F.col("reach") > 0, F.col("pos") + F.col("reach") - 1)).over(earlier)
-    t = t.withColumn("kept_from", kept_from)
-    safe = (F.col("reach") > 0) & (F.col("pos") + F.length("token") - F.col("kept_from") < chunk_chars)
+    t = t.withColumn("before", before).withColumn("end", F.sum(F.length("token")).over(upto))
+    inside = F.length(F.regexp_extract(F.concat("before", "token"), rf"(?s)\A.*(?:{separator})", 0)) - F.length("before")
+    low = F.max(F.when(inside > 0, F.col("end") - F.length("token") + inside - 1))
+    high = F.max(F.when(token.rlike(r"[.!?\n]"), F.col("end")))
+    # Other white space after a full stop can hold a sentence back.
+    odd = F.max(F.when(token.rlike(r"(?U)[\s\x1c-\x1f&&[^ \n\t]]"), F.col("end")))
+    t = t.select(
+        "stream_id", "block", "seq", "token", "end",
+        low.over(earlier).alias("low"), high.over(earlier).alias("high"), odd.over(upto).alias("odd"),
+    )
+    closes = (
+        token.rlike(r"\A[^.!?\n]*[.!?]+\z")
+        & (F.col("end") - F.col("high") > soft_chars)
+        & (F.col("odd").isNull() | (F.col("odd") <= F.col("low")))
+    )
+    safe = (token.rlike(rf"(?:{separator})\z") | closes) & (F.col("end") - F.col("low") < chunk_chars)
     blocks = t.groupBy("stream_id", "block").agg(
-        F.min(F.when(safe, F.struct("seq", "reach"))).alias("cut"), F.sum(F.length("token")).alias("chars")
+        F.min(F.when(safe, F.col("seq"))).alias("cut"), F.max("end").alias("chars")
     )
     by_block = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    has_cut = F.when(F.col("cut").isNotNull(), F.col("block"))
     blocks = blocks.select(
         "stream_id",
         "block",
         "cut",
         F.coalesce(F.sum("chars").over(by_block), F.lit(0)).alias("offset"),
-        F.coalesce(F.max(has_cut).over(by_block), F.lit(-1)).alias("run_before"),
-    )
-    t = t.join(blocks, ["stream_id", "block"]).withColumn("start", F.col("offset") + F.col("pos"))
-    at = F.col("cut.seq")
-    head = F.struct(
-        F.col("run_before").alias("run"),
-        F.col("start").alias("start"),
-        F.when(F.col("seq") == at, F.expr("left(token, cut.reach)")).otherwise(F.col("token")).alias("token"),
-    )
-    tail = F.struct(
-        F.col("block").alias("run"),
-        F.when(F.col("seq") == at, F.col("start") + F.col("cut.reach")).otherwise(F.col("start")).alias("start"),
-        F.when(F.col("seq") == at, F.expr("substring(token, cut.reach + 1)")).otherwise(F.col("token")).alias("token"),
+        F.coalesce(F.max(F.when(F.col("cut").isNotNull(), F.col("block"))).over(by_block), F.lit(-1)).alias("run_before"),
     )
-    rows = F.when(F.col("seq") == at, F.array(head, tail)).when(F.col("seq") > at, F.array(tail)).otherwise(F.array(head))
-    return t.select("stream_id", F.inline(rows)).where(F.col("token") != "")
+    t = t.select("stream_id", "block", "seq", "token", "end").join(blocks, ["stream_id", "block"])
+    run = F.when(F.col("seq") > F.col("cut"), F.col("block")).otherwise(F.col("run_before"))
+    start = F.col("offset") + F.col("end") - F.length("token")
+    return t.select("stream_id", run.alias("run"), start.alias("start"), "token")
 
 
 def segment(
@@ -88,7 +90,7 @@ def segment(
     runs where the state of the buffer is known.
     """
     chunk_chars, soft_chars = limits(chunk_chars, soft_chars)
-    rows = _runs(tokens.where(F.col("token") != ""), chunk_chars, block_tokens)
+    rows = _runs(tokens.where(F.col("token") != ""), chunk_chars, soft_chars, block_tokens)
     schema = T.StructType(
         [
             rows.schema["stream_id"],

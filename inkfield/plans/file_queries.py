@@ -81,7 +81,7 @@ from documents where doc_id % 4 < 3
 """)
 def document_load(spark, sf_dir):
     files = D.supported(_with_content(document_files(spark, sf_dir)))
-    docs = D.load_documents(files, line_pages)
+    docs = D.load_documents(files, line_pages, ordered=True)
     return docs.select("source", "type", F.md5("text").alias("text_md5"))
 
 
@@ -191,7 +191,7 @@ def _stream(df, name):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxBytesPerTrigger", 1 << 30).parquet(path)
 
 
 @query(PROMPT_SQL.format(turn=""))

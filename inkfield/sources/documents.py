@@ -173,8 +173,9 @@ def load_documents(
     max_pages: int = 0,
     extractor: str = "auto",
     cache_path: str | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
-    """Files of all types as documents: (source, type, text), ordered by source."""
+    """Files of all types as documents: (source, type, text); sorted by source when asked, which shuffles."""
     named = files.select("path", "modificationTime", "length", "content", "type")
     txt = named.where("type = 'txt'").select("path", "type", decode_text().alias("text"))
     docx = docx_text(named.where("type = 'docx'").select("path", "type", "content"))
@@ -184,13 +185,14 @@ def load_documents(
     else:
         pdf = pdf_text(pdfs.select("path", "type", "content"), pages or EXTRACTORS[extractor], max_pages)
     all_ = txt.unionByName(docx).unionByName(pdf)
-    return all_.select(F.col("path").alias("source"), "type", "text").orderBy("source")
+    docs = all_.select(F.col("path").alias("source"), "type", "text")
+    return docs.orderBy("source") if ordered else docs
 
 
 def read_documents(spark: SparkSession, folder: str, pages: PageExtractor | None = None, **options) -> DataFrame:
-    """All supported documents of a folder; none at all is an error."""
+    """All supported documents of a folder in order of their paths; none at all is an error."""
     files = list_files(spark, folder)
     if files.select("path").isEmpty():
         known = ", ".join(f".{s}" for s in sorted(config.DOCUMENT_SUFFIXES))
         raise ValueError(f"No supported files ({known}) found in {folder}")
-    return load_documents(files, pages, **options)
+    return load_documents(files, pages, **{"ordered": True, **options})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,39 +15,62 @@ from inkfield.functions.segment import feed, limits
 from inkfield.functions.text import is_blank, pystrip
 
 
+class InOrder:
+    """Rows of one key in order of their place 0, 1, 2, ..., whatever order they arrive in.
+
+    Rows that are early wait; with input in order nothing waits. A place that was passed is ignored, so
+    a row delivered twice counts once.
+    """
+
+    def __init__(self, place: int = 0, waiting: str = "[]"):
+        self.place = place
+        self.waiting = {row[0]: row[1:] for row in json.loads(waiting)}
+
+    def push(self, pdf: pd.DataFrame, place: str, columns: list[str]) -> Iterator[tuple]:
+        for row in zip(*(pdf[c].to_list() for c in [place, *columns])):
+            if row[0] >= self.place:
+                self.waiting[row[0]] = row[1:]
+        while self.place in self.waiting:
+            row = self.waiting.pop(self.place)
+            self.place += 1
+            yield row
+
+    def dump(self) -> str:
+        return json.dumps([[int(k), *v] for k, v in self.waiting.items()])
+
+
 def session_log(messages: DataFrame) -> DataFrame:
-    """Stream of (session_id, turn, role, text, reset) to a log: (session_id, epoch, seq, role, text).
+    """Stream of (session_id, turn, role, text[, reset]) to a log: (session_id, epoch, seq, role, text).
 
-    ``reset`` starts a new epoch, in which the history is empty; a reset row's own message, if any, belongs
-    to it. Assistant texts are stripped, and blank messages and unknown roles are not stored. The state of
-    a session is two numbers however long it gets; its history is the log, read with
-    ``conversation_prompts``. A session's messages within one micro-batch are put in order of ``turn``.
+    ``turn`` numbers a session's rows from 0. ``reset`` starts a new epoch, in which the history is empty;
+    the message of such a row belongs to it. Assistant texts are stripped; blank messages and unknown
+    roles take a turn but are not stored. The state of a session is three numbers and the rows that are
+    early, however long the session gets: its history is the log, read with ``conversation_prompts``.
     """
     text = F.when(F.col("role") == "assistant", pystrip("text")).otherwise(F.col("text"))
     reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in messages.columns else F.lit(False)
     rows = messages.select("session_id", "turn", "role", text.alias("text"), reset.alias("reset"))
-    store = F.col("role").isin(*config.ROLES) & ~is_blank("text")
-    rows = rows.withColumn("store", F.coalesce(store, F.lit(False))).where(F.col("store") | F.col("reset"))
+    rows = rows.withColumn("store", F.coalesce(F.col("role").isin(*config.ROLES) & ~is_blank("text"), F.lit(False)))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        epoch, seq = state.get if state.exists else (0, 0)
-        # As much as one micro-batch holds of one session.
-        pdf = pd.concat(list(batches)).sort_values("turn", kind="stable")
-        out = []
-        for role, content, again, keep in zip(pdf["role"], pdf["text"], pdf["reset"], pdf["store"]):
-            if again:
-                epoch, seq = epoch + 1, 0
-            if keep:
-                out.append((key[0], epoch, seq, role, content))
-                seq += 1
-        state.update((epoch, seq))
-        yield pd.DataFrame(out, columns=["session_id", "epoch", "seq", "role", "text"])
+        epoch, seq, place, waiting = state.get if state.exists else (0, 0, 0, "[]")
+        order = InOrder(place, waiting)
+        for pdf in batches:
+            out = []
+            for role, content, again, keep in order.push(pdf, "turn", ["role", "text", "reset", "store"]):
+                if again:
+                    epoch, seq = epoch + 1, 0
+                if keep:
+                    out.append((key[0], epoch, seq, role, content))
+                    seq += 1
+            yield pd.DataFrame(out, columns=["session_id", "epoch", "seq", "role", "text"])
+        state.update((epoch, seq, order.place, order.dump()))
 
     id_type = rows.schema["session_id"].dataType.simpleString()
     return rows.groupBy("session_id").applyInPandasWithState(
         step,
         f"session_id {id_type}, epoch bigint, seq bigint, role string, text string",
-        "epoch bigint, seq bigint",
+        "epoch bigint, seq bigint, place bigint, waiting string",
         "append",
         GroupStateTimeout.NoTimeout,
     )
@@ -57,26 +81,25 @@ def segment_stream(
 ) -> DataFrame:
     """Stream of (stream_id, seq, token, end) to pieces (stream_id, start, piece).
 
-    The state of a stream is its buffer, shorter than one piece. A row with ``end`` flushes it.
+    ``seq`` numbers a stream's rows from 0; the row with ``end`` flushes the buffer. The state of a stream
+    is its buffer, shorter than one piece, and the rows that are early.
     """
     chunk_chars, soft_chars = limits(chunk_chars, soft_chars)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, buffer = state.get if state.exists else (0, "")
-        pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        out = []
-        for token, end in zip(pdf["token"], pdf["end"]):
-            pieces, buffer = feed(buffer, token or "", chunk_chars, soft_chars)
-            if end and buffer:
-                pieces, buffer = [*pieces, buffer], ""
-            for p in pieces:
-                out.append((key[0], at, p))
-                at += len(p)
-        if bool(pdf["end"].any()):
-            state.remove()
-        else:
-            state.update((at, buffer))
-        yield pd.DataFrame(out, columns=["stream_id", "start", "piece"])
+        at, buffer, place, waiting = state.get if state.exists else (0, "", 0, "[]")
+        order = InOrder(place, waiting)
+        for pdf in batches:
+            out = []
+            for token, end in order.push(pdf, "seq", ["token", "end"]):
+                pieces, buffer = feed(buffer, token or "", chunk_chars, soft_chars)
+                if end and buffer:
+                    pieces, buffer = [*pieces, buffer], ""
+                for p in pieces:
+                    out.append((key[0], at, p))
+                    at += len(p)
+            yield pd.DataFrame(out, columns=["stream_id", "start", "piece"])
+        state.update((at, buffer, order.place, order.dump()))
 
     id_type = tokens.schema["stream_id"].dataType.simpleString()
     return (
@@ -85,7 +108,7 @@ def segment_stream(
         .applyInPandasWithState(
             step,
             f"stream_id {id_type}, start bigint, piece string",
-            "at bigint, buffer string",
+            "at bigint, buffer string, place bigint, waiting string",
             "append",
             GroupStateTimeout.NoTimeout,
         )
