@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkfield.session import materialize
+
 _SPREAD = 1024
 
 
@@ -37,15 +39,18 @@ def join_embed(base: DataFrame, lookup: DataFrame, *, join_on: str, embed_as: st
     """Left join that nests the whole matching lookup record under ``embed_as``.
 
     Keys are compared as text, the last lookup record of a key wins, null keys match nothing, and a
-    column already called ``embed_as`` is replaced on a match only. Base rows without a key are spread
-    over the shuffle by their content; a common key is left to AQE's skew split, as the lookup side holds
-    each key once.
+    column already called ``embed_as`` is replaced on a match only. Base rows without a key get one from
+    their content, which spreads them over the shuffle and is barred from matching.
+
+    The lookup, one record per key, is written first. So the planner knows its size and broadcasts it only
+    below its threshold; and otherwise both sides are plain shuffles, which is what lets AQE split the base
+    rows of a common key (an aggregation right below the join would not).
     """
-    records = last_by_key(lookup, join_on, order_by).withColumn("__salt", F.lit(0))
+    records = materialize(last_by_key(lookup, join_on, order_by).withColumnRenamed("__key", "__found"), "lookup")
     key = join_key(base, join_on)
-    spread = F.pmod(F.xxhash64(*base.columns), F.lit(_SPREAD)).cast("int")
-    b = base.withColumn("__key", key).withColumn("__salt", F.when(key.isNull(), spread).otherwise(0))
-    joined = b.join(records, ["__key", "__salt"], "left")
+    spread = F.pmod(F.xxhash64(*base.columns), F.lit(_SPREAD)).cast("string")
+    b = base.withColumn("__has", key.isNotNull()).withColumn("__key", F.coalesce(key, spread))
+    joined = b.join(records, (F.col("__key") == F.col("__found")) & F.col("__has"), "left")
     keep = [f"`{c}`" for c in base.columns if c != embed_as]
     hit = F.col("__record")
     if embed_as in base.columns:
@@ -93,19 +98,24 @@ def has_child(parents: DataFrame, children: DataFrame, id_: str, parent_id: str,
 
 
 def has_parent(parents: DataFrame, children: DataFrame, id_: str, parent_id: str, negate: bool = False) -> DataFrame:
-    """Children whose parent exists (or does not)."""
-    ids = parents.select(F.col(id_).alias("__id")).distinct()
+    """Children whose parent exists (or does not); a parent with many children is split by AQE."""
+    ids = parents.select(F.col(id_).alias("__id"))
     return children.join(ids, children[parent_id] == ids["__id"], "left_anti" if negate else "left_semi")
 
 
 def children_of(parents: DataFrame, children: DataFrame, id_: str, parent_id: str) -> DataFrame:
     """Each parent with each of its children as rows, childless parents once.
 
-    Rows, not one list per parent: a parent may own a large share of all children.
+    Rows, not one list per parent: a parent may own a large share of all children. An inner join, in which
+    the children of one parent can be split, and the childless parents beside it; a left join could not
+    split them.
     """
     p = parents.select(*[F.col(c).alias(f"parent_{c}") for c in parents.columns])
     c = children.select(*[F.col(x).alias(f"child_{x}") for x in children.columns])
-    return p.join(c, p[f"parent_{id_}"] == c[f"child_{parent_id}"], "left")
+    pairs = c.join(p, p[f"parent_{id_}"] == c[f"child_{parent_id}"]).select(*p.columns, *c.columns)
+    childless = has_child(parents, children, id_, parent_id, negate=True)
+    childless = childless.select(*[F.col(x).alias(f"parent_{x}") for x in parents.columns])
+    return pairs.unionByName(childless, allowMissingColumns=True)
 
 
 def child_counts(parents: DataFrame, children: DataFrame, id_: str, parent_id: str) -> DataFrame:

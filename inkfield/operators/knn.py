@@ -149,7 +149,10 @@ def knn_join(corpus: DataFrame, queries: DataFrame, dim: int, k: int, metric: st
         reps.join(bound, reps["id"] == bound["query_id"], "left").select("id", "v", theta.alias("theta"))
     )
     rest = index.search(bounded, k, theta="theta")
-    hits = top_k(near.unionByName(rest), k).select(F.col("query_id").alias("__rep"), F.col("id").alias("hit"), "key")
+    # Written, so that the join below is of two plain shuffles and a vector with many owners can be split.
+    hits = materialize(top_k(near.unionByName(rest), k), "knn-hits").select(
+        F.col("query_id").alias("__rep"), F.col("id").alias("hit"), "key"
+    )
     owners = queries.join(reps.select(F.col("id").alias("__rep"), "v"), "v").select(F.col("id").alias("query_id"), "__rep")
     return owners.join(hits, "__rep").select("query_id", F.col("hit").alias("id"), "key")
 
