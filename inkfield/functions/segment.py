@@ -7,6 +7,7 @@ import re
 from inkfield import config
 
 _SENTENCE_END = re.compile(r"[.!?](?:\s|$)")
+_STOPS = re.compile(r"[.!?\n]")
 
 
 def limits(chunk_chars: int, soft_chars: int) -> tuple[int, int]:
@@ -35,8 +36,13 @@ def cut_at(buffer: str, chunk_chars: int, soft_chars: int) -> int:
 
 
 def feed(buffer: str, token: str, chunk_chars: int, soft_chars: int) -> tuple[list[str], str]:
-    """Pieces that a token completes, and what stays in the buffer."""
-    buffer += token
+    """Pieces that a token completes, and what stays in the buffer.
+
+    Between two tokens nothing is ready; a token without a stop, behind none, makes nothing ready either.
+    """
+    held, buffer = buffer, buffer + token
+    if len(buffer) < chunk_chars and not _STOPS.search(token) and held[-1:] not in (".", "!", "?"):
+        return [], buffer
     pieces = []
     while n := cut_at(buffer, chunk_chars, soft_chars):
         pieces.append(buffer[:n])

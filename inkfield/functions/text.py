@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,17 +29,17 @@ def pystrip(c) -> Column:
     return F.regexp_replace(col(c), rf"(?U)\A{_WS}+|{_WS}+\z", "")
 
 
-def _nfkc(s: str | None) -> str | None:
+def to_nfkc(s: str | None) -> str | None:
     if s is None or s.isascii():
         return s
     return unicodedata.normalize("NFKC", s)
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.StringType())
+def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Unicode NFKC over Arrow batches; ASCII rows pass untouched."""
-    for s in batches:
-        yield s.map(_nfkc)
+    for a in batches:
+        yield pa.array([to_nfkc(s) for s in a.to_pylist()], pa.string())
 
 
 def tidy_whitespace(c) -> Column:

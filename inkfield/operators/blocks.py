@@ -36,6 +36,12 @@ def matrix_of(column: pa.Array, dim: int, dtype=np.float32) -> np.ndarray:
     return flat.astype(dtype, copy=False).reshape(-1, dim)
 
 
+def list_column(m: np.ndarray) -> pa.Array:
+    """A matrix as a list column."""
+    m = np.ascontiguousarray(m)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
 def prepare(x: np.ndarray, metric: str, side: str) -> np.ndarray:
     """Vectors in double, ready for ``keys``.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from inkfield.operators import retrieve as R
 from inkfield.operators.conversation import conversation_prompts
 from inkfield.plans import index as P
-from inkfield.plans.registry import query, table
+from inkfield.plans.registry import query, table, wide
 from inkfield.plans.store import ChunkStore
 from inkfield.plans.text_queries import PROMPT_SQL, message_tokens
 from inkfield.plans.vector_queries import ENCODER
@@ -56,7 +56,7 @@ def _with_content(df):
 
 def document_files(spark, sf_dir):
     """The documents as a file listing of four suffixes, three of them supported."""
-    d = table(spark, sf_dir, "documents")
+    d = wide(spark, sf_dir, "documents", "doc_id", "source", "text")
     suffix = F.element_at(F.array(*[F.lit(s) for s in (".txt", ".PDF", ".docx", ".md")]), (F.col("doc_id") % 4 + 1).cast("int"))
     path = F.concat(F.lit("file:/docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), suffix)
     return d.select(
@@ -90,7 +90,7 @@ select doc_id, md5(case (doc_id % 3)::integer when 2 then text || chr(129) else
 """)
 def decode_ladder(spark, sf_dir):
     """UTF-8, a one-byte encoding, and bytes that only the last encoding has; with other line ends."""
-    d = table(spark, sf_dir, "documents")
+    d = wide(spark, sf_dir, "documents", "doc_id", "text")
     lines = F.replace("text", F.lit("\n"), F.lit("\r\n"))
     narrow = F.encode(lines, "ISO-8859-1")
     content = (
@@ -112,7 +112,7 @@ select doc_id, md5(array_to_string(list_slice(string_split(text, chr(10)), 1, 3)
 """)
 def pdf_text_job(spark, sf_dir):
     """At most three pages of each file."""
-    d = table(spark, sf_dir, "documents")
+    d = wide(spark, sf_dir, "documents", "doc_id", "text")
     files = d.select("doc_id", F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
     return D.pdf_text(files, line_pages, 3).select("doc_id", F.md5("text").alias("text_md5"))
 

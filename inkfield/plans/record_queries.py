@@ -11,7 +11,7 @@ from inkfield.operators import ordinals as O
 from inkfield.operators import records as K
 from inkfield.operators import schema as S
 from inkfield.operators import snapshots as N
-from inkfield.plans.registry import query, table
+from inkfield.plans.registry import query, table, wide
 from inkfield.session import scratch_path
 from inkfield.sinks import tables as W
 from inkfield.sources import records as SR
@@ -303,7 +303,7 @@ def json_events(spark, sf_dir):
         .when(kind == 3, F.concat(F.lit('{"id":'), i, F.lit(',"odd":"x","props":'), "props", F.lit(',"big":18446744073709551616,"whole":8.0}')))
         .otherwise(F.concat(F.lit('{"id":'), i, F.lit(',"odd":{"y":1},"ints":[1,2,null],"both":true}')))
     )
-    e = table(spark, sf_dir, "events")
+    e = wide(spark, sf_dir, "events", "event_id", "ts", "event_type", "props")
     return SR.parse_records(e.select("event_id", text.alias("j")), "j")
 
 

@@ -9,7 +9,7 @@ from inkfield.operators import chunks as C
 from inkfield.operators import retrieve as R
 from inkfield.operators.conversation import conversation_prompts
 from inkfield.operators.segments import segment, tokens_of
-from inkfield.plans.registry import query, table
+from inkfield.plans.registry import query, table, wide
 
 # Noise the documents do not have: tabs, NUL-free control blanks, CR line ends, blank lines, a ligature.
 _NOISY = "concat('  \t', replace(replace(text, ' ', ' \t '), '.', 'ﬁ.\r\n \r\n\r\t\n\n'), '\n \n')"
@@ -34,7 +34,7 @@ select doc_id, md5(t) as text_md5, length(t)::integer as n_chars
 from (select doc_id, {_clean_sql(_NOISY)} as t from documents)
 """)
 def normalize_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.normalize_text(_noisy()).alias("t"))
+    docs = wide(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.normalize_text(_noisy()).alias("t"))
     return docs.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
 
 
@@ -47,19 +47,19 @@ from (select doc_id, {_clean_sql('t')} as t from c) where t <> ''
 """)
 def sanitize_chunks(spark, sf_dir):
     noisy = F.when(F.col("doc_id") % 3 == 0, " \t\n").otherwise(_noisy())
-    rows = C.sanitize(table(spark, sf_dir, "documents").select("doc_id", noisy.alias("text")))
+    rows = C.sanitize(wide(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", noisy.alias("text")))
     return rows.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 
 @query()
 def chunk_documents(spark, sf_dir):
-    rows = C.split_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = C.split_documents(wide(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("chunk_id", "doc_id", "chunk_index", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 
 @query()
 def chunk_load_counts(spark, sf_dir):
-    return C.chunk_counts(table(spark, sf_dir, "documents").select("text"))
+    return C.chunk_counts(wide(spark, sf_dir, "documents", "text"))
 
 
 @query(r"""
@@ -179,7 +179,7 @@ with o as (select doc_id, regexp_replace({_CRITIC_SQL}, '\\A\\s+|\\s+\\z', '', '
 select doc_id, {_VERDICT_SQL} as verdict, md5({_REFINED_SQL}) as refined_md5 from o
 """)
 def critic_verdict(spark, sf_dir):
-    o = critic_outputs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    o = critic_outputs(wide(spark, sf_dir, "documents", "doc_id", "text"))
     return o.select(
         "doc_id", X.critic_verdict("critic").alias("verdict"), F.md5(X.critic_refined_query("critic")).alias("refined_md5")
     )
@@ -195,7 +195,7 @@ select doc_id, verdict,
 from v
 """)
 def review_round(spark, sf_dir):
-    o = critic_outputs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    o = critic_outputs(wide(spark, sf_dir, "documents", "doc_id", "text"))
     o = o.withColumn("critic_iters", (F.col("doc_id") % 4).cast("int"))
     r = R.reviewed(o, question="text")
     return r.select("doc_id", "verdict", F.md5("retrieval_query").alias("query_md5"), "next_iters")
@@ -223,7 +223,7 @@ def plan_steps(spark, sf_dir):
         .when(kind == 1, F.concat(F.lit("1) "), _line(), F.lit("\n2) "), _line(), F.lit("\n3) c\n4) d")))
         .otherwise(_line())
     )
-    docs = table(spark, sf_dir, "documents")
+    docs = wide(spark, sf_dir, "documents", "doc_id", "text")
     steps = docs.select("doc_id", F.posexplode(X.plan_steps(raw)).alias("step", "s"))
     return steps.select("doc_id", "step", F.md5("s").alias("step_md5"))
 
@@ -264,7 +264,7 @@ def conversation_prompt(spark, sf_dir):
 
 def message_tokens(spark, sf_dir):
     """Every message as a token stream."""
-    ok, _ = R.reject_blank(table(spark, sf_dir, "conversations"))
+    ok, _ = R.reject_blank(wide(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     return tokens_of(ok, F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
 
 
@@ -275,5 +275,5 @@ def token_segments(spark, sf_dir):
 
 @query()
 def document_segments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = wide(spark, sf_dir, "documents", "doc_id", "text")
     return segment(tokens_of(docs, "doc_id")).withColumnRenamed("stream_id", "doc_id")

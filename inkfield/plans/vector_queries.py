@@ -11,7 +11,7 @@ from inkfield.operators import retrieve as R
 from inkfield.operators.chunks import split_documents
 from inkfield.operators.encode import HashEncoder, embed_documents
 from inkfield.operators.records import vector_checks as checks
-from inkfield.plans.registry import query, table
+from inkfield.plans.registry import query, table, wide
 from inkfield.session import materialize, scratch_path
 from inkfield.sources.records import uniform_vectors as uniform
 
@@ -203,13 +203,13 @@ with {_bags_sql('d', 'doc_id', 'documents', 'text')}
 select id as doc_id, bucket::integer as bucket, round(w, 6) as weight from d
 """)
 def embed_documents_hash(spark, sf_dir):
-    d = embed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ENCODER)
+    d = embed_documents(wide(spark, sf_dir, "documents", "doc_id", "text"), ENCODER)
     w = d.select("doc_id", F.posexplode("embedding").alias("bucket", "w")).where("w <> 0")
     return w.select("doc_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 
 def _document_vectors(spark, sf_dir):
-    return embed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ENCODER).select("doc_id", "embedding")
+    return embed_documents(wide(spark, sf_dir, "documents", "doc_id", "text"), ENCODER).select("doc_id", "embedding")
 
 
 def _questions(spark, sf_dir):
@@ -262,7 +262,7 @@ def retrieval_round(spark, sf_dir):
 @query()
 def question_contexts(spark, sf_dir):
     """Flagship: documents cut, cleaned and embedded; every question with its three best chunks as context."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
+    docs = wide(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("source"), "text")
     chunks = embed_documents(split_documents(docs, doc_id="source"), ENCODER)
     # Searched and then read for the texts: cut and embedded once.
     chunks = materialize(chunks.select("chunk_id", "text", "embedding"), "chunks")
@@ -272,7 +272,7 @@ def question_contexts(spark, sf_dir):
 @query()
 def indexed_question_contexts(spark, sf_dir):
     """The same through an inverted-list index of the chunks."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
+    docs = wide(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("source"), "text")
     chunks = embed_documents(split_documents(docs, doc_id="source"), ENCODER)
     chunks = materialize(chunks.select("chunk_id", "text", "embedding"), "chunks")
     index = ivf.build(chunks, lists=32, pq_m=None, id_="chunk_id")

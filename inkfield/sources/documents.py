@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +44,10 @@ def _decode(raw: bytes) -> str:
     raise ValueError("no encoding fits")
 
 
-@F.pandas_udf(T.StringType())
-def _decode_other(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(_decode, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _decode_other(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for a in batches:
+        yield pa.array([None if raw is None else _decode(raw) for raw in a.to_pylist()], pa.string())
 
 
 def decode_text(content: str = "content") -> Column:

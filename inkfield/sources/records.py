@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkfield import config
+from inkfield.operators.blocks import list_column
 from inkfield.operators.ordinals import first_rows
 
 
@@ -104,7 +105,6 @@ def uniform_vectors(ids: DataFrame, dim: int, seed: int = 42, id_: str = "id") -
                 continue
             keys = b.column(0).to_pylist()
             x = np.stack([np.random.default_rng((seed, k)).random(dim, dtype=np.float32) for k in keys])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim, dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[id_, "embedding"])
+            yield pa.RecordBatch.from_arrays([b.column(0), list_column(x)], names=[id_, "embedding"])
 
     return ids.select(F.col(id_).cast("bigint")).mapInArrow(run, schema)
