@@ -77,6 +77,16 @@ def pair_keys(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return np.round(key, KEY_DIGITS) + 0.0
 
 
+def keys_at(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray, metric: str) -> np.ndarray:
+    """``pair_keys`` of the rows at (qi, ci), a bounded number at a time."""
+    out = np.empty(len(qi))
+    step = max(1, _CELLS_PER_PASS // q.shape[1])
+    for at in range(0, len(qi), step):
+        s = slice(at, at + step)
+        out[s] = pair_keys(q[qi[s]], c[ci[s]], metric)
+    return out
+
+
 def best(qi: np.ndarray, ids: np.ndarray, key: np.ndarray, k: int):
     """Positions of the k best (key, id) per query."""
     order = np.lexsort((ids, key, qi))
@@ -94,6 +104,14 @@ def smallest(d: np.ndarray, k: int, eps: float):
     return np.divmod(np.arange(d.size), max(1, d.shape[1]))
 
 
+def thin_copies(c: np.ndarray, c_ids: pa.Array, k: int):
+    """The k smallest ids of each distinct row: more copies can not be among k best."""
+    rows = np.ascontiguousarray(c).view(np.dtype((np.void, c.itemsize * c.shape[1]))).ravel()
+    _, group = np.unique(rows, return_inverse=True)
+    keep = np.sort(best(group, ids_of(c_ids), np.zeros(len(c)), k))
+    return c[keep], c_ids.take(pa.array(keep))
+
+
 def block_topk(q: np.ndarray, c: np.ndarray, c_ids: pa.Array, k: int, metric: str):
     """(query row, id, key) of the k best corpus rows per query row.
 
@@ -103,12 +121,17 @@ def block_topk(q: np.ndarray, c: np.ndarray, c_ids: pa.Array, k: int, metric: st
     out = []
     step = max(1, _CELLS_PER_PASS // max(1, len(c)))
     c_scale = float(np.einsum("ij,ij->i", c, c).max()) if len(c) else 0.0
+    thinned = False
     for at in range(0, len(q), step):
         part = q[at : at + step]
         eps = 1e-8 + 1e-12 * (c_scale + float(np.einsum("ij,ij->i", part, part).max()))
         qi, ci = smallest(squared_distances(part, c), k, eps)
+        if len(qi) > 4 * k * len(part) and not thinned:
+            c, c_ids = thin_copies(c, c_ids, k)
+            thinned = True
+            qi, ci = smallest(squared_distances(part, c), k, eps)
         ids = ids_of(c_ids.take(pa.array(ci)))
-        key = pair_keys(part[qi], c[ci], metric)
+        key = keys_at(part, c, qi, ci, metric)
         pick = best(qi, ids, key, k)
         out.append((qi[pick] + at, ids[pick], key[pick]))
     return tuple(np.concatenate(p) for p in zip(*out))
@@ -121,7 +144,7 @@ def block_within(q: np.ndarray, c: np.ndarray, radius: float, metric: str, limit
     for at in range(0, len(q), step):
         part = q[at : at + step]
         qi, ci = np.nonzero(squared_distances(part, c) <= radius * radius + 1e-6)
-        key = pair_keys(part[qi], c[ci], metric)
+        key = keys_at(part, c, qi, ci, metric)
         ok = key <= limit
         out.append((qi[ok] + at, ci[ok], key[ok]))
     if not out:

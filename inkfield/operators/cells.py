@@ -87,11 +87,12 @@ class CellIndex:
         sq = 2 + 2 * key if self.metric == "cosine" else key
         return F.sqrt(F.greatest(sq, F.lit(0.0)) + F.lit(1e-8))
 
-    def _keyed_blocks(self) -> DataFrame:
+    def _keyed_blocks(self, only: list[int] | None) -> DataFrame:
         spark = self.blocks.sparkSession
         spread = spark.createDataFrame([(c, s) for c, (_, s) in self.cells.items()], "cell int, spread int")
+        blocks = self.blocks if only is None else self.blocks.where(F.col("cell").isin(only))
         return (
-            self.blocks.join(F.broadcast(spread), "cell")  # one row per centroid
+            blocks.join(F.broadcast(spread), "cell")  # one row per centroid
             .withColumn("part", F.pmod(F.xxhash64("ids"), F.col("spread")).cast("int"))
             .select("cell", "part", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
         )
@@ -174,14 +175,25 @@ class CellIndex:
         columns = ["id", "v"] + ([theta] if theta else [])
         return queries.select(*columns).mapInArrow(run, schema)
 
-    def _meet(self, visits: DataFrame) -> DataFrame:
+    def visited(self, queries: DataFrame, probes: int) -> list[int] | None:
+        """The cells that a few queries visit, so that only these are read; None when it may be most of them."""
+        if queries.count() * probes * 2 > len(self.cells):
+            return None
+        return [r["cell"] for r in self._visits(queries, probes, None, None).select("cell").distinct().collect()]
+
+    def _meet(self, visits: DataFrame, only: list[int] | None = None) -> DataFrame:
         """Query blocks next to the corpus blocks of their cell; an equi-join on (cell, part)."""
         q = B.pack_blocks(visits, ["cell", "part"], "id", "v", self.dim)
         q = q.select("cell", "part", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-        return q.join(self._keyed_blocks(), ["cell", "part"]).select("q_ids", "q_data", "c_ids", "c_data", "cell")
+        return q.join(self._keyed_blocks(only), ["cell", "part"]).select("q_ids", "q_data", "c_ids", "c_data", "cell")
+
+    def search(
+        self, queries: DataFrame, k: int, probes: int | None = None, theta: str | None = None, only: list[int] | None = None
+    ) -> DataFrame:
+        """Up to k hits per query and block pair: (query_id, id, key); rank them with ``top_k``.
 
-    def search(self, queries: DataFrame, k: int, probes: int | None = None, theta: str | None = None) -> DataFrame:
-        """Up to k hits per query and block pair: (query_id, id, key); rank them with ``top_k``."""
+        ``only`` names the cells to read when they are known.
+        """
         dim, metric = self.dim, self.metric
         schema = T.StructType(
             [
@@ -202,7 +214,7 @@ class CellIndex:
                         [q_ids.take(pa.array(qi)), pa.array(ids), pa.array(key)], names=["query_id", "id", "key"]
                     )
 
-        return self._meet(self._visits(queries, probes, theta, None)).mapInArrow(run, schema)
+        return self._meet(self._visits(queries, probes, theta, None), only).mapInArrow(run, schema)
 
     def within(self, queries: DataFrame, threshold: float) -> DataFrame:
         """Pairs (id_a < id_b, score) with a cosine of at least ``threshold``."""

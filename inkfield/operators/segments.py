@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from inkfield import config
 from inkfield.functions.segment import feed, limits
 
-# Tokens per block in which a safe cutting point is looked for.
-BLOCK_TOKENS = 4096
+# Tokens per block in which a safe cutting point is looked for; shorter streams are not cut.
+BLOCK_TOKENS = 65536
 
 
 def tokens_of(df: DataFrame, stream_id: Column | str, text: str = "text") -> DataFrame:
@@ -27,7 +27,7 @@ def tokens_of(df: DataFrame, stream_id: Column | str, text: str = "text") -> Dat
 
 
 def _runs(tokens: DataFrame, chunk_chars: int, soft_chars: int, block_tokens: int) -> DataFrame:
-    """(stream_id, run, start, token): a stream cut into runs that can be segmented on their own.
+    """(stream_id, run, seq, start, token): streams cut into runs that can be segmented on their own.
 
     A run may start behind a token after which the buffer is empty whatever came before. Within a block of
     tokens, the buffer is known to reach back at most to the last separator (``low``), and at least to the
@@ -74,7 +74,7 @@ def _runs(tokens: DataFrame, chunk_chars: int, soft_chars: int, block_tokens: in
     t = t.select("stream_id", "block", "seq", "token", "end").join(blocks, ["stream_id", "block"])
     run = F.when(F.col("seq") > F.col("cut"), F.col("block")).otherwise(F.col("run_before"))
     start = F.col("offset") + F.col("end") - F.length("token")
-    return t.select("stream_id", run.alias("run"), start.alias("start"), "token")
+    return t.select("stream_id", run.alias("run"), "seq", start.alias("start"), "token")
 
 
 def segment(
@@ -90,7 +90,13 @@ def segment(
     runs where the state of the buffer is known.
     """
     chunk_chars, soft_chars = limits(chunk_chars, soft_chars)
-    rows = _runs(tokens.where(F.col("token") != ""), chunk_chars, soft_chars, block_tokens)
+    tokens = tokens.select("stream_id", F.col("seq").cast("bigint").alias("seq"), "token").where(F.col("token") != "")
+    long_ids = tokens.where(F.col("seq") >= block_tokens).select("stream_id").distinct()
+    short = tokens.join(long_ids, "stream_id", "left_anti").select(
+        "stream_id", F.lit(0).cast("bigint").alias("run"), "seq", F.lit(0).cast("bigint").alias("start"), "token"
+    )
+    long = _runs(tokens.join(long_ids, "stream_id", "left_semi"), chunk_chars, soft_chars, block_tokens)
+    rows = short.unionByName(long)
     schema = T.StructType(
         [
             rows.schema["stream_id"],
@@ -98,7 +104,7 @@ def segment(
             T.StructField("piece", T.StringType()),
         ]
     )
-    laid = rows.repartition("stream_id", "run").sortWithinPartitions("stream_id", "run", "start")
+    laid = rows.repartition("stream_id", "run").sortWithinPartitions("stream_id", "run", "seq")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, buffer, at = None, "", 0
@@ -127,4 +133,4 @@ def segment(
         if buffer:
             yield rows_of([(key[0], at, buffer)])
 
-    return laid.select("stream_id", "run", "start", "token").mapInArrow(cut, schema)
+    return laid.drop("seq").mapInArrow(cut, schema)

@@ -447,6 +447,19 @@ def load_report(spark, sf_dir):
     return r.select(*[F.col(c).cast("bigint").alias(c) for c in r.columns])
 
 
+@query()
+def load_first_errors(spark, sf_dir):
+    """The first five errors of a load."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.lit('{"price":null}').alias("doc"))
+    return W.first_errors(W.write_documents(docs, _refuse_some))
+
+
+@query()
+def folder_storage(spark, sf_dir):
+    """Files and bytes of the tables' folder, and how the total reads."""
+    return W.folder_bytes(spark, sf_dir).select("files", "bytes", bytes_text("bytes").alias("size"))
+
+
 @query("""
 select o_orderkey as record_id, case when o_orderkey % 2 = 0 then 'again' else o_orderstatus end as status from orders
 """)

@@ -40,14 +40,15 @@ def normalize_text(spark, sf_dir):
 
 @query(f"""
 with c as (
-  select doc_id, case when doc_id % 3 = 0 then ' ' || chr(9) || chr(10) else {_NOISY} end as t from documents
+  select doc_id, {_NOISY} as t from documents union all select -doc_id - 1, ' ' || chr(9) || chr(10) from documents
 )
 select doc_id, md5(left(t, 1800)) as text_md5, length(left(t, 1800))::integer as n_chars
 from (select doc_id, {_clean_sql('t')} as t from c) where t <> ''
 """)
 def sanitize_chunks(spark, sf_dir):
-    noisy = F.when(F.col("doc_id") % 3 == 0, " \t\n").otherwise(_noisy())
-    rows = C.sanitize(wide(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", noisy.alias("text")))
+    docs = wide(spark, sf_dir, "documents", "doc_id", "text")
+    blank = docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit(" \t\n").alias("text"))
+    rows = C.sanitize(docs.select("doc_id", _noisy().alias("text")).unionByName(blank))
     return rows.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 

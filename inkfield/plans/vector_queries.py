@@ -129,7 +129,27 @@ select vec_id, pos::integer - 1 as pos, round(3 * x / (3 * n), 6) as x from u
 def l2_normalize(spark, sf_dir):
     scaled = F.transform("embedding", lambda x: x.cast("double") * 3)
     unit = _embeddings(spark, sf_dir).select("vec_id", X.l2_normalize(scaled).alias("v"))
-    return unit.select("vec_id", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return unit.select("vec_id", F.posexplode_outer("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("""
+with u as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings),
+m as (select label, pos, avg(x) as m from u group by 1, 2), q as (select label, list(m order by pos) as v from m group by 1)
+select vec_id, round(list_distance(embedding::double[], v), 6) as distance, round(list_distance(embedding::double[], v) ** 2, 6) as sq_distance,
+  round(list_cosine_similarity(embedding::double[], v), 6) as cosine, round(list_inner_product(embedding::double[], v), 6) as inner_product
+from embeddings join q using (label)
+""")
+def vector_distances(spark, sf_dir):
+    """Every vector against the mean of its label."""
+    e = _embeddings(spark, sf_dir)
+    means = knn.mean_vectors(e, "label").withColumnRenamed("embedding", "mean")
+    pairs = e.join(materialize(means, "means"), "label")
+    return pairs.select(
+        "vec_id", F.round(X.l2("embedding", "mean"), 6).alias("distance"),
+        F.round(X.squared_l2("embedding", "mean"), 6).alias("sq_distance"),
+        F.round(X.cosine("embedding", "mean"), 6).alias("cosine"),
+        F.round(X.dot("embedding", "mean"), 6).alias("inner_product"),
+    )
 
 
 @query("""
@@ -204,7 +224,8 @@ select id as doc_id, bucket::integer as bucket, round(w, 6) as weight from d
 """)
 def embed_documents_hash(spark, sf_dir):
     d = embed_documents(wide(spark, sf_dir, "documents", "doc_id", "text"), ENCODER)
-    w = d.select("doc_id", F.posexplode("embedding").alias("bucket", "w")).where("w <> 0")
+    # The outer form, as for the inner one a size filter is inferred that encodes every text once more.
+    w = d.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "w")).where("w <> 0")
     return w.select("doc_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 
@@ -225,6 +246,19 @@ def text_search_topk(spark, sf_dir):
     return hits.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(f"""
+with asked as (select item_id as id, text from benchmark), {_SEARCH_SQL}
+select query_id, rank::integer as rank, doc_id, source, md5(text) as text_md5 from r join documents using (doc_id) where rank <= 3
+""")
+def hit_payloads(spark, sf_dir):
+    """Hits with text and metadata of the documents they point to."""
+    hits = R.similarity_search(_questions(spark, sf_dir), _document_vectors(spark, sf_dir), ENCODER, id_="doc_id")
+    found = R.payloads(hits, table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return found.select(
+        "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "source", F.md5("text").alias("text_md5")
+    )
+
+
 @query(f"""
 with asked as (select item_id as id, text from benchmark), {_SEARCH_SQL}
 select query_id, md5(string_agg(text, chr(10) || chr(10) order by rank)) as context_md5

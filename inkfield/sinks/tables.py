@@ -22,11 +22,12 @@ def write_documents(
     """Send documents in batches: (batch, attempted, ok, failed, first_error) per batch.
 
     The store is keyed by id, so a repeated task writes the same records again and changes nothing.
-    Errors are reported, not raised. ``tasks`` caps the writers that run at a time.
+    Errors are reported, not raised. ``tasks`` caps the writers that run at a time; what comes before them
+    keeps its own partitions.
     """
     rows = docs.select(F.col(id_).cast("string").alias("id"), F.col(doc).alias("doc"))
     if tasks:
-        rows = rows.coalesce(tasks)
+        rows = rows.repartition(tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -117,7 +118,8 @@ def write_jdbc(df: DataFrame, url: str, table: str, *, batch_rows: int = 500, wr
 
     A repeated task may insert twice where the table has no key: load into a staging table and swap.
     """
-    df.write.format("jdbc").mode("append").option("url", url).option("dbtable", table).option(
+    rows = df.repartition(writers)
+    rows.write.format("jdbc").mode("append").option("url", url).option("dbtable", table).option(
         "batchsize", batch_rows
     ).option("numPartitions", writers).options(**options).save()
 
