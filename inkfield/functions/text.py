@@ -79,6 +79,11 @@ def truncate_context(c, limit: int = config.CONTEXT_MAX_CHARS) -> Column:
     return F.substring(col(c), 1, limit)
 
 
+def keyword(c, limit: int = config.KEYWORD_MAX_CHARS) -> Column:
+    """The exact-match form of a text field: null where the text is too long for one."""
+    return F.when(F.length(col(c)) <= limit, col(c))
+
+
 def file_stem(path) -> Column:
     """Last path component without its last suffix; a leading dot is no suffix."""
     base = F.element_at(F.split(F.regexp_replace(col(path), r"/+\z", ""), "/"), -1)

@@ -43,6 +43,26 @@ def _merge_items(acc: Column, b: Column) -> Column:
     return F.when(b == 0, acc).when((acc == 0) | (acc == b), b).otherwise(mixed)
 
 
+def _kind_of(v: Column, t: Column, depth: int) -> Column:
+    """Kind bit of a value whose type name is known."""
+    kinds = F.create_map(*[F.lit(x) for kv in _SCALAR_BITS.items() for x in kv])
+    if depth > 0:
+        items = F.transform(v.try_cast("array<variant>"), lambda x: kind_bits(x, depth - 1))
+        of_list = F.aggregate(items, F.lit(0), _merge_items)
+    else:
+        of_list = F.lit(TOO_DEEP)
+    return (
+        F.when(
+            t == "STRING",
+            F.when(is_iso_date(v.try_cast("string")), BIT["date"]).otherwise(BIT["string"]),
+        )
+        .when(t.startswith("ARRAY"), of_list)
+        # An integer beyond 64 bits is held as a wide decimal without a fraction.
+        .when(t.rlike(r"^DECIMAL\((19|2\d|3\d),0\)"), BIT["long"])
+        .otherwise(F.coalesce(F.try_element_at(kinds, F.regexp_extract(t, "^[A-Z_]+", 0)), F.lit(BIT["keyword"])))
+    )
+
+
 def kind_bits(v, depth: int = LIST_DEPTH) -> Column:
     """Bit of the value's kind, 0 for null and for empty or all-null lists.
 
@@ -50,40 +70,18 @@ def kind_bits(v, depth: int = LIST_DEPTH) -> Column:
     deeper than ``depth``.
     """
     v = col(v)
-    kinds = F.create_map(*[F.lit(x) for kv in _SCALAR_BITS.items() for x in kv])
-
-    def of_type(t: Column) -> Column:
-        if depth > 0:
-            items = F.transform(v.try_cast("array<variant>"), lambda x: kind_bits(x, depth - 1))
-            of_list = F.aggregate(items, F.lit(0), _merge_items)
-        else:
-            of_list = F.lit(TOO_DEEP)
-        return (
-            F.when(t.startswith("ARRAY"), of_list)
-            .when(
-                t == "STRING",
-                F.when(is_iso_date(v.try_cast("string")), BIT["date"]).otherwise(BIT["string"]),
-            )
-            # An integer beyond 64 bits is held as a wide decimal without a fraction.
-            .when(t.rlike(r"^DECIMAL\((19|2\d|3\d),0\)"), BIT["long"])
-            .otherwise(
-                F.coalesce(F.try_element_at(kinds, F.regexp_extract(t, "^[A-Z_]+", 0)), F.lit(BIT["keyword"]))
-            )
-        )
-
-    return F.coalesce(_with(F.schema_of_variant(v), of_type), F.lit(0))
+    return F.coalesce(_with(F.schema_of_variant(v), lambda t: _kind_of(v, t, depth)), F.lit(0))
 
 
 def field_bits(v, depth: int = LIST_DEPTH) -> Column:
     """``kind_bits`` with the marks that tell objects and containers apart."""
     v = col(v)
-    t = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-    marks = (
-        F.when(t.startswith("OBJECT"), DICT_SEEN | CONTAINER_SEEN)
-        .when(t.startswith("ARRAY"), CONTAINER_SEEN)
-        .otherwise(0)
-    )
-    return kind_bits(v, depth).bitwiseOR(marks)
+
+    def of_type(t: Column) -> Column:
+        marks = F.when(t.startswith("OBJECT"), DICT_SEEN | CONTAINER_SEEN).when(t.startswith("ARRAY"), CONTAINER_SEEN)
+        return _kind_of(v, t, depth).bitwiseOR(marks.otherwise(0))
+
+    return F.coalesce(_with(F.schema_of_variant(v), of_type), F.lit(0))
 
 
 def kind_name(bits) -> Column:

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkfield import config
 from inkfield.functions import values as V
 from inkfield.functions.text import column_name
 
-_FIELD = "array<struct<path:array<string>,bits:int>>"
-
-
 @dataclass(frozen=True)
 class Field:
     """A field path with its merged kind; ``nested`` says that its objects have typed members."""
@@ -24,45 +22,48 @@ class Field:
     bits: int
 
 
-def _paths(v: Column, prefix: Column, depth: int) -> Column:
-    """All (path, bits) of an object's members, objects in objects included, as one flat array."""
-    members = F.coalesce(
-        F.map_entries(v.try_cast("map<string,variant>")),
-        F.array().cast("array<struct<key:string,value:variant>>"),
-    )
-
-    def member(e: Column) -> Column:
-        path = F.concat(prefix, F.array(e["key"]))
-        bits = V.field_bits(e["value"])
-        if depth == 0:
-            deep = F.coalesce(F.schema_of_variant(e["value"]).startswith("OBJECT"), F.lit(False))
-            bits = bits.bitwiseOR(F.when(deep, V.TOO_DEEP).otherwise(0))
-        here = F.array(F.struct(path.alias("path"), bits.cast("int").alias("bits")))
-        if depth == 0:
-            return here.cast(_FIELD)
-        return F.concat(here.cast(_FIELD), _paths(e["value"], path, depth - 1))
+def _nodes(records: DataFrame, value: str, depth: int) -> DataFrame:
+    """(path, val, open) of every member of every record, objects in objects included.
 
-    return F.flatten(F.transform(members, member))
+    Each step hands on what it has and adds the members of the objects that came last, so all levels come
+    out of one pass. ``open`` is left set on what lies at the last level.
+    """
+    nodes = records.select(
+        F.array().cast("array<string>").alias("path"), F.col(value).alias("val"), F.lit(True).alias("open")
+    )
+    for _ in range(depth):
+        itself = F.array(F.struct("path", "val", F.lit(False).alias("open")))
+        members = F.transform(
+            F.map_entries(F.col("val").try_cast("map<string,variant>")),
+            lambda e: F.struct(
+                F.concat(F.col("path"), F.array(e["key"])).alias("path"), e["value"].alias("val"), F.lit(True).alias("open")
+            ),
+        )
+        is_object = F.col("open") & F.coalesce(F.schema_of_variant("val").startswith("OBJECT"), F.lit(False))
+        # The outer form, as for the inner one a size filter is inferred that does all this twice.
+        nodes = nodes.select(F.inline_outer(F.when(is_object, F.concat(itself, members)).otherwise(itself)))
+    return nodes.where(F.size("path") > 0)
 
 
 def field_kinds(records: DataFrame, value: str = "v", depth: int = 3) -> DataFrame:
     """One row per field path: the union of the kinds of all its values.
 
-    The records are exploded map-side and ``bit_or`` is combined before the shuffle, so what moves is
-    #fields rows per task, however many records there are and whichever field is the common one.
+    ``bit_or`` is combined before the shuffle, so what moves is #fields rows per task, however many records
+    there are and whichever field is the common one.
     """
-    empty = F.array().cast("array<string>")
-    flat = records.select(F.explode(_paths(F.col(value), empty, depth)).alias("f"))
-    return flat.groupBy(F.col("f.path").alias("path")).agg(F.bit_or("f.bits").alias("bits"))
+    bits = V.field_bits("val")
+    nodes = _nodes(records, value, depth).select("path", "open", bits.cast("int").alias("bits"))
+    deep = F.when(F.col("open") & (F.col("bits").bitwiseAND(F.lit(V.DICT_SEEN)) != 0), V.TOO_DEEP).otherwise(0)
+    return nodes.groupBy("path").agg(F.bit_or(F.col("bits").bitwiseOR(deep)).alias("bits"))
 
 
 def _collect_fields(records: DataFrame, value: str) -> list[tuple[tuple[str, ...], int]]:
     """Field list on the driver (as long as the schema, not the data); deeper data widens the depth."""
-    for depth in (3, 6, 12):
+    for depth in (4, 16, 64):
         rows = [(tuple(r["path"]), r["bits"]) for r in field_kinds(records, value, depth).collect()]
         if not any(b & V.TOO_DEEP for _, b in rows):
             return rows
-    raise ValueError("objects nest deeper than 12 levels, or lists deeper than 3")
+    raise ValueError("objects nest deeper than 64 levels, or lists in lists deeper than 3")
 
 
 def infer_fields(records: DataFrame, value: str = "v", strict_dates: bool = False) -> list[Field]:
@@ -92,7 +93,7 @@ def search_mapping(fields: list[Field]) -> dict:
         elif f.kind in ("boolean", "long", "double", "date"):
             node = {"type": f.kind}
         else:
-            node = {"type": "text", "fields": {"keyword": {"type": "keyword", "ignore_above": 256}}}
+            node = {"type": "text", "fields": {"keyword": {"type": "keyword", "ignore_above": config.KEYWORD_MAX_CHARS}}}
         nodes[f.path] = node
         nodes[f.path[:-1]]["properties"][f.path[-1]] = node
     return root
@@ -119,10 +120,10 @@ def spark_schema(fields: list[Field]) -> T.StructType:
 def sql_column_types(records: DataFrame, value: str = "v") -> DataFrame:
     """Relational columns of top-level members: (key, sql_type), keys sorted, all-null keys left out."""
     members = records.select(F.explode(F.col(value).try_cast("map<string,variant>")).alias("key", "val"))
-    t = F.coalesce(F.schema_of_variant("val"), F.lit("VOID"))
-    container = t.startswith("OBJECT") | t.startswith("ARRAY")
-    bits = F.when(container, V.CONTAINER_SEEN).otherwise(V.kind_bits("val", 0))
-    merged = members.groupBy("key").agg(F.bit_or(bits.cast("int")).alias("bits"))
+    bits = members.select("key", V.field_bits("val", 0).cast("int").alias("b"))
+    # The kinds within a container do not matter.
+    held = F.when(F.col("b").bitwiseAND(F.lit(V.CONTAINER_SEEN)) != 0, V.CONTAINER_SEEN).otherwise(F.col("b"))
+    merged = bits.groupBy("key").agg(F.bit_or(held).alias("bits"))
     b = F.col("bits")
     is_ = lambda *ks: b.bitwiseAND(F.lit(~sum(V.BIT[k] for k in ks))) == 0
     sql_type = (

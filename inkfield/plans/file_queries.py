@@ -10,7 +10,6 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import functions as F
 
-from inkfield.operators import retrieve as R
 from inkfield.operators.conversation import conversation_prompts
 from inkfield.plans import index as P
 from inkfield.plans.registry import query, table, wide

@@ -234,6 +234,11 @@ def context_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.truncate_context("text")).alias("context_md5"))
 
 
+@query("select conv_id, turn, case when length(text) <= 256 then text end as keyword from conversations")
+def keyword_field(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.keyword("text").alias("keyword"))
+
+
 @query("""
 select conv_id, turn, role, text <> '' and role in ('user', 'assistant') as accepted from conversations
 """)
