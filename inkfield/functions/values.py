@@ -32,7 +32,7 @@ _SCALAR_BITS = {
 }
 
 
-def _with(value: Column, f) -> Column:
+def with_value(value: Column, f) -> Column:
     """Bind ``value`` to a lambda variable, so that a large expression is evaluated once."""
     return F.transform(F.array(value), f)[0]
 
@@ -70,18 +70,14 @@ def kind_bits(v, depth: int = LIST_DEPTH) -> Column:
     deeper than ``depth``.
     """
     v = col(v)
-    return F.coalesce(_with(F.schema_of_variant(v), lambda t: _kind_of(v, t, depth)), F.lit(0))
+    return F.coalesce(with_value(F.schema_of_variant(v), lambda t: _kind_of(v, t, depth)), F.lit(0))
 
 
-def field_bits(v, depth: int = LIST_DEPTH) -> Column:
-    """``kind_bits`` with the marks that tell objects and containers apart."""
-    v = col(v)
-
-    def of_type(t: Column) -> Column:
-        marks = F.when(t.startswith("OBJECT"), DICT_SEEN | CONTAINER_SEEN).when(t.startswith("ARRAY"), CONTAINER_SEEN)
-        return _kind_of(v, t, depth).bitwiseOR(marks.otherwise(0))
-
-    return F.coalesce(_with(F.schema_of_variant(v), of_type), F.lit(0))
+def field_bits(v, type_name, depth: int = LIST_DEPTH) -> Column:
+    """``kind_bits`` with the marks that tell objects and containers apart; the type name is at hand."""
+    t = col(type_name)
+    marks = F.when(t.startswith("OBJECT"), DICT_SEEN | CONTAINER_SEEN).when(t.startswith("ARRAY"), CONTAINER_SEEN)
+    return F.coalesce(_kind_of(col(v), t, depth).bitwiseOR(marks.otherwise(0)), F.lit(0))
 
 
 def kind_name(bits) -> Column:

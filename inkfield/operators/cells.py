@@ -24,6 +24,9 @@ BLOCKS_PER_KEY = 16
 # Cells of the exact joins: the square root of the rows, within these.
 MIN_PIVOTS, MAX_PIVOTS = 16, 4096
 
+# Visits up to this size are broadcast.
+VISIT_BROADCAST_BYTES = 64 << 20
+
 
 def pick_pivots(rows: DataFrame, n: int, dim: int) -> np.ndarray:
     """n rows spread by the hash of their id, as float32; the same ones every time."""
@@ -175,24 +178,36 @@ class CellIndex:
         columns = ["id", "v"] + ([theta] if theta else [])
         return queries.select(*columns).mapInArrow(run, schema)
 
-    def visited(self, queries: DataFrame, probes: int) -> list[int] | None:
-        """The cells that a few queries visit, so that only these are read; None when it may be most of them."""
-        if queries.count() * probes * 2 > len(self.cells):
-            return None
-        return [r["cell"] for r in self._visits(queries, probes, None, None).select("cell").distinct().collect()]
+    def reading(self, queries: DataFrame, probes: int) -> dict:
+        """How to search for this many queries: the cells to read, and whether the visits are few.
 
-    def _meet(self, visits: DataFrame, only: list[int] | None = None) -> DataFrame:
-        """Query blocks next to the corpus blocks of their cell; an equi-join on (cell, part)."""
+        A few queries visit a few cells, and only these are read. Few visits are broadcast, as their bytes
+        are bounded by their number here; the planner would go by the size of the input they come from.
+        """
+        n = queries.count()
+        spread = max((s for _, s in self.cells.values()), default=1)
+        few = n * probes * spread * (self.dim * 4 + 64) <= VISIT_BROADCAST_BYTES
+        if n * probes * 2 > len(self.cells):
+            return {"few": few}
+        visited = self._visits(queries, probes, None, None).select("cell").distinct()
+        return {"few": few, "only": [r["cell"] for r in visited.collect()]}
+
+    def _meet(self, visits: DataFrame, only: list[int] | None = None, few: bool = False) -> DataFrame:
+        """Query blocks next to the corpus blocks of their cell; an equi-join on (cell, part).
+
+        Unless they are known to be few, the visits are never broadcast.
+        """
         q = B.pack_blocks(visits, ["cell", "part"], "id", "v", self.dim)
         q = q.select("cell", "part", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+        q = F.broadcast(q) if few else q.hint("merge")
         return q.join(self._keyed_blocks(only), ["cell", "part"]).select("q_ids", "q_data", "c_ids", "c_data", "cell")
 
     def search(
-        self, queries: DataFrame, k: int, probes: int | None = None, theta: str | None = None, only: list[int] | None = None
+        self, queries: DataFrame, k: int, probes: int | None = None, theta: str | None = None, **reading
     ) -> DataFrame:
         """Up to k hits per query and block pair: (query_id, id, key); rank them with ``top_k``.
 
-        ``only`` names the cells to read when they are known.
+        ``reading`` is what the method of that name says.
         """
         dim, metric = self.dim, self.metric
         schema = T.StructType(
@@ -214,7 +229,7 @@ class CellIndex:
                         [q_ids.take(pa.array(qi)), pa.array(ids), pa.array(key)], names=["query_id", "id", "key"]
                     )
 
-        return self._meet(self._visits(queries, probes, theta, None), only).mapInArrow(run, schema)
+        return self._meet(self._visits(queries, probes, theta, None), **reading).mapInArrow(run, schema)
 
     def within(self, queries: DataFrame, threshold: float) -> DataFrame:
         """Pairs (id_a < id_b, score) with a cosine of at least ``threshold``."""

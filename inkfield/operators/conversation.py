@@ -42,7 +42,8 @@ def conversation_prompts(
     before = Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     far = blocks.select("session_id", "block", F.collect_list("whole").over(before).alias("far"))
     # Most sessions have one block and nothing before it.
-    far = far.where(F.size("far") > 0)
+    # Histories grow beyond what the planner expects of their input, so they are not broadcast.
+    far = far.where(F.size("far") > 0).hint("merge")
     joined = near.join(far, ["session_id", "block"], "left")
     parts = F.concat(F.coalesce("far", F.array().cast("array<string>")), F.col("near"))
     return _prompt(joined.withColumn("past", F.when(F.size(parts) > 0, F.array_join(parts, "\n"))), is_user)

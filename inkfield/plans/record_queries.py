@@ -11,7 +11,7 @@ from inkfield.operators import ordinals as O
 from inkfield.operators import records as K
 from inkfield.operators import schema as S
 from inkfield.operators import snapshots as N
-from inkfield.plans.registry import query, table, wide
+from inkfield.plans.registry import ORACLES, query, table, wide
 from inkfield.session import scratch_path
 from inkfield.sinks import tables as W
 from inkfield.sources import records as SR
@@ -293,7 +293,7 @@ _JSON_SQL = """case (event_id % 5)::integer
   else '{"id":' || event_id || ',"odd":{"y":1},"ints":[1,2,null],"both":true}' end"""
 
 
-def json_events(spark, sf_dir):
+def json_texts(spark, sf_dir):
     kind = F.col("event_id") % 5
     i, day = F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")
     text = (
@@ -304,7 +304,11 @@ def json_events(spark, sf_dir):
         .otherwise(F.concat(F.lit('{"id":'), i, F.lit(',"odd":{"y":1},"ints":[1,2,null],"both":true}')))
     )
     e = wide(spark, sf_dir, "events", "event_id", "ts", "event_type", "props")
-    return SR.parse_records(e.select("event_id", text.alias("j")), "j")
+    return e.select("event_id", text.alias("j"))
+
+
+def json_events(spark, sf_dir):
+    return SR.parse_records(json_texts(spark, sf_dir), "j")
 
 
 # The kind of each value, told from its text.
@@ -332,6 +336,12 @@ def value_kinds(spark, sf_dir):
     return members.select("event_id", "key", V.kind_name(V.kind_bits("val")).alias("kind"))
 
 
+def _types(spark, fields):
+    kept = ("boolean", "long", "double", "date")
+    rows = [(".".join(f.path), "nested" if f.nested else f.kind if f.kind in kept else "text") for f in fields]
+    return spark.createDataFrame(rows, "path string, type string")
+
+
 @query(f"""
 with {_MEMBERS_SQL},
 nested as (
@@ -344,12 +354,14 @@ select key as path, case when len(ks) = 0 then 'text' when ks in (['boolean'], [
 from u union all select path, type from nested
 """)
 def infer_search_schema(spark, sf_dir):
-    fields = S.infer_fields(json_events(spark, sf_dir))
-    rows = [
-        (".".join(f.path), "nested" if f.nested else f.kind if f.kind in ("boolean", "long", "double", "date") else "text")
-        for f in fields
-    ]
-    return spark.createDataFrame(rows, "path string, type string")
+    fields = S.infer_fields(json_texts(spark, sf_dir), "j")
+    return _types(spark, fields)
+
+
+@query(ORACLES["infer_search_schema"])
+def infer_variant_schema(spark, sf_dir):
+    """The same from VARIANT records, inside the JVM."""
+    return _types(spark, S.infer_fields(json_events(spark, sf_dir)))
 
 
 @query(f"""
@@ -363,7 +375,7 @@ select key, case when key = 'Odd Key' then 'odd_key' else lower(key) end as name
 from u where container or len(ks) > 0
 """)
 def infer_sql_columns(spark, sf_dir):
-    return S.sql_column_types(json_events(spark, sf_dir))
+    return S.sql_column_types(json_texts(spark, sf_dir), "j")
 
 
 @query("""
@@ -376,7 +388,7 @@ from events
 """)
 def typed_records(spark, sf_dir):
     e = json_events(spark, sf_dir)
-    rows = S.typed_rows(e, S.infer_fields(e), keep=("event_id",))
+    rows = S.typed_rows(e, S.infer_fields(json_texts(spark, sf_dir), "j"), keep=("event_id",))
     return rows.select(
         "event_id", "id", "mix", "flag", "name", F.col("meta.k").alias("meta_k"), F.col("props.k").alias("props_k")
     )
@@ -391,7 +403,7 @@ from events
 """)
 def relational_values(spark, sf_dir):
     e = json_events(spark, sf_dir)
-    columns = [c for c in S.infer_columns(e) if c.key in ("id", "Odd Key", "odd", "ints", "both")]
+    columns = [c for c in S.infer_columns(json_texts(spark, sf_dir), "j") if c.key in ("id", "Odd Key", "odd", "ints", "both")]
     return S.relational_rows(e, columns, keep=("event_id",)).select("event_id", "id", "odd_key", "odd", "ints", "both")
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfield.session import spread
+from inkfield.session import ship, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +19,12 @@ def query(sql: str | None = None):
     """Register a function under its own name."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             ORACLES[f.__name__] = sql.strip()
         return f

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkfield import config
+from inkfield.functions.values import with_value
 from inkfield.operators.blocks import list_column
 from inkfield.operators.ordinals import first_rows
 
@@ -22,15 +23,23 @@ def objects_of(values: DataFrame, value: str = "v") -> DataFrame:
     """
     keep = [c for c in values.columns if c != value]
     v = F.col(value)
-    kind = F.schema_of_variant(v)
-    items = F.when(kind.startswith("ARRAY"), v.try_cast("array<variant>")).when(kind.startswith("OBJECT"), F.array(v))
-    checked = F.when(items.isNotNull(), items).otherwise(
-        F.raise_error(F.lit("JSON root must be an object or an array of objects")).cast("array<variant>")
-    )
-    rows = values.select(*keep, F.posexplode(checked).alias("_pos", value))
-    ok = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-    item = F.when(ok, F.col(value)).otherwise(F.raise_error(F.lit("JSON array must contain objects")).cast("variant"))
-    return rows.select(*keep, "_pos", item.alias(value))
+    refuse = lambda message, t: F.raise_error(F.lit(message)).cast(t)
+
+    def item(x):
+        ok = F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
+        return F.when(ok, x).otherwise(refuse("JSON array must contain objects", "variant"))
+
+    def items(kind):
+        return (
+            F.when(kind.startswith("OBJECT"), F.array(v))
+            .when(kind.startswith("ARRAY"), F.transform(v.try_cast("array<variant>"), item))
+            .otherwise(refuse("JSON root must be an object or an array of objects", "array<variant>"))
+        )
+
+    # The outer form, as for the inner one a size filter is inferred that checks all roots twice.
+    listed = with_value(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), items)
+    rows = values.select(*keep, F.posexplode_outer(listed).alias("_pos", value))
+    return rows.where(F.col("_pos").isNotNull())
 
 
 def read_json(spark: SparkSession, path, lines: bool = False) -> DataFrame:

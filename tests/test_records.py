@@ -20,6 +20,10 @@ def variants(spark, values):
     return SR.parse_records(spark.createDataFrame([(json.dumps(v),) for v in values], "j string"), "j")
 
 
+def texts(spark, values):
+    return spark.createDataFrame([(json.dumps(v),) for v in values], "j string")
+
+
 def test_join_embed_keys_as_text_and_last_wins(spark):
     base = spark.createDataFrame([(1, "10", "old"), (2, "11", "old"), (3, None, "old")], "id int, k string, customer string")
     lookup = spark.createDataFrame([(10, "first", 0), (10, "last", 1), (None, "x", 2)], "k int, name string, _ordinal int")
@@ -101,10 +105,38 @@ def test_sql_columns_of_users(spark):
     ],
 )
 def test_merge_table(spark, values, kind, sql_type):
-    records = variants(spark, [{"f": v} for v in values])
-    (f,) = [f for f in S.infer_fields(records) if f.path == ("f",)]
-    assert f.kind == kind and not f.nested
-    assert [c.sql_type for c in S.infer_columns(records)] == [sql_type]
+    records = [{"f": v} for v in values]
+    for df, c in ((variants(spark, records), "v"), (texts(spark, records), "j")):
+        (f,) = [f for f in S.infer_fields(df, c) if f.path == ("f",)]
+        assert f.kind == kind and not f.nested
+        assert [s.sql_type for s in S.infer_columns(df, c)] == [sql_type]
+
+
+def test_text_and_variant_agree(spark):
+    import random
+
+    rnd = random.Random(2)
+
+    def value(depth):
+        kind = rnd.randrange(9 if depth else 7)
+        if kind == 7:
+            return {rnd.choice("abc"): value(depth - 1) for _ in range(rnd.randrange(3))}
+        if kind == 8:
+            return [value(depth - 1) for _ in range(rnd.randrange(3))]
+        return [None, True, 3, 2.5, "x", "2024-01-01", 2**70][kind]
+
+    for _ in range(3):
+        records = [{k: value(2) for k in "pqr" if rnd.random() < 0.8} for _ in range(12)]
+        both = [S.infer_fields(variants(spark, records)), S.infer_fields(texts(spark, records), "j")]
+        assert both[0] == both[1]
+        assert S.infer_columns(variants(spark, records)) == S.infer_columns(texts(spark, records), "j")
+
+
+def test_text_records_follow_the_rules_of_the_format(spark):
+    rows = spark.createDataFrame([('[{"a": NaN}, {"a": 1, "a": 2.5}]',), ("[]",)], "j string")
+    assert [(f.path, f.kind) for f in S.infer_fields(rows, "j")] == [(("a",), "double")]
+    with pytest.raises(Exception, match="JSON root"):
+        S.infer_fields(spark.createDataFrame([("3",)], "j string"), "j")
 
 
 def test_strict_dates(spark):
