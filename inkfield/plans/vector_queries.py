@@ -167,11 +167,16 @@ def ivf_flat_full_probe(spark, sf_dir):
     return _hits(ivf.search(index, _label_means(spark, sf_dir), 5, 16, id_="query_id"), "l2", "sq_distance")
 
 
+def _lists(rows) -> int:
+    """As many lists as the root of the rows: lists and what is read of them grow alike."""
+    return max(16, int(rows.count() ** 0.5))
+
+
 @query()
 def ivf_flat_search(spark, sf_dir):
-    """Approximate search in 4 of 16 lists, for every vector."""
+    """Approximate search in 4 lists, for every vector."""
     e = _embeddings(spark, sf_dir)
-    index = ivf.build(e, lists=16, pq_m=None, id_="vec_id")
+    index = ivf.build(e, lists=_lists(e), pq_m=None, id_="vec_id")
     return _hits(ivf.search(index, e, 5, 4, id_="vec_id"), "l2", "sq_distance")
 
 
@@ -179,7 +184,7 @@ def ivf_flat_search(spark, sf_dir):
 def ivfpq_search(spark, sf_dir):
     """Approximate search over product codes, for every vector."""
     e = _embeddings(spark, sf_dir)
-    index = ivf.build(e, lists=16, pq_m=16, pq_nbits=6, id_="vec_id")
+    index = ivf.build(e, lists=_lists(e), pq_m=16, pq_nbits=6, id_="vec_id")
     return _hits(ivf.search(index, e, 5, 8, id_="vec_id"), "l2", "sq_distance")
 
 
@@ -309,5 +314,5 @@ def indexed_question_contexts(spark, sf_dir):
     docs = wide(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("source"), "text")
     chunks = embed_documents(split_documents(docs, doc_id="source"), ENCODER)
     chunks = materialize(chunks.select("chunk_id", "text", "embedding"), "chunks")
-    index = ivf.build(chunks, lists=32, pq_m=None, id_="chunk_id")
+    index = ivf.build(chunks, lists=_lists(chunks), pq_m=None, id_="chunk_id")
     return R.contexts(_questions(spark, sf_dir), chunks, index, ENCODER, probes=8)
