@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkfield.llm import pii
 from inkfield.llm.near_text import near_duplicates
 from inkfield.plans.registry import table
 from inkfield.session import ship
@@ -14,10 +15,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal values replaced, and how many of each kind."""
+    return pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with similar sets of four-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-for _f in (op6_minhash_near_dedup,):
+for _f in (op4_pii_pseudonyms, op6_minhash_near_dedup):
     QUERIES[_f.__name__] = _f
