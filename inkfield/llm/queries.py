@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfield.llm import pii
+from inkfield.llm import pii, toxicity
 from inkfield.llm.near_text import near_duplicates
 from inkfield.plans.registry import table
 from inkfield.session import ship
@@ -25,5 +25,18 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-for _f in (op4_pii_pseudonyms, op6_minhash_near_dedup):
-    QUERIES[_f.__name__] = _f
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled documents outside the held-out fold."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+for _f in (op4_pii_pseudonyms, op6_minhash_near_dedup, op8_toxicity):
+    QUERIES[_f.__name__] = _registered(_f)
