@@ -125,27 +125,37 @@ def _sets(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _link(tables: Tables, keys: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """(node, component) after as many rounds as find links."""
-    spark = keys.sparkSession
+    """(node, component) after as many rounds as find links.
+
+    The first round's leaders also serve as marks: Jaccard distance is a metric, so two classes whose distances to a mark
+    differ by more than the threshold cannot be linked and are not compared again.
+    """
+    spark, far = keys.sparkSession, 1 - settings.similarity / 100 + 1e-9
     components = spark.createDataFrame([], "node binary, component binary")
-    tested = spark.createDataFrame([], "a binary, b binary")
-    turn = 0
+    tested, marks, turn = None, None, 0
     while True:
         members = keys.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         order = F.xxhash64("node") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
         leaders = tables.keep(
             members.groupBy("key").agg(
-                F.min_by(F.struct("node", "n", "component"), order).alias("leader"),
+                F.min_by(F.struct("node", "n", "component"), F.struct(order, "node")).alias("leader"),
                 F.min("component").alias("least"), F.max("component").alias("most"),
             ).where("least <> most").select("key", "leader")
         )
+        still = tables.keep(members.join(leaders, "key"))
+        keys = still.select("key", "node", "n")
         size, other = F.col("n"), F.col("leader.n")
-        pairs = members.join(leaders, "key").where(
+        here = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("of"))
+        there = F.struct(F.xxhash64("leader.node").alias("h"), F.col("leader.node").alias("of"))
+        pairs = still.where(
             (F.col("component") != F.col("leader.component"))
             & (100 * F.least(size, other) >= settings.similarity * F.greatest(size, other))
-        ).select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
-        pairs = tables.keep(pairs.join(tested, ["a", "b"], "left_anti"))
-        links = tables.keep(_verified(pairs, sets, settings))
+        ).select(F.greatest(here, there)["of"].alias("a"), F.least(here, there)["of"].alias("b")).distinct()
+        if turn:
+            pairs = _possible(pairs.join(tested, ["a", "b"], "left_anti"), marks, far)
+        pairs = tables.keep(pairs)
+        results = tables.keep(_compared(pairs, sets))
+        links = results.where(100 * F.col("common") >= settings.similarity * F.col("whole")).select("a", "b")
         tables.drop(leaders)
         if links.isEmpty():
             return components
@@ -159,27 +169,39 @@ def _link(tables: Tables, keys: DataFrame, sets: DataFrame, settings: Settings)
         old = components.join(
             merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left"
         ).select("node", F.coalesce("to", "component").alias("component"))
-        new = merged.join(components.select("node"), "node", "left_anti")
-        components = tables.keep(old.unionAll(new))
-        tested = tables.keep(tested.unionAll(pairs))
+        components = tables.keep(old.unionAll(merged.join(components.select("node"), "node", "left_anti")))
+        if turn == 0:
+            distance = 1 - F.col("common") / F.col("whole")
+            marks = tables.keep(
+                results.groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("mark"), distance.alias("d"))).alias("marks"))
+            )
+        tested = pairs if tested is None else tables.keep(tested.unionAll(pairs))
         turn += 1
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-    percent = settings.similarity
+def _possible(pairs: DataFrame, marks: DataFrame, far: float) -> DataFrame:
+    """Pairs that no common mark rules out."""
+    apart = F.exists(
+        "x", lambda p: F.exists("y", lambda q: (p["mark"] == q["mark"]) & (F.abs(p["d"] - q["d"]) > far))
+    )
+    both = pairs.join(marks.select("a", F.col("marks").alias("x")), "a", "left").join(
+        marks.select(F.col("a").alias("b"), F.col("marks").alias("y")), "b", "left"
+    )
+    return both.where(~F.coalesce(apart, F.lit(False))).select("a", "b")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with the sizes of the intersection and union of their whole sets."""
 
-    def similar(columns):
-        a, b = [], []
-        for x, y, s, t in zip(columns["a"], columns["b"], columns["s"], columns["t"]):
+    def sizes(columns):
+        common, whole = [], []
+        for s, t in zip(columns["s"], columns["t"]):
             s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-            common = len(s) + len(t) - len(np.union1d(s, t))
-            if 100 * common >= percent * (len(s) + len(t) - common):
-                a.append(x)
-                b.append(y)
-        return {"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())}
+            whole.append(len(np.union1d(s, t)))
+            common.append(len(s) + len(t) - whole[-1])
+        return {"a": columns["a"], "b": columns["b"], "common": common, "whole": whole}
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b"
     )
-    return arrow_rows(both, similar, "a binary, b binary")
+    return arrow_rows(both, sizes, "a binary, b binary, common long, whole long")

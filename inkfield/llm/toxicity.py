@@ -8,6 +8,7 @@ are labelled as a whole: which word of a toxic text makes it so is found in turn
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ SAMPLE_ROWS = 4000  # labelled texts of either class that the fit looks at, at m
 LANDMARKS = 96
 NEUTRAL = 32
 TURNS = 4
+SUSPECT = 8.0  # least odds of a landmark that stands for toxic texts
 NEAR = 0.35  # kernel with the nearest landmark below which a word is no evidence
 KNOWN_WORDS = 1_000_000
 
@@ -135,23 +137,42 @@ def _decide(landmarks: Landmarks, model: Model, words: list[str]) -> np.ndarray:
     return np.maximum(out, model.bias)
 
 
+def _unlike(texts: list[list[str]]) -> list[list[str]]:
+    """One of the texts that share the words with the least hashes, so that copies count once."""
+    first = {}
+    for t in texts:
+        first.setdefault(tuple(sorted((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in t))[:4]), t)
+    return list(first.values())
+
+
 def _fit_words(toxic: list[list[str]], clean: list[list[str]]) -> Model:
     """A model from the distinct words of toxic and clean texts."""
     nothing = Model([], np.zeros(0), -1.0, 4.0, 0.0)
     if not toxic or not clean:
         return nothing
-    in_toxic, in_clean = (Counter(w for t in texts for w in t) for texts in (toxic, clean))
-    share = lambda w: in_toxic[w] / len(toxic) - in_clean[w] / len(clean)
-    odds = lambda w: (in_toxic[w] + 0.5) / len(toxic) / ((in_clean[w] + 0.5) / len(clean))
-    ranked = sorted((w for w in in_toxic if odds(w) >= 4 and in_toxic[w] >= 2), key=lambda w: (-share(w), w))
+    once, spared = _unlike(toxic), _unlike(clean)
+    in_toxic, in_clean = (Counter(w for t in texts for w in t) for texts in (once, spared))
+
+    def odds(w: str, n: int) -> float:
+        """How much more of the toxic texts have a word, both counts taken two deviations to its disfavour."""
+        c = in_clean[w]
+        return (n - 2 * n**0.5) / len(once) / ((c + 2 * c**0.5 + 1) / len(spared))
+
+    # A suspect stands in many toxic texts, or in texts that the suspects before it leave unexplained.
+    ranked, open_texts = [], [set(t) for t in once]
+    for w, n in sorted(in_toxic.items(), key=lambda x: (-x[1], x[0])):
+        if n < 5 or len(ranked) == LANDMARKS - NEUTRAL:
+            break
+        if odds(w, n) >= SUSPECT and (n >= 0.05 * len(once) or odds(w, sum(w in t for t in open_texts)) >= SUSPECT):
+            ranked.append(w)
+            open_texts = [t for t in open_texts if w not in t]
     if not ranked:
         return nothing
-    suspects = ranked[: LANDMARKS - NEUTRAL]
     # Neutral landmarks: frequent words of clean texts that look most like a suspect.
-    frequent = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[:20_000] if w not in suspects]
-    k, near = Landmarks(suspects).kernel(frequent, NEAR)
+    frequent = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[:20_000] if w not in ranked]
+    k, near = Landmarks(ranked).kernel(frequent, NEAR)
     order = np.argsort(-k.max(axis=1, initial=0.0), kind="stable")[:NEUTRAL]
-    landmarks = Landmarks(suspects + [frequent[near[i]] for i in order])
+    landmarks = Landmarks(ranked + [frequent[near[i]] for i in order])
     # Words of clean texts are innocent; in a toxic text, the word that the machine likes most is the guilty one.
     words = sorted(set(in_toxic) | set(in_clean))
     kernel, near = [], []
@@ -171,8 +192,10 @@ def _fit_words(toxic: list[list[str]], clean: list[list[str]]) -> Model:
     innocent = np.array([n for w, n in place.items() if in_clean[w]], int)
     if not bags:
         return nothing
-    blamed = np.array([place[w] for w in suspects if w in place and not in_clean[w]], int)
-    suspicion = kernel[:, : len(suspects)].max(axis=1)
+    often = np.array([in_clean[words[near[n]]] for n in innocent]) ** 0.5
+    often *= 0.5 / max(1.0, often.sum())
+    blamed = np.array([place[w] for w in ranked if w in place and not in_clean[w]], int)
+    suspicion = kernel[:, : len(ranked)].max(axis=1)
     suspicion[innocent] -= 2.0
     for _ in range(TURNS):
         guilty = np.array([b[np.argmax(suspicion[b])] for b in bags])
@@ -180,16 +203,17 @@ def _fit_words(toxic: list[list[str]], clean: list[list[str]]) -> Model:
         guilty = np.union1d(guilty[suspicion[guilty] > -1], blamed).astype(int)
         if not len(guilty):
             return nothing
+        blame = np.array([in_toxic[words[near[n]]] + 1.0 for n in guilty])
         x = np.concatenate([z[guilty], z[innocent]])
         y = np.r_[np.ones(len(guilty)), -np.ones(len(innocent))]
-        theta, bias = _machine(x, y, np.r_[np.full(len(guilty), 0.5 / len(guilty)), np.full(len(innocent), 0.5 / max(1, len(innocent)))])
+        theta, bias = _machine(x, y, np.r_[0.5 * blame / blame.sum(), often])
         suspicion = z @ theta + bias
         suspicion[innocent] -= 2.0
     bias = min(bias, -1.0)
     decide = np.maximum(z @ theta + bias, bias)
     worst = lambda t: max((decide[place[w]] for w in t if w in place), default=bias)
     f = np.array([worst(t) for t in toxic] + [worst(t) for t in clean])
-    slope, shift = _platt(f, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+    slope, shift = _split(f, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
     return Model(landmarks.words, whiten @ theta, float(bias), slope, shift)
 
 
@@ -207,14 +231,16 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return w[:-1], float(w[-1])
 
 
-def _platt(f: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Slope and shift of the logistic curve that fits decisions to classes, both classes weighing the same."""
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    slope, shift = 2.0, 0.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(slope * f + shift, -30, 30)))
-        g, h = weight * (p - y), weight * p * (1 - p)
-        hess = np.array([[h @ (f * f), h @ f], [h @ f, h.sum()]]) + 1e-4 * np.eye(2)
-        step = np.linalg.solve(hess, [g @ f + 1e-4 * slope, g.sum()])
-        slope, shift = slope - np.clip(step[0], -1, 1), shift - np.clip(step[1], -1, 1)
-    return float(max(slope, 0.1)), float(shift)
+def _split(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve that is one half where the fewest texts are on the wrong side."""
+    order = np.argsort(f, kind="stable")
+    f, y = f[order], y[order]
+    below = np.cumsum(np.where(y > 0, -1.0, 1.0))
+    border = np.flatnonzero(f[1:] > f[:-1])
+    if not len(border):
+        return 4.0, -4.0 * float(f[-1]) - 1.0
+    at = border[np.argmax(below[border])]
+    middle = (f[at] + f[at + 1]) / 2
+    guilty = f[(y > 0) & (f > middle)]
+    slope = 4.0 / max(0.1, float(np.median(guilty) - middle)) if len(guilty) else 4.0
+    return slope, float(-slope * middle)
