@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfield.llm import pii, toxicity
+from inkfield.llm import packing, pii, token_files, toxicity
 from inkfield.llm.near_text import near_duplicates
 from inkfield.plans.registry import table
 from inkfield.session import ship
@@ -20,6 +20,11 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with similar sets of four-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -30,6 +35,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids in the token files, read back from them."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -38,5 +48,5 @@ def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-for _f in (op4_pii_pseudonyms, op6_minhash_near_dedup, op8_toxicity):
+for _f in (op4_pii_pseudonyms, op5_best_fit_packing, op6_minhash_near_dedup, op8_toxicity, op9_token_files):
     QUERIES[_f.__name__] = _registered(_f)
