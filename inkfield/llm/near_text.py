@@ -73,6 +73,22 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     )
 
 
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each component the document with the least doc_id stays.
+
+    Rows without doc_id cannot be told apart by it and stay; of repeated rows (same doc_id and text) one stays.
+    """
+    tables = Tables(docs.sparkSession, "one-of-each")
+    found = tables.keep(near_duplicates(docs, settings).where("doc_id is not null").select("doc_id", "kept"))
+    gone = found.where("not kept").select("doc_id").distinct()
+    repeated = tables.keep(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    rest = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    if repeated.isEmpty():
+        return rest
+    again = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(repeated, "doc_id", "left_anti").unionByName(again).select(*[f"`{c}`" for c in docs.columns])
+
+
 def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
     """doc_id, n_shingles, node (128-bit hash of the set, null if empty), groups (minhash group values)."""
     width, groups, rows = settings.words, settings.groups, settings.rows

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfield.llm import packing, pii, token_files, toxicity
-from inkfield.llm.near_text import near_duplicates
+from inkfield.llm import bpe, packing, pii, token_files, toxicity
+from inkfield.llm.near_text import Settings, near_duplicates
 from inkfield.plans.registry import table
 from inkfield.session import ship
 
@@ -15,6 +15,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal values replaced, and how many of each kind."""
     return pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -27,7 +32,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with similar sets of four-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), Settings(words=4))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +53,5 @@ def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-for _f in (op4_pii_pseudonyms, op5_best_fit_packing, op6_minhash_near_dedup, op8_toxicity, op9_token_files):
+for _f in (op2_bpe_round_trip, op4_pii_pseudonyms, op5_best_fit_packing, op6_minhash_near_dedup, op8_toxicity, op9_token_files):
     QUERIES[_f.__name__] = _registered(_f)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-WORDS_PER_SHINGLE = 4
+WORDS_PER_SHINGLE = 5
 WORD_CACHE = 400_000
 BLOCK = 2048  # shingles hashed at once, to stay in the processor's cache
 

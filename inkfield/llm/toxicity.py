@@ -13,10 +13,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import arrow_rows, remainder
+from inkfield.llm.common import remainder
 from inkfield.llm.string_kernel import Landmarks
 
 FOLDS = 5
@@ -71,32 +72,34 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return _fit_words(*classes)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) of each row of ``docs`` (doc_id, text), whole texts.
-
-    Null and empty texts have the score of a text without evidence. Rows stay as they are, repeated ones too; other
-    columns are ignored.
-    """
+def score_of(text: str, model: Model) -> Column:
+    """Score (0 to 1) of the whole text in a column; a null or empty text has the score of one without evidence."""
     scorer = _WordScores(model)
 
-    def scores(columns):
-        texts = [words_of(t.as_py()) for t in columns["text"]]
-        return {"doc_id": columns["doc_id"], "score": scorer.of_texts(texts)}
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        parts = [texts.iloc[k : k + 1000] for k in range(0, len(texts), 1000)]
+        return pd.Series(np.concatenate([scorer.of_texts([words_of(t) for t in p]) for p in parts] or [np.zeros(0)]))
+
+    return scores(F.col(text))
 
-    return arrow_rows(docs.select("doc_id", "text"), scores, "doc_id long, score double")
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below one half; null and empty texts stay."""
+    model = fit(training_rows(docs, labels), sample_rows)
+    scored = docs.withColumn("__score", score_of("text", model))
+    return scored.where((F.col("__score") < 0.5) | (F.coalesce("text", F.lit("")) == "")).drop("__score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: learned from the labelled rows outside the held-out fold, scored for all rows.
 
-    The fold of a row is crc32 of its doc_id as text, modulo 5; fold 0 is held out. Labels serve the fit only.
+    Null and empty texts are scored too, as texts without evidence. Repeated rows stay; other columns are ignored. An empty
+    table gives an empty result. The fold of a row is crc32 of its doc_id as text, modulo 5; fold 0 is held out. Labels serve the fit only.
     """
     model = fit(training_rows(docs, labels), sample_rows)
-    out = score(docs, model)
-    return out.select(
-        "doc_id", (remainder("doc_id", FOLDS) == 0).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
-    )
+    out = docs.select("doc_id", (remainder("doc_id", FOLDS) == 0).alias("held_out"), score_of("text", model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
