@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkfield.llm import bpe, packing, pii, token_files, toxicity
+from inkfield.llm import bpe, packing, pii, token_files, toxicity, tree_search
 from inkfield.llm.near_text import Settings, near_duplicates
+from inkfield.llm.near_vectors import near_vectors
 from inkfield.plans.registry import table
 from inkfield.session import ship
 
@@ -15,6 +17,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op1_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return tree_search.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.encoded_digests(table(spark, sf_dir, "documents"))
@@ -35,6 +43,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Settings(words=4))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled documents outside the held-out fold."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -53,5 +66,8 @@ def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-for _f in (op2_bpe_round_trip, op4_pii_pseudonyms, op5_best_fit_packing, op6_minhash_near_dedup, op8_toxicity, op9_token_files):
+for _f in (
+    op1_tree_search, op2_bpe_round_trip, op4_pii_pseudonyms, op5_best_fit_packing, op6_minhash_near_dedup, op7_near_vectors,
+    op8_toxicity, op9_token_files,
+):
     QUERIES[_f.__name__] = _registered(_f)
