@@ -54,22 +54,26 @@ def words_of(text: str | None) -> list[str]:
     return words
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from ``labelled`` (doc_id, text, toxic 0/1), on at most ``sample_rows`` texts of either class.
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1), on at most ``sample_rows`` texts of either class.
 
-    The sample is the rows with the least hash of doc_id, so it does not depend on their order or partitions. Rows
-    without a label or text are left out. Without both classes the model finds nothing toxic.
+    The fold of a row is crc32 of its doc_id as text, modulo 5; fold 0 is held out. The sample is those of the other
+    labelled rows with the least hash of doc_id, so it does not depend on their order or partitions, and only the
+    texts of the sample leave the table. Rows without a label or text are left out; a document with both
+    labels counts as toxic. Without both classes the model finds nothing toxic.
     """
-    classes = []
-    for toxic in (1, 0):
-        rows = (
-            labelled.where((F.col("toxic") == toxic) & F.col("text").isNotNull())
-            .select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("at"))
-            .distinct().orderBy("at", "doc_id").limit(sample_rows)
-        )
-        texts = labelled.where(F.col("toxic") == toxic).join(F.broadcast(rows.select("doc_id")), "doc_id")
-        classes.append([sorted(set(words_of(r["text"]))) for r in texts.orderBy("doc_id").select("text").collect()])
-    return _fit_words(*classes)
+    known = (
+        labels.where((remainder("doc_id", FOLDS) != 0) & F.col("toxic").isin(0, 1))
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    )
+    order = F.xxhash64("doc_id", F.lit(17))
+    chosen = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample_rows).collect() for c in (1, 0)]
+    sample = docs.sparkSession.createDataFrame(
+        [(r["doc_id"], int(r["toxic"])) for rows in chosen for r in rows], "doc_id long, __toxic int"
+    )
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
+    rows = sorted(texts.distinct().collect(), key=lambda r: (r["doc_id"], r["text"]))
+    return _fit_words(*[[sorted(set(words_of(r["text"]))) for r in rows if r["__toxic"] == c] for c in (1, 0)])
 
 
 def score_of(text: str, model: Model) -> Column:
@@ -86,7 +90,7 @@ def score_of(text: str, model: Model) -> Column:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below one half; null and empty texts stay."""
-    model = fit(training_rows(docs, labels), sample_rows)
+    model = fit(docs, labels, sample_rows)
     scored = docs.withColumn("__score", score_of("text", model))
     return scored.where((F.col("__score") < 0.5) | (F.coalesce("text", F.lit("")) == "")).drop("__score")
 
@@ -97,17 +101,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     Null and empty texts are scored too, as texts without evidence. Repeated rows stay; other columns are ignored. An empty
     table gives an empty result. The fold of a row is crc32 of its doc_id as text, modulo 5; fold 0 is held out. Labels serve the fit only.
     """
-    model = fit(training_rows(docs, labels), sample_rows)
+    model = fit(docs, labels, sample_rows)
     out = docs.select("doc_id", (remainder("doc_id", FOLDS) == 0).alias("held_out"), score_of("text", model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the labelled rows outside the held-out fold."""
-    marked = labels.where((remainder("doc_id", FOLDS) != 0) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(marked.distinct(), "doc_id")
-
-
 class _WordScores:
     """Decisions for words, remembered for those seen last: at most KNOWN_WORDS, and apart those that are evidence."""
 
