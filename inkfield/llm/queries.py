@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfield.llm import bpe, packing, pii, token_files, toxicity, tree_search
+from inkfield.llm import bpe, html_extract, packing, pii, token_files, toxicity, tree_search
 from inkfield.llm.near_text import Settings, near_duplicates
 from inkfield.llm.near_vectors import near_vectors
 from inkfield.plans.registry import table
@@ -28,6 +28,11 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal values replaced, and how many of each kind."""
     return pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,7 +72,7 @@ def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 for _f in (
-    op1_tree_search, op2_bpe_round_trip, op4_pii_pseudonyms, op5_best_fit_packing, op6_minhash_near_dedup, op7_near_vectors,
+    op1_tree_search, op2_bpe_round_trip, op3_html_main_text, op4_pii_pseudonyms, op5_best_fit_packing, op6_minhash_near_dedup, op7_near_vectors,
     op8_toxicity, op9_token_files,
 ):
     QUERIES[_f.__name__] = _registered(_f)
