@@ -7,7 +7,8 @@ import re
 import numpy as np
 
 END = 0
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
+CHARS_AT_ONCE = 1_000_000
 
 # How the tokenizer's files cut text into words, for letters up to U+024F (fixed values: its pattern and Unicode's classes).
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
@@ -45,33 +46,43 @@ class DocumentIds:
         self.place: dict[str, int] = {}
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
-        self._store(0, [END])  # entry 0 is the end of a document
+        self.place[""] = 0
+        self._store(0, [END])
 
-    def __call__(self, texts: list[str | None], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the number of each text's ids; with ``end``, END follows each text."""
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, END after each text's, and the number of each text's ids with it."""
         if self.library is None:
             self._open()
+        parts, part, chars = [], [], 0
+        for t in texts:
+            part.append(t or "")
+            chars += len(part[-1])
+            if chars > CHARS_AT_ONCE:
+                parts.append(self._some(part))
+                part, chars = [], 0
+        parts.append(self._some(part))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > KNOWN_WORDS:
             self._forget()
-        texts = [t or "" for t in texts]
-        whole = [bool(_OTHER.search(t)) or any(s in t for s in self.specials) for t in texts]
-        words, count = [], np.zeros(len(texts), np.int64)
+        words, count, apart = [], np.ones(len(texts), np.int64), []
         for k, t in enumerate(texts):
-            own = [t] if whole[k] else _WORDS.findall(t)
+            if _OTHER.search(t) or any(s in t for s in self.specials):
+                own = [t]
+                apart.append(t)
+            else:
+                own = _WORDS.findall(t)
             words += own
-            count[k] = len(own)
-        apart = {t for t, w in zip(texts, whole) if w}
+            words.append("")  # the end
+            count[k] += len(own)
         self._learn(list(set(words).difference(self.place)))
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         for t in apart:  # whole texts are not worth remembering
             self.place.pop(t, None)
-        if end:
-            at = np.insert(at, np.cumsum(count), 0)
-            count = count + 1
         size = self.size[at]
         ids = self.flat[np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        total = np.r_[0, np.cumsum(size)]
-        last = np.cumsum(count)
+        total, last = np.r_[0, np.cumsum(size)], np.cumsum(count)
         return ids, total[last] - total[last - count]
 
     def _learn(self, words: list[str]) -> None:
