@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfield.llm import bpe, html_extract, packing, pii, token_files, toxicity, tree_search
+from inkfield.llm import bpe, html_extract, language_model, packing, pii, token_files, toxicity, tree_search
 from inkfield.llm.near_text import Settings, near_duplicates
 from inkfield.llm.near_vectors import near_vectors
 from inkfield.plans.registry import table
@@ -63,6 +63,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under the word model and the attention model."""
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -73,6 +78,6 @@ def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 for _f in (
     op1_tree_search, op2_bpe_round_trip, op3_html_main_text, op4_pii_pseudonyms, op5_best_fit_packing, op6_minhash_near_dedup, op7_near_vectors,
-    op8_toxicity, op9_token_files,
+    op8_toxicity, op9_token_files, op10_language_model,
 ):
     QUERIES[_f.__name__] = _registered(_f)

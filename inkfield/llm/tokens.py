@@ -32,8 +32,8 @@ class DocumentIds:
     special token's own text are given to the library whole.
     """
 
-    def __init__(self, name: str):
-        self.name, self.library = name, None
+    def __init__(self, name: str, end: int = END):
+        self.name, self.end, self.library = name, end, None
 
     def _open(self):
         from tokenizers import Tokenizer
@@ -47,10 +47,10 @@ class DocumentIds:
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
         self.place[""] = 0
-        self._store(0, [END])
+        self._store(0, [self.end])
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, END after each text's, and the number of each text's ids with it."""
+        """All ids in a row, the end id after each text's, and the number of each text's ids with it."""
         if self.library is None:
             self._open()
         parts, part, chars = [], [], 0
