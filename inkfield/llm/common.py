@@ -44,6 +44,19 @@ class Tables:
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+_OF_PROCESS: dict[tuple, object] = {}
+
+
+def of_process(kind: Callable, *args):
+    """One ``kind(*args)`` for all tasks of a Python worker, so that what it has learned serves the next task too."""
+    key = (kind, args)
+    if key not in _OF_PROCESS:
+        if len(_OF_PROCESS) >= 8:
+            _OF_PROCESS.pop(next(iter(_OF_PROCESS)))
+        _OF_PROCESS[key] = kind(*args)
+    return _OF_PROCESS[key]
+
+
 def arrow_rows(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list | pa.Array]], schema: str) -> DataFrame:
     """``f`` on the columns of each Arrow batch; it returns the columns of ``schema``, in any number of rows."""
     to = _arrow_schema(df.sparkSession, schema)

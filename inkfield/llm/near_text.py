@@ -10,12 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import Tables, arrow_rows, connected
+from inkfield.llm.common import Tables, arrow_rows, connected, of_process
 from inkfield.llm.shingles import WORDS_PER_SHINGLE, Collections, WordHashes, shingle_set, words_of
 
 GROUPS = 12
 ROWS = 3
 SIMILARITY = 80  # percent
+BROADCAST_ROWS = 500_000  # of some 60 bytes
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("groups").alias("groups"))
     )
     keys = tables.keep(_shared_keys(tables, classes, settings))
-    sets = tables.keep(_sets(docs, classes.join(keys.select("node").distinct(), "node", "left_semi"), settings))
+    sets = tables.keep(_sets(tables, docs, classes.join(keys.select("node").distinct(), "node", "left_semi"), settings))
     components = _link(tables, keys, sets, settings)
     named = tables.keep(
         classes.join(components, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
@@ -92,9 +93,8 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
     """doc_id, n_shingles, node (128-bit hash of the set, null if empty), groups (minhash group values)."""
     width, groups, rows = settings.words, settings.groups, settings.rows
-    hashes, draw = WordHashes(), Collections(groups, rows)
-
     def signatures(columns):
+        hashes, draw = of_process(WordHashes), of_process(Collections, groups, rows)
         n, node, values = [], [], []
         for text in columns["text"]:
             s = shingle_set(words_of(text.as_py()), hashes, width)
@@ -121,11 +121,12 @@ def _shared_keys(tables: Tables, classes: DataFrame, settings: Settings) -> Data
     return pairs.select(F.xxhash64("x", "y").alias("key"), "node", "n")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+def _sets(tables: Tables, docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """node, shingles: the whole sets of the given classes, read again from one of their documents."""
-    width, hashes = settings.words, WordHashes()
+    width = settings.words
 
     def collect(columns):
+        hashes = of_process(WordHashes)
         node, sets = [], []
         for of, text in zip(columns["node"], columns["text"]):
             s = shingle_set(words_of(text.as_py()), hashes, width)
@@ -134,8 +135,9 @@ def _sets(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
                 sets.append(s.tobytes())
         return {"node": pa.array(node, pa.binary()), "shingles": sets}
 
+    wanted = tables.keep(classes.select("node", F.col("doc_id").alias("doc_id_")))
     texts = docs.select("doc_id", "text").join(
-        classes.select("node", F.col("doc_id").alias("doc_id_")), F.col("doc_id").eqNullSafe(F.col("doc_id_"))
+        _shipped(wanted), F.col("doc_id").eqNullSafe(F.col("doc_id_"))
     ).select("node", "text")
     return arrow_rows(texts, collect, "node binary, shingles binary").dropDuplicates(["node"])
 
@@ -170,7 +172,7 @@ def _link(tables: Tables, keys: DataFrame, sets: DataFrame, settings: Settings)
         if turn:
             pairs = _possible(pairs.join(tested, ["a", "b"], "left_anti"), marks, far)
         pairs = tables.keep(pairs)
-        results = tables.keep(_compared(pairs, sets))
+        results = tables.keep(_compared(tables, pairs, sets))
         links = results.where(100 * F.col("common") >= settings.similarity * F.col("whole")).select("a", "b")
         tables.drop(leaders)
         if links.isEmpty():
@@ -206,18 +208,26 @@ def _possible(pairs: DataFrame, marks: DataFrame, far: float) -> DataFrame:
     return both.where(~F.coalesce(apart, F.lit(False))).select("a", "b")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compared(tables: Tables, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs with the sizes of the intersection and union of their whole sets."""
 
     def sizes(columns):
         common, whole = [], []
-        for s, t in zip(columns["s"], columns["t"]):
-            s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+        for both in columns["sets"]:
+            s, t = (np.frombuffer(x.as_buffer(), np.uint64) for x in both.values)
             whole.append(len(np.union1d(s, t)))
             common.append(len(s) + len(t) - whole[-1])
         return {"a": columns["a"], "b": columns["b"], "common": common, "whole": whole}
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b"
+    # Only sets of compared classes are moved, and once for each pair.
+    numbered = tables.keep(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    ends = numbered.select("pair", "a", "b", F.explode(F.array("a", "b")).alias("node"))
+    met = sets.join(_shipped(tables.keep(ends)), "node").groupBy("pair").agg(
+        F.first("a").alias("a"), F.first("b").alias("b"), F.collect_list("shingles").alias("sets")
     )
-    return arrow_rows(both, sizes, "a binary, b binary, common long, whole long")
+    return arrow_rows(met.select("a", "b", "sets"), sizes, "a binary, b binary, common long, whole long")
+
+
+def _shipped(rows: DataFrame) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it has at most BROADCAST_ROWS; larger ones are shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
