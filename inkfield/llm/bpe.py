@@ -9,11 +9,11 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from inkfield.llm.common import arrow_rows
+from inkfield.llm.common import arrow_rows, of_process
 from inkfield.llm.tokens import tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 400_000
 NONE = 1 << 62
 
 LONG = 128  # symbols above which a word gets a tree of its own; shorter ones are merged side by side
@@ -225,9 +225,8 @@ def _byte_letters() -> list[str]:
 
 def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, ids of each row of ``docs`` (doc_id, text); a null text has no ids. Other columns are ignored."""
-    coder = _Coder(tokenizer)
-
     def run(c):
+        coder = of_process(_Coder, tokenizer)
         return {"doc_id": c["doc_id"], "ids": [list(map(int, ids.split())) for _, ids, _ in coder(c["text"].to_pylist())]}
 
     return arrow_rows(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
@@ -239,9 +238,8 @@ def encoded_digests(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     Hashed are the decimal ids joined by one blank, and the text that the ids decode to. Null and empty texts have no
     ids and the hash of the empty text. Repeated rows and rows without doc_id stay; other columns are ignored.
     """
-    coder = _Coder(tokenizer)
-
     def run(c):
+        coder = of_process(_Coder, tokenizer)
         out = {"doc_id": c["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for n, ids, decoded in coder(c["text"].to_pylist()):
             out["n_tokens"].append(n)
@@ -264,8 +262,8 @@ class _Coder:
         """For each text the number of ids, the ids, and the text they decode to."""
         if self.encoder is None:
             self.encoder = PairEncoder(tokenizer_path(self.tokenizer))
-        for at in range(0, len(texts), 1000):
-            yield from self._some(texts[at : at + 1000])
+        for at in range(0, len(texts), 300):
+            yield from self._some(texts[at : at + 300])
 
     def _some(self, texts: list[str | None]):
         encoder, known = self.encoder, self.known

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import Tables, arrow_rows
+from inkfield.llm.common import Tables, arrow_rows, of_process
 from inkfield.llm.tokens import DocumentIds
 
 CAPACITY = 2048
@@ -78,10 +78,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY)
 
 
 def _pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
-    encode = DocumentIds(tokenizer)
-
     def cut(c):
-        ids, sizes = encode(c["text"].to_pylist())
+        ids, sizes = of_process(DocumentIds, tokenizer)(c["text"].to_pylist())
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         data, at = memoryview(ids.astype("<u4").tobytes()), 0
         for doc, n in zip(c["doc_id"].to_pylist(), sizes.tolist()):

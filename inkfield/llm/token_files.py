@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import Tables, arrow_rows
+from inkfield.llm.common import Tables, arrow_rows, of_process
 from inkfield.llm.tokens import DocumentIds
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,10 +36,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None
     encoded, so ids are never shuffled. Repeated rows are written as often as they come, rows without doc_id first.
     Other columns are ignored.
     """
-    encode = DocumentIds(tokenizer)
-
     def run(batches):
-        total, number = 0, TaskContext.get().partitionId()
+        encode, total, number = of_process(DocumentIds, tokenizer), 0, TaskContext.get().partitionId()
         for b in batches:
             ids, sizes = encode(b.column(1).to_pylist())
             ends = np.cumsum(sizes)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import remainder
+from inkfield.llm.common import of_process, remainder
 from inkfield.llm.string_kernel import Landmarks
 
 FOLDS = 5
@@ -36,8 +36,8 @@ _SPELLED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 class Model:
     """``weights`` and ``bias`` of the machine on the landmarks' kernel; ``slope`` and ``shift`` make it a probability."""
 
-    landmarks: list[str]
-    weights: np.ndarray
+    landmarks: tuple[str, ...]
+    weights: tuple[float, ...]
     bias: float
     slope: float
     shift: float
@@ -78,10 +78,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 def score_of(text: str, model: Model) -> Column:
     """Score (0 to 1) of the whole text in a column; a null or empty text has the score of one without evidence."""
-    scorer = _WordScores(model)
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
+        scorer = of_process(_WordScores, model)
         parts = [texts.iloc[k : k + 1000] for k in range(0, len(texts), 1000)]
         return pd.Series(np.concatenate([scorer.of_texts([words_of(t) for t in p]) for p in parts] or [np.zeros(0)]))
 
@@ -115,7 +115,7 @@ class _WordScores:
     def of_texts(self, texts: list[list[str]]) -> np.ndarray:
         m = self.model
         if self.landmarks is None:
-            self.landmarks = Landmarks(m.landmarks)
+            self.landmarks = Landmarks(list(m.landmarks))
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
             self.evidence.clear()
@@ -134,7 +134,7 @@ def _decide(landmarks: Landmarks, model: Model, words: list[str]) -> np.ndarray:
     """The machine's decision for each word."""
     k, near = landmarks.kernel(words, NEAR)
     out = np.full(len(words), model.bias)
-    out[near] += k @ model.weights
+    out[near] += k @ np.array(model.weights)
     return np.maximum(out, model.bias)
 
 
@@ -148,7 +148,7 @@ def _unlike(texts: list[list[str]]) -> list[list[str]]:
 
 def _fit_words(toxic: list[list[str]], clean: list[list[str]]) -> Model:
     """A model from the distinct words of toxic and clean texts."""
-    nothing = Model([], np.zeros(0), -1.0, 4.0, 0.0)
+    nothing = Model((), (), -1.0, 4.0, 0.0)
     if not toxic or not clean:
         return nothing
     once, spared = _unlike(toxic), _unlike(clean)
@@ -215,7 +215,7 @@ def _fit_words(toxic: list[list[str]], clean: list[list[str]]) -> Model:
     worst = lambda t: max((decide[place[w]] for w in t if w in place), default=bias)
     f = np.array([worst(t) for t in toxic] + [worst(t) for t in clean])
     slope, shift = _split(f, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
-    return Model(landmarks.words, whiten @ theta, float(bias), slope, shift)
+    return Model(tuple(landmarks.words), tuple((whiten @ theta).tolist()), float(bias), slope, shift)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
