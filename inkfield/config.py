@@ -27,6 +27,3 @@ KEYWORD_MAX_CHARS = 256
 DOCUMENT_SUFFIXES = ("txt", "pdf", "docx")
 TEXT_ENCODINGS = ("utf-8", "cp1252", "latin-1", "ascii")
 ROLES = ("user", "assistant")
-
-# Rows the capped Parquet loader reads unless told otherwise.
-TRIP_MAX_ROWS = 1_000_000

@@ -13,9 +13,9 @@ KINDS = ("boolean", "long", "double", "date", "string", "object", "keyword")
 BIT = {k: 1 << i for i, k in enumerate(KINDS)}
 DICT_SEEN = 1 << 8  # an object value itself, not a list of objects
 CONTAINER_SEEN = 1 << 9  # any list or object
-TOO_DEEP = 1 << 10  # nesting beyond the depth the expression was built for
+TOO_DEEP = 1 << 10  # objects beyond the depth the expression was built for
 
-# Lists in lists that the kind of a list looks into.
+# Lists in lists whose items are looked at one by one.
 LIST_DEPTH = 3
 
 _SCALAR_BITS = {
@@ -39,8 +39,7 @@ def with_value(value: Column, f) -> Column:
 
 def _merge_items(acc: Column, b: Column) -> Column:
     """Kind of a list so far, with one more item: the kind they share, else ``keyword``."""
-    mixed = F.lit(BIT["keyword"]).bitwiseOR(acc.bitwiseOR(b).bitwiseAND(F.lit(TOO_DEEP)))
-    return F.when(b == 0, acc).when((acc == 0) | (acc == b), b).otherwise(mixed)
+    return F.when(b == 0, acc).when((acc == 0) | (acc == b), b).otherwise(F.lit(BIT["keyword"]))
 
 
 def _kind_of(v: Column, t: Column, depth: int) -> Column:
@@ -50,7 +49,11 @@ def _kind_of(v: Column, t: Column, depth: int) -> Column:
         items = F.transform(v.try_cast("array<variant>"), lambda x: kind_bits(x, depth - 1))
         of_list = F.aggregate(items, F.lit(0), _merge_items)
     else:
-        of_list = F.lit(TOO_DEEP)
+        # Below this depth the elements' merged type tells: a mix of numbers is double, a date is a string.
+        element = F.regexp_extract(F.regexp_replace(t, "^(?:ARRAY<)+", ""), "^[A-Z_]+", 0)
+        of_list = F.when(element == "STRING", BIT["string"]).otherwise(
+            F.coalesce(F.try_element_at(kinds, element), F.lit(BIT["keyword"]))
+        )
     return (
         F.when(
             t == "STRING",
@@ -66,8 +69,8 @@ def _kind_of(v: Column, t: Column, depth: int) -> Column:
 def kind_bits(v, depth: int = LIST_DEPTH) -> Column:
     """Bit of the value's kind, 0 for null and for empty or all-null lists.
 
-    A list has the one kind its items share, else ``keyword``. ``TOO_DEEP`` is set when lists nest
-    deeper than ``depth``.
+    A list has the one kind its items share, else ``keyword``; lists in lists deeper than ``depth`` are told by
+    the merged type of their elements.
     """
     v = col(v)
     return F.coalesce(with_value(F.schema_of_variant(v), lambda t: _kind_of(v, t, depth)), F.lit(0))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkfield import config
 from inkfield.session import materialize
 
 
@@ -39,7 +38,7 @@ def file_ordinals(spark: SparkSession, path, schema: T.StructType | None = None,
 
 
 def first_rows(
-    spark: SparkSession, path, max_rows: int = config.TRIP_MAX_ROWS, schema: T.StructType | None = None
+    spark: SparkSession, path, max_rows: int, schema: T.StructType | None = None
 ) -> DataFrame:
     """The first ``max_rows`` rows in file order, the same ones every time, with their ids.
 

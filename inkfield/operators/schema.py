@@ -1,7 +1,7 @@
 """Schema inference over all values of JSON records, in one pass.
 
-Records come as JSON text or as VARIANT. Text is the way for large data: it is read an order of magnitude
-faster, as no value is built and copied for each member.
+Records come as JSON text or as VARIANT. Text is faster, as no value is built and copied for each member, and takes
+what VARIANT refuses, such as a key that comes twice.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from inkfield import config
 from inkfield.functions import values as V
-from inkfield.functions.json_kinds import field_bits as text_bits
+from inkfield.functions.json_shapes import path_kinds
 from inkfield.functions.text import column_name
 
+
 @dataclass(frozen=True)
 class Field:
     """A field path with its merged kind; ``nested`` says that its objects have typed members."""
@@ -62,7 +63,7 @@ def field_kinds(records: DataFrame, value: str = "v", depth: int = 3) -> DataFra
     there are and whichever field is the common one. ``depth`` limits the levels of VARIANT objects.
     """
     if isinstance(records.schema[value].dataType, T.StringType):
-        pairs = records.select(value).mapInArrow(text_bits, "path array<string>, bits int")
+        pairs = records.select(value).mapInArrow(path_kinds, "path array<string>, bits int")
     else:
         deep = F.when(F.col("open") & F.col("t").startswith("OBJECT"), V.TOO_DEEP).otherwise(0)
         bits = V.field_bits("val", "t").bitwiseOR(deep)
@@ -76,7 +77,7 @@ def _collect_fields(records: DataFrame, value: str) -> list[tuple[tuple[str, ...
         rows = [(tuple(r["path"]), r["bits"]) for r in field_kinds(records, value, depth).collect()]
         if not any(b & V.TOO_DEEP for _, b in rows):
             return rows
-    raise ValueError("objects nest deeper than 64 levels, or lists in lists deeper than 3")
+    raise ValueError("objects nest deeper than 64 levels")
 
 
 def infer_fields(records: DataFrame, value: str = "v", strict_dates: bool = False) -> list[Field]:
@@ -170,10 +171,10 @@ def typed_rows(records: DataFrame, fields: list[Field], value: str = "v", keep:
     """Records as typed columns; a value that does not fit its field becomes null."""
     schema = spark_schema(fields)
     out = [
-        F.try_variant_get(F.col(value), f"$['{f.name}']", f.dataType.simpleString()).alias(f.name)
+        F.try_variant_get(F.try_element_at("__m", F.lit(f.name)), "$", f.dataType.simpleString()).alias(f.name)
         for f in schema.fields
     ]
-    return records.select(*keep, *out)
+    return records.select(*keep, F.col(value).try_cast("map<string,variant>").alias("__m")).select(*keep, *out)
 
 
 def relational_rows(

@@ -54,17 +54,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the session's warehouse.
 
-    Only where the session names none (tests on one machine) is a local folder made and set.
+    A folder of one machine is refused under a master that has others.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="inkfield-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    base = (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    scheme = base.partition(":")[0] if ":" in base else "file"
+    if scheme == "file" and not context.master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", None):
+        raise ValueError(f"{base} is a folder of one machine; name a shared one in spark.checkpoint.dir")
+    return base
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

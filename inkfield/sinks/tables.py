@@ -59,10 +59,13 @@ def write_keyed(docs: DataFrame, path: str, *, id_: str = "record_id") -> None:
     The new state is written beside the old and named in a pointer row that is replaced last, so a failed
     load leaves the table as it was.
     """
-    from inkfield.operators.records import upsert
+    from inkfield.operators.records import last_per_id, upsert
 
     spark = docs.sparkSession
     old = read_keyed(spark, path)
+    # The last of several rows of an id is the one that stays, in the order of the input.
+    at = "__at"
+    docs = last_per_id(docs.withColumn(at, F.monotonically_increasing_id()), id_, at).select(*docs.columns)
     new = docs if old is None else upsert(old, docs, id_)
     version = 0 if old is None else _version(spark, path) + 1
     new.write.mode("overwrite").parquet(f"{path}/v{version}")

@@ -104,39 +104,16 @@ def docx_text(files: DataFrame) -> DataFrame:
     return _per_file(files, docx_paragraphs)
 
 
+def _no_pages(raw: bytes, limit: int | None) -> list:
+    raise ValueError("PDF files need a page extractor")
+
+
 def pdf_text(files: DataFrame, pages: PageExtractor, max_pages: int = 0) -> DataFrame:
     """Page texts joined by line ends; ``max_pages`` of zero or less means all."""
     limit = max_pages if max_pages > 0 else None
     return _per_file(files, lambda raw: "\n".join(p or "" for p in list(pages(raw, limit))[:limit]))
 
 
-def pypdf_pages(raw: bytes, limit: int | None) -> list[str]:
-    """Page extractor on pypdf, imported in the worker."""
-    import pypdf
-
-    return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(raw)).pages[:limit]]
-
-
-def mupdf_pages(raw: bytes, limit: int | None) -> list[str]:
-    """Page extractor on PyMuPDF, imported in the worker."""
-    import fitz
-
-    with fitz.open(stream=raw, filetype="pdf") as doc:
-        return [doc[i].get_text("text") or "" for i in range(min(limit or len(doc), len(doc)))]
-
-
-def auto_pages(raw: bytes, limit: int | None) -> list[str]:
-    """PyMuPDF where it is installed, else pypdf."""
-    try:
-        import fitz  # noqa: F401
-    except ImportError:
-        return pypdf_pages(raw, limit)
-    return mupdf_pages(raw, limit)
-
-
-EXTRACTORS: dict[str, PageExtractor] = {"auto": auto_pages, "pymupdf": mupdf_pages, "pypdf": pypdf_pages}
-
-
 def extraction_key(max_pages: int, extractor: str) -> Column:
     """Key of an extraction: a file's place, size and time, and how it is read."""
     nanos = F.unix_micros(F.col("modificationTime")) * 1000
@@ -145,7 +122,7 @@ def extraction_key(max_pages: int, extractor: str) -> Column:
 
 
 def cached_pdf_text(
-    files: DataFrame, cache_path: str, pages: PageExtractor | None = None, max_pages: int = 0, extractor: str = "auto"
+    files: DataFrame, cache_path: str, pages: PageExtractor, max_pages: int = 0, extractor: str = "auto"
 ) -> DataFrame:
     """PDF texts through a cache table keyed by ``extraction_key``; only unknown keys are extracted.
 
@@ -160,7 +137,7 @@ def cached_pdf_text(
         if "PATH_NOT_FOUND" not in str(e):
             raise
         missing = keyed
-    fresh = pdf_text(missing.select("path", "key", "content"), pages or EXTRACTORS[extractor], max_pages)
+    fresh = pdf_text(missing.select("path", "key", "content"), pages, max_pages)
     fresh.select("key", "text").write.mode("append").parquet(cache_path)
     # Two loads at once may have stored a key twice, with the same text.
     cache = spark.read.schema("key string, text string").parquet(cache_path).groupBy("key").agg(F.min("text").alias("text"))
@@ -176,7 +153,11 @@ def load_documents(
     cache_path: str | None = None,
     ordered: bool = False,
 ) -> DataFrame:
-    """Files of all types as documents: (source, type, text); sorted by source when asked, which shuffles."""
+    """Files of all types as documents: (source, type, text); sorted by source when asked, which shuffles.
+
+    ``pages`` reads the pages of PDF files; without it a PDF file stops the load.
+    """
+    pages = pages or _no_pages
     named = files.select("path", "modificationTime", "length", "content", "type")
     txt = named.where("type = 'txt'").select("path", "type", decode_text().alias("text"))
     docx = docx_text(named.where("type = 'docx'").select("path", "type", "content"))
@@ -184,7 +165,7 @@ def load_documents(
     if cache_path:
         pdf = cached_pdf_text(pdfs, cache_path, pages, max_pages, extractor).select("path", "type", "text")
     else:
-        pdf = pdf_text(pdfs.select("path", "type", "content"), pages or EXTRACTORS[extractor], max_pages)
+        pdf = pdf_text(pdfs.select("path", "type", "content"), pages, max_pages)
     all_ = txt.unionByName(docx).unionByName(pdf)
     docs = all_.select(F.col("path").alias("source"), "type", "text")
     return docs.orderBy("source") if ordered else docs

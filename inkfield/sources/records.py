@@ -27,13 +27,13 @@ def objects_of(values: DataFrame, value: str = "v") -> DataFrame:
 
     def item(x):
         ok = F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
-        return F.when(ok, x).otherwise(refuse("JSON array must contain objects", "variant"))
+        return F.when(ok, x).otherwise(refuse("JSON list of records holds something else", "variant"))
 
     def items(kind):
         return (
             F.when(kind.startswith("OBJECT"), F.array(v))
             .when(kind.startswith("ARRAY"), F.transform(v.try_cast("array<variant>"), item))
-            .otherwise(refuse("JSON root must be an object or an array of objects", "array<variant>"))
+            .otherwise(refuse("JSON root is neither a record nor a list of records", "array<variant>"))
         )
 
     # The outer form, as for the inner one a size filter is inferred that checks all roots twice.
@@ -99,7 +99,7 @@ def as_declared(df: DataFrame, columns: dict[str, str] = TRIP_COLUMNS, keep: tup
     )
 
 
-def read_trips(spark: SparkSession, path, max_rows: int = config.TRIP_MAX_ROWS) -> DataFrame:
+def read_trips(spark: SparkSession, path, max_rows: int) -> DataFrame:
     """The first rows of trip files under the declared schema, with their record ids."""
     return as_declared(first_rows(spark, path, max_rows), keep=("_ordinal",)).withColumnRenamed("_ordinal", "record_id")
 
