@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from inkfield.session import materialize
 
 
+BROADCAST_ROWS = 100_000  # offsets, one for each file or partition, that are shipped; more are joined by a shuffle
+
+
 def _running_offsets(spark: SparkSession, counts: DataFrame, key: str) -> DataFrame:
     """(key, offset) from (key, n): one row per file or partition, the size of a file listing."""
     total, rows = 0, []
@@ -16,7 +19,8 @@ def _running_offsets(spark: SparkSession, counts: DataFrame, key: str) -> DataFr
         rows.append((r[key], total))
         total += r["n"]
     schema = T.StructType([T.StructField(key, counts.schema[key].dataType), T.StructField("__offset", T.LongType())])
-    return spark.createDataFrame(rows, schema)
+    offsets = spark.createDataFrame(rows, schema)
+    return F.broadcast(offsets) if len(rows) <= BROADCAST_ROWS else offsets
 
 
 def file_ordinals(spark: SparkSession, path, schema: T.StructType | None = None, name: str = "_ordinal") -> DataFrame:
