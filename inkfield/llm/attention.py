@@ -124,33 +124,32 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return number * step, text, np.where(number > 0, OVERLAP, 0)
 
 
-def _rows(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window the ids before its positions, the ids at them, whether each is to be scored, and its text.
+def _chosen(ids: np.ndarray, sizes: np.ndarray, end: int, first: np.ndarray, text: np.ndarray, seen: np.ndarray) -> tuple:
+    """For the given windows the ids before their positions, the ids at them, and whether each is to be scored.
 
     ``ids`` holds the texts one after another, each ended by ``end``; the end before a text begins it.
     """
-    first, text, seen = windows(sizes)
     start = np.cumsum(sizes) - sizes
     at = first[:, None] + np.arange(WINDOW)
     inside = at < sizes[text][:, None]
     place = np.where(inside, start[text][:, None] + at, 0)
-    target = ids[place]
     before = np.where(at > 0, ids[np.maximum(place - 1, 0)], end)
-    return before, target, inside & (np.arange(WINDOW) >= seen[:, None]), text
+    return before, ids[place], inside & (np.arange(WINDOW) >= seen[:, None])
 
 
 def fit(ids: np.ndarray, sizes: np.ndarray, words: Vocabulary, end: int, steps: int = STEPS, seed: int = 3) -> Weights:
     """Weights fitted by Adam to the windows of some texts."""
     rng = np.random.default_rng(seed)
     w = Weights.drawn(rng)
-    before, target, use, _ = _rows(ids, sizes, end)
     if not len(ids):
         return w
+    every = windows(sizes)
     w.class_shift += np.log(np.bincount(words.kind[ids], minlength=CLASSES) + 1.0).astype(np.float32)
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in w.all()]
     for t in range(1, steps + 1):
-        pick = rng.integers(0, len(before), BATCH)
-        rows, kind, on = words.row[before[pick]], words.kind[target[pick]], use[pick]
+        pick = rng.integers(0, len(every[0]), BATCH)
+        before, target, on = _chosen(ids, sizes, end, *(x[pick] for x in every))
+        rows, kind = words.row[before], words.kind[target]
         state = _forward(w, rows)
         p = np.exp(state[-1])
         p /= p.sum(axis=2, keepdims=True)
@@ -167,20 +166,16 @@ def fit(ids: np.ndarray, sizes: np.ndarray, words: Vocabulary, end: int, steps:
 def log10_probability(w: Weights, words: Vocabulary, ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     """Of each text with its end: every id is scored once, with at least OVERLAP ids before it or all there are."""
     total = np.zeros(len(sizes))
-    first, text, seen = windows(sizes)
-    start = np.cumsum(sizes) - sizes
-    for k in range(0, len(first), AT_ONCE):
-        part = slice(k, k + AT_ONCE)
-        at = first[part, None] + np.arange(WINDOW)
-        inside = at < sizes[text[part]][:, None]
-        place = np.where(inside, start[text[part]][:, None] + at, 0)
-        target = ids[place]
-        rows = words.row[np.where(at > 0, ids[np.maximum(place - 1, 0)], end)]
+    every = windows(sizes)
+    for k in range(0, len(every[0]), AT_ONCE):
+        first, text, seen = (x[k : k + AT_ONCE] for x in every)
+        before, target, on = _chosen(ids, sizes, end, first, text, seen)
+        rows = words.row[before]
         z = _forward(w, rows)[-1]
         kind = words.kind[target]
         chosen = np.take_along_axis(z, kind[:, :, None], 2)[:, :, 0]
         np.exp(z, out=z)
         log = chosen - np.log(z.sum(axis=2)) + words.within[target]
-        log = np.where(inside & (np.arange(WINDOW) >= seen[part, None]), log, 0.0)
-        total += np.bincount(text[part], log.sum(axis=1, dtype=np.float64), len(sizes))
+        log = np.where(on, log, 0.0)
+        total += np.bincount(text, log.sum(axis=1, dtype=np.float64), len(sizes))
     return total / np.log(10)
