@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 END = 0
-KNOWN_WORDS = 300_000
+KNOWN_WORDS, KNOWN_IDS = 700_000, 10_000_000
 CHARS_AT_ONCE = 1_000_000
 
 # How the tokenizer's files cut text into words, for letters up to U+024F (fixed values: its pattern and Unicode's classes).
@@ -28,7 +29,7 @@ def tokenizer_path(name: str) -> str:
 class DocumentIds:
     """Ids of texts as the tokenizers library gives them, without special tokens added.
 
-    Words are encoded by the library once and remembered, at most KNOWN_WORDS; texts with letters beyond U+024F or with a
+    Words are encoded by the library once and remembered, at most KNOWN_WORDS with KNOWN_IDS ids; texts with letters beyond U+024F or with a
     special token's own text are given to the library whole.
     """
 
@@ -45,9 +46,9 @@ class DocumentIds:
     def _forget(self):
         self.place: dict[str, int] = {}
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(4096, np.uint32), 0
+        self.flat, self.used, self.next = np.zeros(4096, np.uint32), 0, 0
         self.place[""] = 0
-        self._store(0, [self.end])
+        self._store([[self.end]])
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, the end id after each text's, and the number of each text's ids with it."""
@@ -64,7 +65,7 @@ class DocumentIds:
         return tuple(np.concatenate(x) for x in zip(*parts))
 
     def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.place) > KNOWN_WORDS:
+        if self.next > KNOWN_WORDS or self.used > KNOWN_IDS:
             self._forget()
         words, count, apart = [], np.ones(len(texts), np.int64), []
         for k, t in enumerate(texts):
@@ -88,16 +89,20 @@ class DocumentIds:
     def _learn(self, words: list[str]) -> None:
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
-                self.place[w] = self.next
-                self._store(self.next, e.ids)
-
-    def _store(self, n: int, ids: list[int]) -> None:
-        if n >= len(self.start):
+            ids = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
+            self.place.update(zip(part, range(self.next, self.next + len(part))))
+            self._store(ids)
+
+    def _store(self, ids: list[list[int]]) -> None:
+        """Entries for the ids of some words, after those there are."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        end, used = self.next + len(ids), self.used + len(flat)
+        while end > len(self.start):
             self.start, self.size = (np.r_[x, np.zeros(len(x), np.int64)] for x in (self.start, self.size))
-        while self.used + len(ids) > len(self.flat):
+        while used > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.uint32)]
-        self.start[n], self.size[n] = self.used, len(ids)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.next = n + 1
+        self.size[self.next : end] = size
+        self.start[self.next : end] = self.used + np.cumsum(size) - size
+        self.flat[self.used : used] = flat
+        self.next, self.used = end, used
