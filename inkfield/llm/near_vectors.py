@@ -1,4 +1,4 @@
-"""Near-duplicate vectors within a label by sorted projection passes."""
+"""Near-duplicate vectors within a label by passes of projection signs, every bucket compared whole."""
 
 from __future__ import annotations
 
@@ -7,31 +7,34 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfield.llm.common import Tables, arrow_rows, connected
 from inkfield.llm.vectors import cosines, matrix, unit, usable
 
 SIMILARITY = 0.93
-WINDOW = 64
-BLOCK = 2048
-BITS = 62
+SEED = 20_017
+BITS = tuple(range(0, 31, 2))  # numbers of signs to choose from
+BLOCK = 8192  # rows of a bucket that one task compares with each other
+SLICE = 256
+ROW_COST = 1024  # what moving a row costs, in comparisons
 MISSED = 0.003  # share of pairs right at the threshold that all passes together may miss
 MARGIN = 1e-9  # radians, far above rounding
 
 
-def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors`` (vec_id, embedding, label).
 
     Two vectors of the same label are linked if their cosine, in double precision, is ``similarity`` or more. Vectors that
     are null, zero or hold null or non-finite components, and those without a label, link with nothing.
 
     1. Equal vectors of a label become one class with a weight.
-    2. Each pass orders the classes by label and the signs of their projections on random directions, and compares each
-       with the next WINDOW. The number of passes follows from the number of rows: a pair at the threshold agrees
-       in each sign with a known probability. Verified pairs of all passes make the components.
+    2. Each pass puts the classes of a label into buckets by the signs of their projections on random directions, and
+       compares all classes of a bucket. A pair at the threshold agrees in each sign with a known probability, so the
+       number of passes follows from the number of signs alone and holds for any data. Each label takes the number of
+       signs that costs least by the sizes of its buckets; where rows crowd, buckets are large and are cut into blocks.
+       A small label is one bucket, so all its pairs are compared. Verified pairs of all passes make the components.
     3. Links are counted within components. Vectors within half the threshold's angle of a centre are all linked with
        each other; sums for whole centres are taken where the angles leave no doubt, and single pairs compared elsewhere.
 
@@ -46,8 +49,8 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFram
         rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    links = tables.keep(_links(tables, classes, passes(most, similarity), similarity))
+    plan = tables.keep(_plan(classes, similarity, block))
+    links = tables.keep(_links(tables, classes, plan, similarity, block))
     components = tables.keep(connected(tables, links))
     grouped = tables.keep(components.join(classes.select("node", "embedding", "weight", "vec_id"), "node"))
     counts = _counts(tables, grouped, similarity)
@@ -66,75 +69,98 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return fit.unionAll(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def passes(rows: int, similarity: float, window: int = WINDOW) -> int:
-    """Passes after which a pair at the threshold has been within a window of each other, but for the share MISSED."""
-    agree = 1 - math.acos(similarity) / math.pi
-    near = agree ** max(1.0, math.log2(max(2, rows) / window))
-    return max(3, math.ceil(math.log(MISSED) / math.log(1 - min(near, 0.99))))
+def passes(parts: float, similarity: float) -> int:
+    """Passes after which a pair at the threshold has shared a bucket, but for the share MISSED, if a pass makes ``parts`` buckets of log2(parts) signs."""
+    near = (1 - math.acos(similarity) / math.pi) ** math.log2(max(1.0, parts))
+    return 1 if near >= 1 - MISSED else math.ceil(math.log(MISSED) / math.log1p(-near))
 
 
-def _links(tables: Tables, classes: DataFrame, turns: int, similarity: float) -> DataFrame:
-    """(a, b): for each pass, links enough to connect what the verified pairs of the windows connect."""
-    seed = 20_017
+def _signs(x: np.ndarray, seed: list[int], bits: int) -> np.ndarray:
+    """Signs of the projections on ``bits`` random directions as one number, the first sign foremost."""
+    axes = np.random.default_rng(seed).standard_normal((x.shape[1], bits))
+    return ((x @ axes) >= 0) @ (1 << np.arange(bits, dtype=np.int64))[::-1]
+
+
+def _plan(classes: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(label, bits, turns): for each label the number of signs that costs least, measured on all of its rows."""
+    label = classes.schema["label"].dataType.simpleString()
 
     def keyed(batches):
-        power = (1 << np.arange(BITS, dtype=np.int64))[::-1]
         for b in batches:
-            x = matrix(b.column("embedding"))
-            for turn in range(turns):
-                axes = np.random.default_rng([seed, turn]).standard_normal((x.shape[1], BITS))
-                key = ((x @ axes) >= 0) @ power
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), turn, np.int32)), b.column("label"), pa.array(key), b.column("node"), b.column("embedding")],
-                    ["pass", "label", "key", "node", "embedding"],
-                )
+            key = _signs(matrix(b.column("embedding")), [SEED, 0], BITS[-1])
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(key)], ["label", "key"])
+
+    signs = classes.select("label", "embedding").mapInArrow(keyed, f"label {label}, key long")
+    prefixes = F.array(*[
+        F.struct(F.lit(k).alias("bits"), F.shiftright("key", BITS[-1] - k).alias("prefix"), F.lit(passes(2**k, similarity)).alias("turns"))
+        for k in BITS
+    ])
+    size, copies = F.col("size").cast("double"), F.ceil(F.col("size") / block)
+    return (
+        signs.select("label", F.explode(prefixes).alias("p")).groupBy("label", "p.bits", "p.prefix", "p.turns").agg(F.count("*").alias("size"))
+        .groupBy("label", "bits", "turns").agg(F.sum(size * (size / 2 + ROW_COST * copies)).alias("cost"))
+        .groupBy("label").agg(F.min_by(F.struct("bits", "turns"), F.struct(F.col("cost") * F.col("turns"), "bits")).alias("best"))
+        .select("label", "best.bits", "best.turns")
+    )
 
+
+def _links(tables: Tables, classes: DataFrame, plan: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): for each bucket of each pass, links enough to connect what the verified pairs of the bucket connect."""
     kind = classes.schema["embedding"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
-    keys = classes.select("label", "node", "embedding").mapInArrow(
-        keyed, f"pass int, label {label}, key long, node long, embedding {kind}"
-    )
-    order = ["pass", "label", "key", "node"]
 
-    def numbered(batches):
-        at, part = 0, TaskContext.get().partitionId()
+    def keyed(batches):
         for b in batches:
-            place = pa.array(np.arange(at, at + len(b)))
-            at += len(b)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(b), part, np.int32)), place, *b.columns], ["part", "at", *b.schema.names]
-            )
-
-    ordered = tables.keep(
-        tables.keep(keys).repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(numbered, f"part int, at long, pass int, label {label}, key long, node long, embedding {kind}")
+            x = matrix(b.column("embedding"))
+            bits, turns = b.column("bits").to_numpy(), b.column("turns").to_numpy()
+            for turn in range(turns.max(initial=0)):
+                at = np.flatnonzero(turns > turn)
+                key = _signs(x[at], [SEED, 1 + turn], BITS[-1]) >> (BITS[-1] - bits[at])
+                some = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("label"), pa.array(np.full(len(at), turn, np.int32)), pa.array(key), some.column("node"), some.column("embedding")],
+                    ["label", "pass", "key", "node", "embedding"],
+                )
+
+    bucket = ["label", "pass", "key"]
+    keys = tables.keep(
+        classes.select("label", "node", "embedding").join(plan, "label")
+        .mapInArrow(keyed, f"label {label}, pass int, key long, node long, embedding {kind}")
     )
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = tables.keep(  # a row for each partition
-        ordered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    sizes = tables.keep(keys.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1"))
+    # A crowded bucket is cut into blocks by hash, and each block is compared with itself and each other.
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    both = (
+        keys.join(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size"), bucket)
+        .withColumn("own", own).select(*bucket, "node", "embedding", "own", other)
+        .select(*bucket, "node", "embedding", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     )
-    placed = ordered.join(starts, "part").withColumn("place", F.col("start") + F.col("at"))
-    # A block holds its own rows and the WINDOW rows before them.
-    block = F.floor(F.col("place") / BLOCK)
-    both = placed.withColumn(
-        "block", F.explode(F.when(F.col("place") % BLOCK >= BLOCK - WINDOW, F.array(block, block + 1)).otherwise(F.array(block)))
-    ).select("block", "place", "pass", "label", "node", "embedding")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place", kind="stable")
-        x = unit(np.array(group["embedding"].tolist(), np.float64))
+        own, x, y = (group[k].to_numpy() for k in ("own", "x", "y"))
         node = group["node"].to_numpy()
-        own = pd.factorize(pd.MultiIndex.from_frame(group[["pass", "label"]]))[0]
+        vectors = unit(np.array(group["embedding"].tolist(), np.float64))
+        left, right = np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0])
         a, b = [], []
-        for step in range(1, min(WINDOW, len(x) - 1) + 1):
-            hit = np.flatnonzero((own[:-step] == own[step:]) & ((x[:-step] * x[step:]).sum(axis=1) >= similarity - 1e-12))
-            a.append(hit)
-            b.append(hit + step)
+        for at in range(0, len(left), SLICE):
+            rows = left[at : at + SLICE]
+            # A block with itself: only what comes after a row.
+            to = right[at + 1 :] if x[0] == y[0] else right
+            near = vectors[rows] @ vectors[to].T
+            i, j = np.nonzero(near >= similarity - 1e-9)
+            narrow = near[i, j] < similarity + 1e-9
+            i, j = rows[i], to[j]
+            true = (i < j) if x[0] == y[0] else np.ones(len(i), bool)
+            narrow &= true
+            true[narrow] = cosines(vectors[i[narrow]], vectors[j[narrow]]) >= similarity
+            some = _forest(np.arange(len(node)), i[true], j[true])
+            a.append(some["a"].to_numpy())
+            b.append(some["b"].to_numpy())
         a, b = (np.concatenate(z) if z else np.zeros(0, int) for z in (a, b))
-        true = cosines(x[a], x[b]) >= similarity if len(a) else np.zeros(0, bool)
-        return _forest(node, a[true], b[true])
+        return _forest(node, a, b)
 
-    return both.groupBy("block").applyInPandas(compare, "a long, b long").distinct()
+    return both.groupBy(*bucket, "x", "y").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _forest(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:

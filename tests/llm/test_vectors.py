@@ -3,7 +3,8 @@ import math
 import numpy as np
 import plain
 
-from inkfield.llm.near_vectors import near_vectors
+from inkfield.llm.common import Tables
+from inkfield.llm.near_vectors import _links, near_vectors, passes
 from inkfield.llm.tree_search import fit_tree, nearest
 
 
@@ -44,6 +45,45 @@ def test_near_vectors_repeated_rows_and_empty(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def crowded(n=5000, pairs=50, dim=64, seed=3):
+    """Rows of mean cosine 0.8 with planted pairs at 0.932: row k of the first ``pairs`` with row n + k."""
+    rng = np.random.default_rng(seed)
+    normal = lambda a: a / np.sqrt((a * a).sum(axis=1))[:, None]
+    x = normal(np.sqrt(0.8) * np.eye(1, dim) + np.sqrt(0.2) * normal(rng.standard_normal((n, dim))))
+    away = rng.standard_normal((pairs, dim))
+    away = normal(away - (away * x[:pairs]).sum(axis=1)[:, None] * x[:pairs])
+    return np.concatenate([x, 0.932 * x[:pairs] + np.sqrt(1 - 0.932**2) * away])
+
+
+def all_links(x, similarity=0.93):
+    y = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    linked = y @ y.T >= similarity
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def test_near_vectors_in_a_crowded_region(spark):
+    x = crowded()
+    linked = all_links(x)
+    assert linked.sum() >= 100
+    component = plain.components(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(linked))])
+    df = spark.createDataFrame(rows_of(x, np.ones(len(x))), "vec_id long, embedding array<double>, label int")
+    for block in (8192, 1500):  # one bucket, and a bucket of several blocks
+        got = {r["vec_id"]: r for r in near_vectors(df, block=block).collect()}
+        assert {i: got[i]["component_id"] for i in got} == component
+        assert {i: got[i]["n_links"] for i in got} == dict(enumerate(linked.sum(axis=1).tolist()))
+
+
+def test_passes_of_several_signs_keep_their_promise(spark):
+    x = crowded()
+    linked = [(int(a), int(b)) for a, b in zip(*np.nonzero(all_links(x))) if a < b]
+    classes = spark.createDataFrame([(i, v, label) for i, v, label in rows_of(x, np.ones(len(x)))], "node long, embedding array<double>, label int")
+    plan = spark.createDataFrame([(1, 4, passes(16, 0.93))], "label int, bits int, turns int")
+    links = _links(Tables(spark, "test-links"), classes, plan, 0.93, 1000).collect()
+    found = plain.components(range(len(x)), [(r["a"], r["b"]) for r in links])
+    assert sum(found[a] == found[b] for a, b in linked) >= 0.97 * len(linked)
+
+
 def exact(rows, queries, k=5):
     out = {}
     for q, v in queries:
