@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ GROUPS = 12
 ROWS = 3
 SIMILARITY = 80  # percent
 BROADCAST_ROWS = 500_000  # of some 60 bytes
+BLOCK = 1_000_000  # shingles of a crowded bucket that one task compares with as many others
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,7 @@ class Settings:
     rows: int = ROWS
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def near_duplicates(docs: DataFrame, settings: Settings = Settings(), block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs`` (doc_id, text).
 
     Two documents are linked when the Jaccard similarity of their sets of word shingles is at least ``similarity``
@@ -43,7 +45,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
        be part of a shared key; only the rest is combined in pairs to table keys.
     3. In each bucket one class, the same in all buckets as far as possible, is compared with all others.
        Buckets whose classes are all connected are done; the others choose other leaders at random, until
-       a round finds no link. No bucket is gathered in one task and none emits its pairs.
+       a round finds no link. What is left is compared whole, in blocks of bounded size, so that every pair that shares
+       a table is tested or connected already. No bucket emits its pairs.
 
     Null or blank texts have no shingles, link with nothing and are kept. Repeated rows are copies of each other
     and share a component; ``kept`` holds for each of them if it holds for one. Rows whose doc_id is null count
@@ -58,7 +61,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     )
     keys = tables.keep(_shared_keys(tables, classes, settings))
     sets = tables.keep(_sets(tables, docs, classes.join(keys.select("node").distinct(), "node", "left_semi"), settings))
-    components = _link(tables, keys, sets, settings)
+    components = _link(tables, keys, sets, classes.select("node", "groups"), settings, block)
     named = tables.keep(
         classes.join(components, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
         .agg(F.min("doc_id").alias("component_id"))
@@ -142,8 +145,8 @@ def _sets(tables: Tables, docs: DataFrame, classes: DataFrame, settings: Setting
     return arrow_rows(texts, collect, "node binary, shingles binary").dropDuplicates(["node"])
 
 
-def _link(tables: Tables, keys: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """(node, component) after as many rounds as find links.
+def _link(tables: Tables, keys: DataFrame, sets: DataFrame, groups: DataFrame, settings: Settings, block: int) -> DataFrame:
+    """(node, component) after as many rounds as find links, and a whole comparison of the buckets that are left.
 
     The first round's leaders also serve as marks: Jaccard distance is a metric, so two classes whose distances to a mark
     differ by more than the threshold cannot be linked and are not compared again.
@@ -175,8 +178,11 @@ def _link(tables: Tables, keys: DataFrame, sets: DataFrame, settings: Settings)
         results = tables.keep(_compared(tables, pairs, sets))
         links = results.where(100 * F.col("common") >= settings.similarity * F.col("whole")).select("a", "b")
         tables.drop(leaders)
-        if links.isEmpty():
-            return components
+        last = links.isEmpty()
+        if last:
+            links = tables.keep(_rest(tables.keep(keys), components, sets, groups, settings, block))
+            if links.isEmpty():
+                return components
         # Links join components of the last round; only those are contracted.
         of = components.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         to = components.select(F.col("node").alias("b"), F.col("component").alias("cb"))
@@ -188,6 +194,8 @@ def _link(tables: Tables, keys: DataFrame, sets: DataFrame, settings: Settings)
             merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left"
         ).select("node", F.coalesce("to", "component").alias("component"))
         components = tables.keep(old.unionAll(merged.join(components.select("node"), "node", "left_anti")))
+        if last:
+            return components
         if turn == 0:
             distance = 1 - F.col("common") / F.col("whole")
             marks = tables.keep(
@@ -197,6 +205,61 @@ def _link(tables: Tables, keys: DataFrame, sets: DataFrame, settings: Settings)
         turn += 1
 
 
+def _rest(
+    keys: DataFrame, components: DataFrame, sets: DataFrame, groups: DataFrame, settings: Settings, block: int
+) -> DataFrame:
+    """(a, b): links enough to connect what the links inside the given buckets connect.
+
+    A bucket of two was compared when one of them led. Others are cut into blocks by hash, and each block is compared with itself
+    and each other. Of the buckets that two classes share, the first by the places of their groups compares them.
+    """
+    side, similarity = settings.groups, settings.similarity
+    sizes = keys.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles_of")).where("members > 2")
+    cut = keys.join(sizes.select("key", F.ceil(F.col("shingles_of") / block).cast("int").alias("blocks")), "key")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    both = cut.withColumn("own", own).select(
+        "key", "node", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select("key", "node", "n", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = (
+        both.join(groups, "node").join(components, "node", "left")
+        .withColumn("component", F.coalesce("component", "node")).join(sets, "node")
+    )
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        own, x, y = (group[k].to_numpy() for k in ("own", "x", "y"))
+        n, node = group["n"].to_numpy(), group["node"].to_numpy()
+        root = pd.factorize(group["component"])[0]
+        values = np.array(group["groups"].tolist(), np.int64)
+        same = (values == values[0]).all(axis=0)
+        first = np.array([same[:side].argmax(), side + same[side:].argmax()])
+        earlier = np.r_[0 : first[0], side : first[1]]  # a pair that agrees here is compared in another bucket
+        each = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
+        ids = np.split(np.unique(np.concatenate(each), return_inverse=True)[1], np.cumsum([len(s) for s in each])[:-1])
+        here = np.zeros(max(i.max() for i in ids) + 1, bool)
+        left, right = np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0])
+        a, b = [], []
+        for at, i in enumerate(left):
+            to = right[at + 1 :] if x[0] == y[0] else right
+            to = to[
+                (root[to] != root[i]) & (100 * np.minimum(n[to], n[i]) >= similarity * np.maximum(n[to], n[i]))
+            ]
+            to = to[~(values[to][:, earlier] == values[i, earlier]).any(axis=1)]
+            if not len(to):
+                continue
+            here[ids[i]] = True
+            starts = np.cumsum([0, *(len(ids[j]) for j in to[:-1])])
+            common = np.add.reduceat(here[np.concatenate([ids[j] for j in to])], starts, dtype=np.int64)
+            here[ids[i]] = False
+            for j in to[100 * common >= similarity * (n[i] + n[to] - common)]:
+                if root[j] != root[i]:  # not connected by a link found before
+                    a.append(node[i])
+                    b.append(node[j])
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+    return rows.groupBy("key", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
+
+
 def _possible(pairs: DataFrame, marks: DataFrame, far: float) -> DataFrame:
     """Pairs that no common mark rules out."""
     apart = F.exists(

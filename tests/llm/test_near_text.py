@@ -1,6 +1,14 @@
+import itertools
+import random
+from collections import defaultdict
+
+import numpy as np
 import plain
+import pytest
+
 from inkfield.llm.near_text import Settings, near_duplicates, one_of_each
 from inkfield.llm.near_vectors import passes
+from inkfield.llm.shingles import Collections, WordHashes, shingle_set, words_of
 
 
 def test_against_all_pairs(spark, sf):
@@ -39,6 +47,38 @@ def test_chain_across_many_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()} == component
 
 
+def template_texts(n=200, twins=20, slots=200, own=18, more=25, seed=6):
+    """Texts of one template, similar to each other by some 0.75, and twins of the first at 0.81."""
+    rnd = random.Random(seed)
+
+    def changed(words, k, name):
+        free = [p for p in range(0, 6 * slots, 6) if words[p].startswith("w")]
+        return [f"{name}x{p}" if p in at else w for at in [set(rnd.sample(free, k))] for p, w in enumerate(words)]
+
+    base = [f"w{k}" for k in range(6 * slots)]
+    texts = [changed(base, own, f"d{i}") for i in range(n)]
+    return {i: " ".join(w) for i, w in enumerate(texts + [changed(texts[i], more, f"t{i}") for i in range(twins)])}
+
+
+@pytest.mark.parametrize("block", [10_000_000, 60_000])
+def test_links_of_crowded_buckets(spark, block):
+    """With a single table, all linked pairs of its buckets are found, though few are the leader's."""
+    texts = template_texts()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    hashes, draw = WordHashes(), Collections(1, 1)
+    sets = {i: shingle_set(words_of(t), hashes) for i, t in texts.items()}
+    buckets = defaultdict(list)
+    for i, s in sets.items():
+        buckets[tuple(draw(s).tolist())].append(i)
+    pairs = [(a, b) for m in buckets.values() for a, b in itertools.combinations(m, 2)]
+    size = lambda a, b: len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    links = [(a, b) for a, b in pairs if 180 * size(a, b) >= 80 * (len(sets[a]) + len(sets[b]))]
+    component = plain.components(texts, links)
+    assert len(links) >= 8
+    got = near_duplicates(docs, Settings(groups=1, rows=1), block=block).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == component
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).count() == 0
