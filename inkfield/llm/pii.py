@@ -12,16 +12,28 @@ from pyspark.sql import functions as F
 # Give a secret of your own; whoever holds the key can undo the permutation.
 DEVELOPMENT_KEY = "inkfield"
 ROUNDS = 8
+BLOCK = 128
 
 # A Gregorian cycle of 400 years, 1700-01-01 to 2099-12-31, has 146097 = 189 * 773 days.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1700-01-01", 189, 773
 
 _START, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-# In this order; the first that fits at a place is taken. Lengths are bounded or possessive, so no text is read twice.
+# Places of an account number by country, so that a word behind it is not read as its end; other countries by groups of four.
+_PLACES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_ACCOUNT = "|".join(
+    f"(?:{lands})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{(n - 4) // 4}}}" + (f" ?[0-9A-Z]{{{n % 4}}}" if n % 4 else "") + _END
+    for n, lands in _PLACES.items()
+)
+# In this order; the first that fits at a place is taken. Lengths are bounded, possessive or of single characters.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}" + _END,
-    "secret": _START + r"(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|secret|token|api_?key) ?[=:] ?\"?[0-9A-Za-z_-]{8,128}+)" + _END,
-    "iban": _START + r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _END,
+    "secret": _START + r"(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|secret|token|api_?key) ?[=:] ?\"?[0-9A-Za-z_-]{8,}+(?:\.(?!\.)[0-9A-Za-z_.-]*[0-9A-Za-z_-])?)" + _END,
+    "iban": _START + r"(?=[A-Z]{2}[0-9]{2})(?:" + _ACCOUNT + r"|[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _END + ")",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}" + _END,
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}" + r"(?![0-9A-Za-z]|-[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})" + r"(?![0-9A-Za-z]|[./-][0-9])",
@@ -105,11 +117,11 @@ def _pseudonym(kind: Column, m: Column, key: str) -> Column:
     country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     domain_end = F.regexp_extract(m, r"\.[A-Za-z]+$", 0)
     name = F.regexp_extract(m, r"^(AKIA|(?i:password|passwd|secret|token|api_?key) ?[=:] ?\"?)", 0)
-    after = lambda part: F.substring(m, F.length(part) + 1, F.lit(256))
+    after = lambda part: F.substring(m, F.length(part) + 1, F.length(m))
     before_end = F.substring(m, F.lit(1), F.length(m) - F.length(domain_end))
     return (
         F.when(kind == "email", F.concat(_permuted_text(before_end, key, "email"), domain_end))
-        .when(kind == "secret", F.concat(name, _permuted_text(after(name), key, "secret")))
+        .when(kind == "secret", F.concat(name, _permuted_blocks(after(name), key, "secret")))
         .when(kind == "iban", _iban(m, key))
         .when(kind == "phone", F.concat(country, _permuted_text(after(country), key, "phone")))
         .when(kind == "ssn", _permuted_text(m, key, "ssn"))
@@ -171,6 +183,12 @@ def _permuted_text(text: Column, key: str, tweak: str) -> Column:
     )
 
 
+def _permuted_blocks(text: Column, key: str, tweak: str) -> Column:
+    """``_permuted_text`` of each BLOCK characters, so that the work grows with the length and not its square."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(BLOCK))
+    return F.array_join(F.transform(starts, lambda at: _permuted_text(F.substring(text, at, F.lit(BLOCK)), key, tweak)), "")
+
+
 def _into(shape: Column, digits: Column) -> Column:
     """``digits`` in the places of the digits of ``shape``, separators kept."""
     places = F.filter(F.split(shape, ""), lambda c: c != "")

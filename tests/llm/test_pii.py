@@ -41,6 +41,20 @@ def test_values_keep_their_format(spark):
             assert all(0 <= int(x) <= 255 for x in new.split("."))
 
 
+def test_long_and_dotted_secrets(spark):
+    values = ["a1B2" * 32 + "c", "Zz9_" * 500, "eyJhbGciOi.eyJzdWIiOiIx.c2ln", "abcdefgh"]
+    for v, (text, pii) in zip(values, run(spark, [f"token={v}. End" for v in values])):
+        assert pii == {"secret": 1} and len(text) == len(f"token={v}. End") and text.startswith("token=") and text.endswith(". End")
+        assert all(part not in text for part in v.split(".") if len(part) > 3) and v[-100:] not in text
+
+
+def test_account_numbers_before_a_word(spark):
+    values = ["BE68 5390 0754 7034", "AT611904300234573201", "DE89370400440532013000"]
+    for v, (text, pii) in zip(values, run(spark, [f"to {v} EUR BIC 12" for v in values])):
+        new = text[3 : 3 + len(v)]
+        assert pii == {"iban": 1} and new != v and mod97(new) == 1 and text == f"to {new} EUR BIC 12"
+
+
 def test_what_fails_its_test_stays(spark):
     texts = ["4111111111111112", "999.1.1.1", "2023-02-29", "GB00 WEST 1234 5698 7654 32", "000-12-3456", "Version 2.0 of 1999", "x" * 50_000 + "@", "", "a1b2c3"]
     assert run(spark, texts) == [(t, {}) for t in texts]
