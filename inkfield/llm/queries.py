@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfield.llm import bpe, html_extract, language_model, packing, pii, token_files, toxicity, tree_search
+from inkfield.llm.hard_negatives import hard_negatives
 from inkfield.llm.near_text import Settings, near_duplicates
 from inkfield.llm.near_vectors import near_vectors
+from inkfield.llm.whitening import whiten
 from inkfield.plans.registry import table
 from inkfield.session import ship
 
@@ -68,6 +70,18 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding whitened along its sixteen strongest components."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, with every seventh label moved on by one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -76,8 +90,35 @@ def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
+ORACLES["op12_hard_negatives"] = """
+with rows as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x
+    from embeddings
+    where label is not null and embedding is not null
+        and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0
+),
+scored as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+        cast(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) as bigint) as score
+    from rows a, rows b
+    where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+),
+positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id,
+    cast(row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id) as integer) as rank,
+    n.vec_id as negative_id, p.positive_score, n.score as negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
+    and 80 * p.positive_score <= 100 * n.score and n.score <= p.positive_score
+qualify rank <= 5
+"""
+
+
 for _f in (
     op1_tree_search, op2_bpe_round_trip, op3_html_main_text, op4_pii_pseudonyms, op5_best_fit_packing, op6_minhash_near_dedup, op7_near_vectors,
-    op8_toxicity, op9_token_files, op10_language_model,
+    op8_toxicity, op9_token_files, op10_language_model, op11_whitening, op12_hard_negatives,
 ):
     QUERIES[_f.__name__] = _registered(_f)
