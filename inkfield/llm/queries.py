@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfield.llm import bpe, html_extract, language_model, packing, pii, token_files, toxicity, tree_search
+from inkfield.llm import bpe, html_extract, language_model, packing, pii, repeated_passages, token_files, toxicity, tree_search
 from inkfield.llm.hard_negatives import hard_negatives
 from inkfield.llm.near_text import Settings, near_duplicates
 from inkfield.llm.near_vectors import near_vectors
@@ -82,6 +82,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 35 words and more that occur elsewhere too."""
+    return repeated_passages.digests(table(spark, sf_dir, "documents"))
+
+
 def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -116,9 +121,32 @@ from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
 qualify rank <= 5
 """
 
+ORACLES["op13_substring_dedup"] = r"""
+with texts as (
+    select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+),
+windows as (
+    select r, i, hash(array_to_string(words[i:i + 34], ' ')) as h, md5(array_to_string(words[i:i + 34], ' ')) as m
+    from (select r, words, unnest(range(1, len(words) - 33)) as i from texts)
+),
+repeated as (
+    select r, i from windows semi join (select h, m from windows group by h, m having count(*) > 1) using (h, m)
+),
+gone as (select distinct r, unnest(range(i, i + 35)) as i from repeated),
+kept as (
+    select r, count(*) as n_removed, list(i) as gone from gone group by r
+)
+select doc_id, len(words) as n_words, coalesce(n_removed, 0) as n_removed,
+    sha256(array_to_string(case when gone is null then words else
+        list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda p: not list_contains(gone, p[2])), lambda p: p[1])
+    end, ' ')) as kept_sha256
+from texts left join kept using (r)
+"""
+
 
 for _f in (
     op1_tree_search, op2_bpe_round_trip, op3_html_main_text, op4_pii_pseudonyms, op5_best_fit_packing, op6_minhash_near_dedup, op7_near_vectors,
     op8_toxicity, op9_token_files, op10_language_model, op11_whitening, op12_hard_negatives,
+    op13_substring_dedup,
 ):
     QUERIES[_f.__name__] = _registered(_f)
