@@ -37,7 +37,7 @@ def hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
         source = np.repeat(first[at:end], sizes) + place
         entry = (place % PLACES) * 256 + data[source]
         long = int(sizes.max()) > PLACES
-        powers = np.multiply.accumulate(np.full(int(sizes.max()) // PLACES + 1, _STEP)) if long else None
+        powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(sizes.max()) // PLACES, _STEP)]) if long else None
         for k, table in enumerate(_TABLES):
             v = table[entry]
             if long:

@@ -66,6 +66,7 @@ def test_equal_words_and_runs_have_equal_hashes():
     own = bytes(data).split()
     for side in h:
         assert len(set(side.tolist())) == len(set(own)) and dict(zip(own, side.tolist())) == {w: v for w, v in zip(own, side.tolist())}
+    assert [s[1] for s in h] == [s[0] for s in hashes(np.frombuffer(b"abc", np.uint8), np.array([0]), np.array([3]))]  # beside no long word
     runs = Runs(h)
     pair = runs(np.arange(len(own) - 1), 2, 0).tolist()
     assert pair[0] == pair[2] == pair[7] and len(set(pair)) == len({tuple(own[k : k + 2]) for k in range(len(own) - 1)})
