@@ -11,12 +11,22 @@ from inkfield.functions.text import col, is_iso_date
 # One bit per kind, so that the kinds of a field are an associative bit_or.
 KINDS = ("boolean", "long", "double", "date", "string", "object", "keyword")
 BIT = {k: 1 << i for i, k in enumerate(KINDS)}
+ALL_KINDS = (1 << len(KINDS)) - 1
 DICT_SEEN = 1 << 8  # an object value itself, not a list of objects
 CONTAINER_SEEN = 1 << 9  # any list or object
-TOO_DEEP = 1 << 10  # objects beyond the depth the expression was built for
 
-# Lists in lists whose items are looked at one by one.
-LIST_DEPTH = 3
+# The kind that a field becomes by the kinds of its values; any other mix is a keyword.
+MERGED = {
+    (): "keyword",
+    ("boolean",): "boolean",
+    ("long",): "long",
+    ("double",): "double",
+    ("long", "double"): "double",
+    ("date",): "date",
+    ("string",): "keyword",
+    ("date", "string"): "date",
+    ("object",): "object",
+}
 
 _SCALAR_BITS = {
     "BOOLEAN": BIT["boolean"],
@@ -37,71 +47,82 @@ def with_value(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _merge_items(acc: Column, b: Column) -> Column:
-    """Kind of a list so far, with one more item: the kind they share, else ``keyword``."""
-    return F.when(b == 0, acc).when((acc == 0) | (acc == b), b).otherwise(F.lit(BIT["keyword"]))
+def _lookup(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for entry in table.items() for x in entry]), key)
 
 
-def _kind_of(v: Column, t: Column, depth: int) -> Column:
-    """Kind bit of a value whose type name is known."""
-    kinds = F.create_map(*[F.lit(x) for kv in _SCALAR_BITS.items() for x in kv])
-    if depth > 0:
-        items = F.transform(v.try_cast("array<variant>"), lambda x: kind_bits(x, depth - 1))
-        of_list = F.aggregate(items, F.lit(0), _merge_items)
-    else:
-        # Below this depth the elements' merged type tells: a mix of numbers is double, a date is a string.
-        element = F.regexp_extract(F.regexp_replace(t, "^(?:ARRAY<)+", ""), "^[A-Z_]+", 0)
-        of_list = F.when(element == "STRING", BIT["string"]).otherwise(
-            F.coalesce(F.try_element_at(kinds, element), F.lit(BIT["keyword"]))
-        )
+def _scalar_bits(v: Column, t: Column) -> Column:
+    """Kind bit of a value that is no list, by its type name."""
     return (
-        F.when(
-            t == "STRING",
-            F.when(is_iso_date(v.try_cast("string")), BIT["date"]).otherwise(BIT["string"]),
-        )
-        .when(t.startswith("ARRAY"), of_list)
+        F.when(t == "STRING", F.when(is_iso_date(v.try_cast("string")), BIT["date"]).otherwise(BIT["string"]))
         # An integer beyond 64 bits is held as a wide decimal without a fraction.
         .when(t.rlike(r"^DECIMAL\((19|2\d|3\d),0\)"), BIT["long"])
-        .otherwise(F.coalesce(F.try_element_at(kinds, F.regexp_extract(t, "^[A-Z_]+", 0)), F.lit(BIT["keyword"])))
+        .otherwise(F.coalesce(_lookup(_SCALAR_BITS, F.regexp_extract(t, "^[A-Z_]+", 0)), F.lit(BIT["keyword"])))
+    )
+
+
+def _nesting(v: Column) -> Column:
+    """How deep the brackets of a value's JSON text go; those of objects count too."""
+    bare = F.regexp_replace(F.regexp_replace(F.to_json(v), r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    steps = F.transform(F.split(bare, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    one = lambda acc, step: F.struct(
+        (acc["now"] + step).alias("now"), F.greatest(acc["most"], acc["now"] + step).alias("most")
     )
+    return F.aggregate(steps, start, one, lambda acc: acc["most"])
+
+
+def _leaves(v: Column, t: Column) -> Column:
+    """Items of a list, those of lists in it instead of these, at any depth."""
+    items = v.try_cast("array<variant>")
+    opened = lambda x: F.when(F.schema_of_variant(x).startswith("ARRAY"), x.try_cast("array<variant>")).otherwise(F.array(x))
+    one_less = lambda acc, _: F.flatten(F.transform(acc, opened))
+    nested = F.aggregate(F.sequence(F.lit(2), F.greatest(_nesting(v), F.lit(2))), items, one_less)
+    return F.when(t.rlike("^ARRAY<(?:ARRAY|VARIANT)"), nested).otherwise(items)
+
 
+def _list_bits(v: Column, t: Column) -> Column:
+    """The one kind that all leaves of a list share, ``keyword`` where they differ, 0 without any.
 
-def kind_bits(v, depth: int = LIST_DEPTH) -> Column:
+    Lists in lists need no levels of their own: an inner list is of mixed kind only if its leaves differ.
+    """
+    element = F.regexp_extract(t, "^(?:ARRAY<)+([A-Z_]+)", 1)
+    kinds = F.transform(_leaves(v, t), lambda x: F.coalesce(with_value(F.schema_of_variant(x), lambda y: _scalar_bits(x, y)), F.lit(0)))
+    mixed = F.aggregate(kinds, F.lit(0), lambda acc, b: acc.bitwiseOR(b))
+    told = with_value(mixed, lambda m: F.when(F.bit_count(m) > 1, BIT["keyword"]).otherwise(m))
+    # Types of items that differ merge to VARIANT, DOUBLE or DECIMAL, dates are STRING; these alone are looked at.
+    return F.when(element.isin("BOOLEAN", "BIGINT", "OBJECT", "VOID"), _lookup(_SCALAR_BITS, element)).otherwise(told)
+
+
+def _kind_of(v: Column, t: Column) -> Column:
+    return F.when(t.startswith("ARRAY"), _list_bits(v, t)).otherwise(_scalar_bits(v, t))
+
+
+def kind_bits(v) -> Column:
     """Bit of the value's kind, 0 for null and for empty or all-null lists.
 
-    A list has the one kind its items share, else ``keyword``; lists in lists deeper than ``depth`` are told by
-    the merged type of their elements.
+    A list has the one kind its items share, else ``keyword``; lists in lists count by their items, however deep.
     """
     v = col(v)
-    return F.coalesce(with_value(F.schema_of_variant(v), lambda t: _kind_of(v, t, depth)), F.lit(0))
+    return F.coalesce(with_value(F.schema_of_variant(v), lambda t: _kind_of(v, t)), F.lit(0))
 
 
-def field_bits(v, type_name, depth: int = LIST_DEPTH) -> Column:
+def field_bits(v, type_name) -> Column:
     """``kind_bits`` with the marks that tell objects and containers apart; the type name is at hand."""
     t = col(type_name)
     marks = F.when(t.startswith("OBJECT"), DICT_SEEN | CONTAINER_SEEN).when(t.startswith("ARRAY"), CONTAINER_SEEN)
-    return F.coalesce(_kind_of(col(v), t, depth).bitwiseOR(marks.otherwise(0)), F.lit(0))
+    return F.coalesce(_kind_of(col(v), t).bitwiseOR(marks.otherwise(0)), F.lit(0))
 
 
 def kind_name(bits) -> Column:
     """Name of a single kind bit; null when there is none."""
-    names = F.create_map(*[F.lit(x) for k, b in BIT.items() for x in (b, k)])
-    return F.try_element_at(names, col(bits))
-
-
-def merge_kinds(bits: int) -> str:
-    """The one kind a set of kinds becomes."""
-    b = bits & (DICT_SEEN - 1)
-    if b == 0:
-        return "keyword"
-    for k in ("boolean", "long", "date", "object"):
-        if b == BIT[k]:
-            return k
-    if b & ~(BIT["long"] | BIT["double"]) == 0:
-        return "double"
-    if b & BIT["date"] and b & ~(BIT["string"] | BIT["date"]) == 0:
-        return "date"
-    return "keyword"
+    return _lookup({b: k for k, b in BIT.items()}, col(bits))
+
+
+def merged_kind(bits) -> Column:
+    """The one kind that a set of kinds becomes."""
+    by_mask = {sum(BIT[k] for k in kinds): kind for kinds, kind in MERGED.items()}
+    return F.coalesce(_lookup(by_mask, col(bits).bitwiseAND(F.lit(ALL_KINDS))), F.lit("keyword"))
 
 
 def json_safe(df: DataFrame) -> DataFrame:

@@ -1,21 +1,25 @@
-"""Schema inference over all values of JSON records, in one pass.
+"""Schema inference over all values of JSON records, inside the JVM.
 
-Records come as JSON text or as VARIANT. Text is faster, as no value is built and copied for each member, and takes
-what VARIANT refuses, such as a key that comes twice.
+Records come as JSON text or as VARIANT. The outcome is a DataFrame with one row per field path, as many as there are; only
+what needs a schema object (a mapping, a Spark type) brings a bounded number of them to the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkfield import config
 from inkfield.functions import values as V
-from inkfield.functions.json_shapes import path_kinds
 from inkfield.functions.text import column_name
+from inkfield.session import materialize
+
+LEVELS = 4  # levels of objects opened in one pass; deeper ones are carried on with
+MAX_FIELDS = 10_000  # of a schema object
 
 
 @dataclass(frozen=True)
@@ -28,73 +32,94 @@ class Field:
     bits: int
 
 
-def _nodes(records: DataFrame, value: str, depth: int) -> DataFrame:
-    """(path, val, t, open) of every member of every record, objects in objects included.
+def _parsed(records: DataFrame, value: str) -> DataFrame:
+    """The records as VARIANT in ``__v``, those in JSON text parsed.
 
-    Each step hands on what it has and adds the members of the objects that came last, so all levels come
-    out of one pass. ``t`` is the value's type name; ``open`` is left set on what lies at the last level.
+    NaN and infinities, which JSON has no words for but some writers write, count as doubles; the text changes in no
+    other kind.
     """
+    from inkfield.sources.records import parse_records
 
-    def members(v, path):
-        entries = F.map_entries(v.try_cast("map<string,variant>"))
-        return F.transform(
-            entries,
-            lambda e: F.struct(
-                F.concat(path, F.array(e["key"])).alias("path"), e["value"].alias("val"),
-                F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID")).alias("t"), F.lit(True).alias("open"),
-            ),
-        )
-
-    # The outer forms, as for the inner ones a size filter is inferred that does all this twice.
-    nodes = records.select(F.inline_outer(members(F.col(value), F.array().cast("array<string>"))))
-    for _ in range(depth - 1):
-        itself = F.array(F.struct("path", "val", "t", F.lit(False).alias("open")))
-        opened = F.concat(itself, members(F.col("val"), F.col("path")))
-        nodes = nodes.select(
-            F.inline_outer(F.when(F.col("open") & F.col("t").startswith("OBJECT"), opened).otherwise(itself))
-        )
-    return nodes.where(F.col("path").isNotNull())
-
+    if not isinstance(records.schema[value].dataType, T.StringType):
+        return records.select(F.col(value).alias("__v"))
+    text = F.col(value)
+    number = F.regexp_replace(text, r"(?<=[:\[,]\s{0,99})-?(?:NaN|Infinity)(?=\s*[,}\]])", "0e0")
+    spoken = F.when(F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("Infinity")), number).otherwise(text)
+    return parse_records(records.where(text.isNotNull()).select(spoken.alias("__j")), "__j", "__v")
 
-def field_kinds(records: DataFrame, value: str = "v", depth: int = 3) -> DataFrame:
-    """One row per field path: the union of the kinds of all its values.
 
-    Kinds are combined before the shuffle, so what moves is #fields rows per task, however many records
-    there are and whichever field is the common one. ``depth`` limits the levels of VARIANT objects.
-    """
-    if isinstance(records.schema[value].dataType, T.StringType):
-        pairs = records.select(value).mapInArrow(path_kinds, "path array<string>, bits int")
-    else:
-        deep = F.when(F.col("open") & F.col("t").startswith("OBJECT"), V.TOO_DEEP).otherwise(0)
-        bits = V.field_bits("val", "t").bitwiseOR(deep)
-        pairs = _nodes(records, value, depth).select("path", bits.cast("int").alias("bits"))
-    return pairs.groupBy("path").agg(F.bit_or("bits").alias("bits"))
+def _type(v) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def _collect_fields(records: DataFrame, value: str) -> list[tuple[tuple[str, ...], int]]:
-    """Field list on the driver (as long as the schema, not the data); deeper data widens the depth."""
-    for depth in (3, 8, 64):
-        rows = [(tuple(r["path"]), r["bits"]) for r in field_kinds(records, value, depth).collect()]
-        if not any(b & V.TOO_DEEP for _, b in rows):
-            return rows
-    raise ValueError("objects nest deeper than 64 levels")
+def _opened(nodes: DataFrame) -> DataFrame:
+    """(path, val, t) one level further: members of objects in their place; other values and empty objects stay."""
+    objects = nodes.withColumn("inner", F.when(F.col("t").startswith("OBJECT"), F.col("val")))
+    members = objects.lateralJoin(nodes.sparkSession.tvf.variant_explode_outer(F.col("inner").outer()))
+    inside = F.col("key").isNotNull()
+    return members.select(
+        F.when(inside, F.concat("path", F.array("key"))).otherwise(F.col("path")).alias("path"),
+        F.when(inside, F.col("value")).otherwise(F.col("val")).alias("val"),
+        F.when(inside, _type("value")).otherwise(F.col("t")).alias("t"),
+    )
 
 
-def infer_fields(records: DataFrame, value: str = "v", strict_dates: bool = False) -> list[Field]:
-    """Merged fields for a search index, parents before members.
+def field_kinds(records: DataFrame, value: str = "v", levels: int | None = None) -> DataFrame:
+    """(path, bits), one row per field path: the union of the kinds of all its values, objects opened at any depth.
 
+    ``levels`` opens that many levels only. Kinds are combined before the shuffle, so what moves is #paths rows per task,
+    however many records there are and whichever field is the common one. One pass opens LEVELS levels; where objects are left,
+    they alone are written and carried on with.
+    """
+    root = F.array().cast("array<string>")
+    nodes = _parsed(records, value).select(root.alias("path"), F.col("__v").alias("val"), F.lit("OBJECT<").alias("t"))
+    unopened = F.col("t").startswith("OBJECT") & (F.col("t") != "OBJECT<>")
+    found = []
+    while True:
+        for _ in range(levels or LEVELS):
+            nodes = _opened(nodes)
+        kinds = nodes.where(F.size("path") > 0).select("path", V.field_bits("val", "t").cast("int").alias("bits"), unopened.alias("open"))
+        kinds = materialize(kinds.groupBy("path").agg(F.bit_or("bits").alias("bits"), F.max("open").alias("open")), "kinds")
+        found.append(kinds.select("path", "bits"))
+        if levels or kinds.where("open").isEmpty():
+            break
+        left = materialize(nodes.where(unopened).select("path", F.to_json("val").alias("j"), "t"), "members")
+        nodes = left.select("path", F.parse_json("j").alias("val"), "t")
+    rows = reduce(DataFrame.unionAll, found)
+    # A member says that all above it are objects.
+    an_object = F.lit(V.BIT["object"] | V.DICT_SEEN | V.CONTAINER_SEEN)
+    up_to = lambda n: F.struct(F.slice("path", 1, n).alias("path"), F.when(n == F.size("path"), F.col("bits")).otherwise(an_object).alias("bits"))
+    every = rows.select(F.inline(F.transform(F.sequence(F.lit(1), F.size("path")), up_to)))
+    return every.groupBy("path").agg(F.bit_or("bits").alias("bits"))
+
+
+def merged_fields(records: DataFrame, value: str = "v", strict_dates: bool = False) -> DataFrame:
+    """(path, kind, nested, bits) of the fields of a search index, any number of them.
+
+    Members count only where everything above them is nested: of a field that holds objects and texts nothing is known inside.
     ``strict_dates`` turns a mix of dates and other strings into strings instead of dates.
     """
-    out: dict[tuple[str, ...], Field] = {}
-    for path, bits in sorted(_collect_fields(records, value), key=lambda r: (len(r[0]), r[0])):
-        if len(path) > 1 and not out.get(path[:-1], Field((), "", False, 0)).nested:
-            continue
-        kind = V.merge_kinds(bits)
-        if strict_dates and kind == "date" and bits & V.BIT["string"]:
-            kind = "keyword"
-        nested = kind == "object" and bool(bits & V.DICT_SEEN)
-        out[path] = Field(path, kind, nested, bits)
-    return list(out.values())
+    kind = V.merged_kind("bits")
+    if strict_dates:
+        mixed = F.col("bits").bitwiseAND(F.lit(V.BIT["string"])) != 0
+        kind = F.when((kind == "date") & mixed, "keyword").otherwise(kind)
+    fields = field_kinds(records, value).select("path", kind.alias("kind"), "bits")
+    nested = (F.col("kind") == "object") & (F.col("bits").bitwiseAND(F.lit(V.DICT_SEEN)) != 0)
+    fields = materialize(fields.withColumn("nested", nested).select("path", "kind", "nested", "bits"), "fields")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", 1, n))
+    above = fields.where(F.size("path") > 1).select("path", F.explode(prefixes).alias("above"))
+    plain = fields.where(~F.col("nested")).select(F.col("path").alias("above"))
+    hidden = above.join(plain, "above").select("path").distinct()
+    return fields.join(hidden, "path", "left_anti")
+
+
+def infer_fields(records: DataFrame, value: str = "v", strict_dates: bool = False, most: int = MAX_FIELDS) -> list[Field]:
+    """``merged_fields`` as a list, parents before members; more than ``most`` are refused."""
+    rows = merged_fields(records, value, strict_dates).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} fields: records with data for keys, which merged_fields takes")
+    rows = sorted(rows, key=lambda r: (len(r["path"]), r["path"]))
+    return [Field(tuple(r["path"]), r["kind"], r["nested"], r["bits"]) for r in rows]
 
 
 def search_mapping(fields: list[Field]) -> dict:
@@ -133,8 +158,7 @@ def spark_schema(fields: list[Field]) -> T.StructType:
 
 def sql_column_types(records: DataFrame, value: str = "v") -> DataFrame:
     """Relational columns of top-level members: (key, name, sql_type), keys sorted, all-null keys left out."""
-    top = field_kinds(records, value, 1).where(F.size("path") == 1)
-    merged = top.select(F.col("path")[0].alias("key"), "bits")
+    merged = field_kinds(records, value, 1).select(F.col("path")[0].alias("key"), "bits")
     b = F.col("bits")
     is_ = lambda *ks: b.bitwiseAND(F.lit(~sum(V.BIT[k] for k in ks))) == 0
     sql_type = (
@@ -157,11 +181,13 @@ class SqlColumn:
     sql_type: str
 
 
-def infer_columns(records: DataFrame, value: str = "v") -> list[SqlColumn]:
-    """Relational columns by key; two keys that sanitise to one column name are refused early."""
-    columns = [SqlColumn(*r) for r in sql_column_types(records, value).collect()]
+def infer_columns(records: DataFrame, value: str = "v", most: int = MAX_FIELDS) -> list[SqlColumn]:
+    """Relational columns by key; two keys that sanitise to one column name, or more than ``most`` columns, are refused early."""
+    columns = [SqlColumn(*r) for r in sql_column_types(records, value).limit(most + 1).collect()]
+    if len(columns) > most:
+        raise ValueError(f"more than {most} columns")
     if not columns:
-        raise ValueError("no columns inferred from the records")
+        raise ValueError("every value of the records is null or there are none: no table to make")
     if len({c.name for c in columns}) != len(columns):
         raise ValueError("two keys give the same column name")
     return columns

@@ -336,10 +336,10 @@ def value_kinds(spark, sf_dir):
     return members.select("event_id", "key", V.kind_name(V.kind_bits("val")).alias("kind"))
 
 
-def _types(spark, fields):
-    kept = ("boolean", "long", "double", "date")
-    rows = [(".".join(f.path), "nested" if f.nested else f.kind if f.kind in kept else "text") for f in fields]
-    return spark.createDataFrame(rows, "path string, type string")
+def _types(fields):
+    """Paths with the type of a search index, as a table."""
+    typed = F.when(F.col("nested"), "nested").when(F.col("kind").isin("boolean", "long", "double", "date"), F.col("kind")).otherwise("text")
+    return fields.select(F.array_join("path", ".").alias("path"), typed.alias("type"))
 
 
 @query(f"""
@@ -354,14 +354,86 @@ select key as path, case when len(ks) = 0 then 'text' when ks in (['boolean'], [
 from u union all select path, type from nested
 """)
 def infer_search_schema(spark, sf_dir):
-    fields = S.infer_fields(json_texts(spark, sf_dir), "j")
-    return _types(spark, fields)
+    return _types(S.merged_fields(json_texts(spark, sf_dir), "j"))
 
 
 @query(ORACLES["infer_search_schema"])
 def infer_variant_schema(spark, sf_dir):
-    """The same from VARIANT records, inside the JVM."""
-    return _types(spark, S.infer_fields(json_events(spark, sf_dir)))
+    """The same from VARIANT records."""
+    return _types(S.merged_fields(json_events(spark, sf_dir)))
+
+
+# Lists and objects many levels deep, keys that need quotes, and keys that are data: as many fields as events.
+_DEEP_SQL = r"""case (event_id % 4)::integer
+  when 0 then '{"id":' || event_id || ',"lists":[[[[[1]]],[[[2],[]]]],null],"say \"hi\".x":{"at":"2024-01-01"},"by":{"' || event_id || '":{"n":1}}}'
+  when 1 then '{"id":' || event_id || ',"lists":[[[[[1],[2.5]]]]],"by":{"' || event_id || '":{"n":2.5}},"d":{"a":{"b":{"c":{"e":{"f":{"g":{"h":[["x"]],"i":true}}}}}}}}'
+  when 2 then '{"id":"x","mixed":{"k":1},"days":[["2024-01-01"],[]],"objs":[[{"q":1}],{"q":"]"}],"empty":{},"d":{"a":{"b":7}}}'
+  else '{"id":' || event_id || ',"mixed":"text","days":[[[["later"]]]],"odd":[[[1]],["a,[",[]]],"objs":[]}' end"""
+
+
+def _deep_texts(spark, sf_dir):
+    e = wide(spark, sf_dir, "events", "event_id")
+    i, kind = F.col("event_id").cast("string"), F.col("event_id") % 4
+    text = (
+        F.when(kind == 0, F.concat(F.lit('{"id":'), i, F.lit(r',"lists":[[[[[1]]],[[[2],[]]]],null],"say \"hi\".x":{"at":"2024-01-01"},"by":{"'), i, F.lit('":{"n":1}}}')))
+        .when(kind == 1, F.concat(F.lit('{"id":'), i, F.lit(',"lists":[[[[[1],[2.5]]]]],"by":{"'), i, F.lit('":{"n":2.5}},"d":{"a":{"b":{"c":{"e":{"f":{"g":{"h":[["x"]],"i":true}}}}}}}}')))
+        .when(kind == 2, F.lit('{"id":"x","mixed":{"k":1},"days":[["2024-01-01"],[]],"objs":[[{"q":1}],{"q":"]"}],"empty":{},"d":{"a":{"b":7}}}'))
+        .otherwise(F.concat(F.lit('{"id":'), i, F.lit(',"mixed":"text","days":[[[["later"]]]],"odd":[[[1]],["a,[",[]]],"objs":[]}')))
+    )
+    return e.select(text.alias("j"))
+
+
+@query(f"""
+with recursive members as (
+  select event_id, [key] as path, value as v, type as t from (select event_id, ({_DEEP_SQL})::json as j from events) r, json_each(r.j)
+  union all
+  select m.event_id, list_append(m.path, e.key), e.value, e.type from members m, json_each(m.v) e where m.t = 'OBJECT'),
+items as (
+  select event_id, path, v, t from members where t = 'ARRAY'
+  union all
+  select i.event_id, i.path, e.value, e.type from items i, json_each(i.v) e where i.t = 'ARRAY'),
+told as (
+  select event_id, path, t, case when t = 'NULL' then null when t = 'BOOLEAN' then 'boolean' when t in ('UBIGINT', 'BIGINT') then 'long'
+    when t = 'DOUBLE' then 'double' when t = 'OBJECT' then 'object'
+    when regexp_matches(json_extract_string(v, '$'), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') then 'date' else 'string' end as kind
+  from (select * from members where t <> 'ARRAY' union all select * from items where t <> 'ARRAY')),
+lists as (
+  select event_id, path, case when count(distinct kind) > 1 then 'keyword' else max(kind) end as kind
+  from told where (event_id, path) in (select event_id, path from members where t = 'ARRAY') group by all),
+kinds as (
+  select path, kind, t = 'OBJECT' as dict from told where (event_id, path) not in (select event_id, path from members where t = 'ARRAY')
+  union all select path, kind, false from lists
+  union all select path, null, false from members),
+fields as (
+  select path, coalesce(list_sort(list(distinct kind) filter (where kind is not null)), []) as ks, coalesce(bool_or(dict), false) as dict from kinds group by 1),
+typed as (
+  select path, case when len(ks) = 0 then 'text' when ks in (['boolean'], ['long'], ['double'], ['date']) then ks[1]
+    when ks = ['double', 'long'] then 'double' when ks = ['date', 'string'] then 'date'
+    when ks = ['object'] and dict then 'nested' else 'text' end as type from fields)
+select array_to_string(path, '.') as path, type from typed t
+where not exists (select 1 from typed a where a.type <> 'nested' and len(a.path) < len(t.path) and t.path[1:len(a.path)] = a.path)
+""")
+def infer_deep_schema(spark, sf_dir):
+    """Fields at any depth, one for each event among them."""
+    return _types(S.merged_fields(_deep_texts(spark, sf_dir), "j"))
+
+
+@query("""
+with v as (select event_id, unnest([0, 1, 2, 3, 4, 5, 6]) as n from events)
+select event_id, n::integer as n, case n when 0 then 'long' when 1 then 'keyword' when 2 then 'object' when 3 then 'date' when 4 then 'string'
+  when 6 then 'keyword' end as kind from v
+""")
+def deep_list_kinds(spark, sf_dir):
+    """Kinds of lists in lists, two to ten deep."""
+    items = [
+        ("1", "null"), ("1", "2.5"), ('{"k":[1]}', '{"k":"]"}'), ('"2024-01-01"', "[]"), (r'"a[,\"["', '"2"'), ("null", "[]"), ("1.5", '["x"]'),
+    ]
+    depth = (F.col("event_id") % 9 + 1).cast("int")
+    deep = lambda x: F.concat(F.repeat(F.lit("["), depth), F.lit(x), F.repeat(F.lit("]"), depth))
+    lists = [F.concat(F.lit("["), deep(x), F.lit("," + y + "]")) for x, y in items]
+    e = wide(spark, sf_dir, "events", "event_id")
+    rows = e.select("event_id", F.posexplode(F.array(*lists)).alias("n", "j")).select("event_id", "n", F.parse_json("j").alias("v"))
+    return rows.select("event_id", "n", V.kind_name(V.kind_bits("v")).alias("kind"))
 
 
 @query(f"""

@@ -23,6 +23,7 @@ def build_session(master: str | None = None, app: str = "inkfield", **conf) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.variant.allowDuplicateKeys": "true",  # the last one counts
         "spark.ui.enabled": "false",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})

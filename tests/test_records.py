@@ -160,6 +160,28 @@ def test_deep_objects(spark):
     assert [f.path for f in fields][-1] == ("o",) * 5 + ("x",) and fields[-1].kind == "long"
 
 
+def test_any_depth_and_keys_as_data(spark):
+    value = [[[[[1], [None]]]], [[[[2]]]]]
+    deep = {"x": value, "empty": {}}
+    for _ in range(11):
+        deep = {"o.o": deep, "n": 1}
+    records = [deep, {"o.o": {"by": {str(k): k for k in range(300)}}}, {"say \"hi\"": [[[[[{"a": "]"}]]]]]}, {"l": [[[[1]]], [[["x"]]]]}]
+    for df, c in ((variants(spark, records), "v"), (texts(spark, records), "j")):
+        got = {tuple(r["path"]): (r["kind"], r["nested"]) for r in S.merged_fields(df, c).collect()}
+        assert got[("o.o",) * 11 + ("x",)] == ("long", False) and got[("o.o",) * 11 + ("empty",)] == ("object", True)
+        assert got[('say "hi"',)] == ("object", False) and got[("l",)] == ("keyword", False)
+        assert all(got["o.o", "by", str(k)] == ("long", False) for k in range(300))
+        assert len(got) == 11 * 2 + 2 + 1 + 300 + 2
+        with pytest.raises(ValueError, match="more than 100 fields"):
+            S.infer_fields(df, c, most=100)
+
+
+def test_members_of_mixed_fields_are_left_out(spark):
+    records = [{"f": {"a": {"b": 1}}, "g": {"a": {"b": 1}}}, {"f": "text", "g": {"a": 2}}]
+    got = {tuple(r["path"]): r["kind"] for r in S.merged_fields(variants(spark, records)).collect()}
+    assert got == {("f",): "keyword", ("g",): "object", ("g", "a"): "keyword"}
+
+
 def test_clashing_column_names(spark):
     with pytest.raises(ValueError, match="same column"):
         S.infer_columns(variants(spark, [{"a b": 1, "a_b": 2}]))
