@@ -203,6 +203,27 @@ def stream_sessions(spark, sf_dir):
     return p.select("session_id", F.md5("prompt").alias("prompt_md5"))
 
 
+@query("""
+with m as (select conv_id as session_id, turn * 2 + conv_id % 3 as turn, role, text from conversations),
+n as (select *, row_number() over (partition by session_id order by turn) as n from m),
+s as (select session_id, turn, n, role, case when role = 'assistant' then trim(text) else text end as text from n
+  where role in ('user', 'assistant') and trim(text) <> '')
+select session_id, row_number() over w - 1 as seq, role, md5(text) as text_md5,
+  (turn - coalesce(lag(turn) over w, -1)) - (n - coalesce(lag(n) over w, 0)) as missing
+from s window w as (partition by session_id order by turn)
+""")
+def stream_sessions_gaps(spark, sf_dir):
+    """Messages whose turns have gaps: all are kept in order, and the log says how many turns never came."""
+    m = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session_id")
+    turn = F.col("turn") * 2 + F.col("session_id") % 3
+    m = m.select("session_id", turn.alias("turn"), "role", "text", F.timestamp_seconds(60 * (turn + 1)).alias("at"))
+    # A last row without a turn moves the time past all patience.
+    last = m.agg(F.min("session_id").alias("session_id"), (F.max("at") + F.expr("interval 1 day")).alias("at"))
+    end = last.select("session_id", *[F.lit(None).cast(m.schema[c].dataType).alias(c) for c in m.columns[1:-1]], "at")
+    log = runs.run_to_table(session_log(_stream(m.unionByName(end), "messages-with-gaps"), event_time="at"), "session-log")
+    return log.select("session_id", "seq", "role", F.md5("text").alias("text_md5"), "missing")
+
+
 @query()
 def stream_segments(spark, sf_dir):
     """Tokens as a stream into pieces; equal to ``token_segments``."""
@@ -211,7 +232,7 @@ def stream_segments(spark, sf_dir):
     marked = tokens.withColumn("end", F.lit(False)).unionByName(
         ends.select("stream_id", "seq", F.lit("").alias("token"), F.lit(True).alias("end"))
     )
-    return runs.run_to_table(segment_stream(_stream(marked, "tokens")), "segments")
+    return runs.run_to_table(segment_stream(_stream(marked, "tokens")), "segments").drop("missing")
 
 
 @query(f"""select {_PATH_SQL} as source from documents where doc_id % 4 < 3""")

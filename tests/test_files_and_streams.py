@@ -1,6 +1,7 @@
 """Document files, sinks, index refresh and streams, on small folders."""
 
 import io
+import datetime as dt
 import time
 import zipfile
 
@@ -261,11 +262,45 @@ def test_session_log_over_batches(spark, tmp_path):
     stream = arriving(spark, tmp_path / "in", parts, schema)
     log = runs.run_to_table(session_log(stream), "log", str(tmp_path / "log"))
     assert {tuple(r) for r in log.collect()} == {
-        ("a", 0, 0, "user", "u"), ("a", 0, 1, "assistant", "hi"), ("a", 1, 0, "user", "new"),
-        ("b", 0, 0, "user", "x"), ("b", 0, 1, "user", "y"),
+        ("a", 0, 0, "user", "u", 0), ("a", 0, 1, "assistant", "hi", 0), ("a", 1, 0, "user", "new", 0),
+        ("b", 0, 0, "user", "x", 0), ("b", 0, 1, "user", "y", 0),
     }
 
 
+def test_gaps_are_passed_over_when_patience_ends(spark, tmp_path):
+    schema = "session_id string, turn bigint, role string, text string, at timestamp"
+    t = lambda minute: dt.datetime(2024, 1, 1, 12) + dt.timedelta(minutes=minute)
+    user = lambda s, turn, minute: (s, turn, "user", f"{s}{turn}", t(minute))
+    parts = [
+        [user("a", 1, 0), user("a", 3, 1), user("b", 0, 1), user("b", 2, 6), user("c", 1, 7)],
+        [user("b", 1, 9), user("d", 0, 9), user("c", 2, 9)],  # b's gap closes in time
+        [("z", None, None, None, t(14))], [("z", None, None, None, t(14))],  # a's time is over, c's is not
+        [user("a", 7, 14), user("a", 0, 14), user("c", 0, 14)],  # a's first turn comes too late, c's does not
+        [("z", None, None, None, t(60)), (None, 0, "user", "x", t(60))],
+    ]
+    stream = arriving(spark, tmp_path / "in", parts, schema)
+    log = runs.run_to_table(session_log(stream, event_time="at", patience="10 minutes", late="1 second"), "log", str(tmp_path / "log"))
+    assert sorted((r["session_id"], r["seq"], r["text"], r["missing"]) for r in log.collect()) == [
+        ("a", 0, "a1", 1), ("a", 1, "a3", 1), ("a", 2, "a7", 3), ("b", 0, "b0", 0), ("b", 1, "b1", 0), ("b", 2, "b2", 0),
+        ("c", 0, "c0", 0), ("c", 1, "c1", 0), ("c", 2, "c2", 0), ("d", 0, "d0", 0),
+    ]
+
+
+def test_quiet_keys_are_forgotten(spark, tmp_path):
+    schema = "stream_id string, seq bigint, token string, end boolean, at timestamp"
+    t = lambda minute: dt.datetime(2024, 1, 1, 12) + dt.timedelta(minutes=minute)
+    parts = [
+        [("s", 0, "One ", None, t(0)), ("s", 2, "three", None, t(1)), ("r", 0, "rest", None, t(1))],
+        [("z", None, None, None, t(100))],
+        [("z", None, None, None, t(200))],
+        [("s", 0, "Again.", True, t(200)), ("z", None, None, None, t(300))],
+    ]
+    stream = arriving(spark, tmp_path / "in", parts, schema)
+    out = segment_stream(stream, event_time="at", patience="10 minutes", forget="30 minutes", late="1 minute")
+    got = runs.run_to_table(out, "pieces", str(tmp_path / "out")).collect()
+    assert sorted(tuple(r) for r in got) == [("r", 0, "rest", 0), ("s", 0, "Again.", 0), ("s", 0, "One three", 1)]
+
+
 def test_segments_over_batches(spark, tmp_path):
     tokens = [w + " " for w in "One two. Three is a longer sentence now. Four, and so on! Five".split()]
     rows = [("s", i, t, False) for i, t in enumerate(tokens)] + [("s", len(tokens), "", True)]
