@@ -186,6 +186,77 @@ def index_refresh(spark, sf_dir):
     return opened.chunks.select("source").distinct()
 
 
+def _write_files(files, folder):
+    """Texts (name, text) as files of a folder."""
+    from pyarrow import fs
+
+    def run(batches):
+        for pdf in batches:
+            for name, text in zip(pdf["name"], pdf["text"]):
+                system, place = fs.FileSystem.from_uri(f"{folder}/{name}")
+                system.create_dir(place.rpartition("/")[0])
+                with system.open_output_stream(place) as f:
+                    f.write(text.encode())
+            yield pdf[["name"]]
+
+    return files.mapInPandas(run, "name string").count()
+
+
+_NAME_SQL = "case (doc_id % 4)::integer when 0 then '_' || doc_id || '.txt' when 1 then '.' || doc_id || '.TXT' else doc_id || '.txt' end"
+
+
+def _named(spark, sf_dir):
+    """Documents under file names, half of them hidden from Spark's own readers."""
+    i, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    name = F.when(kind == 0, F.concat(F.lit("_"), i, F.lit(".txt"))).when(kind == 1, F.concat(F.lit("."), i, F.lit(".TXT")))
+    return wide(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", name.otherwise(F.concat(i, F.lit(".txt"))).alias("name"), "text")
+
+
+def _folder(spark, name):
+    """A scratch folder as a full address."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, name))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+_FILE = r"([^/]+)\z"
+
+
+@query(f"select {_NAME_SQL} as name, 'txt' as type, octet_length(encode(text)) as length, md5(text) as text_md5 from documents")
+def document_folder(spark, sf_dir):
+    """Files of a folder with names of every kind: listed, sized and read."""
+    folder = _folder(spark, "folder")
+    _write_files(_named(spark, sf_dir).select("name", "text"), folder)
+    files = D.list_files(spark, folder)
+    texts = D.load_documents(files).select(F.col("source").alias("path"), F.md5("text").alias("text_md5"))
+    return files.select("path", "type", "length").join(texts, "path").select(F.regexp_extract("path", _FILE, 1).alias("name"), "type", "length", "text_md5")
+
+
+@query(f"""
+select {_NAME_SQL} as name, case when doc_id % 5 = 0 or doc_id % 6 = 1 then 1 else 0 end::bigint as built from documents where doc_id % 7 <> 2
+""")
+def document_folder_refresh(spark, sf_dir):
+    """A folder polled, changed and polled again: which poll built each file that is there. Some files were added, edited, removed."""
+    from pyarrow import fs
+
+    folder, store = _folder(spark, "folder"), _folder(spark, "folder-store")
+    named = _named(spark, sf_dir)
+    late, edited, gone = F.col("doc_id") % 5 == 0, F.col("doc_id") % 6 == 1, F.col("doc_id") % 7 == 2
+    _write_files(named.where(~late).select("name", "text"), folder)
+    runs.poll_documents(spark, folder, store, ENCODER)
+    _write_files(named.where(late | edited).select("name", F.concat("text", F.lit(" again")).alias("text")), folder)
+
+    def remove(batches):
+        for pdf in batches:
+            for name in pdf["name"]:
+                system, place = fs.FileSystem.from_uri(f"{folder}/{name}")
+                system.delete_file(place)
+            yield pdf[["name"]]
+
+    named.where(gone).select("name").mapInPandas(remove, "name string").count()
+    runs.poll_documents(spark, folder, store, ENCODER)
+    return ChunkStore(spark, store).live().select(F.regexp_extract("path", _FILE, 1).alias("name"), F.col("batch").alias("built"))
+
+
 def _stream(df, name):
     """A table as a stream of files."""
     spark = df.sparkSession

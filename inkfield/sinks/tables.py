@@ -128,9 +128,10 @@ def write_jdbc(df: DataFrame, url: str, table: str, *, batch_rows: int = 500, wr
 
 
 def folder_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """One row: files and bytes below a folder; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
-    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    """One row: all files and bytes below a folder, hidden names too, summed by the file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    summary = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place)
+    return spark.createDataFrame([(summary.getFileCount(), summary.getLength())], "files bigint, bytes bigint")
 
 
 def vector_bytes(df: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -27,12 +27,45 @@ def supported(listing: DataFrame, suffixes: tuple[str, ...] = config.DOCUMENT_SU
     return typed.where(F.col("type").isin(*suffixes))
 
 
+def _hidden(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose names Spark's readers pass over, those that begin with ``_`` or ``.``, with their bytes.
+
+    The file system picks them by name, so of all files only these, which are few, are named on the driver. Their bytes are
+    read in the tasks, by path.
+    """
+    from pyspark.sql import Row
+
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    place = path(folder)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path(place, "{_,.}*"))
+    rows = [
+        Row(path=s.getPath().toString(), millis=s.getModificationTime(), length=s.getLen()) for s in found or [] if s.isFile()
+    ]
+    listed = spark.createDataFrame(rows, "path string, millis bigint, length bigint")
+    listed = listed.select("path", F.timestamp_millis("millis").alias("modificationTime"), "length")
+    return listed.withColumn("content", _bytes_of("path"))
+
+
+@F.arrow_udf(T.BinaryType())
+def _bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    from pyarrow import fs
+
+    for a in batches:
+        out = []
+        for path in a.to_pylist():
+            system, place = fs.FileSystem.from_uri(path)
+            with system.open_input_stream(place) as f:
+                out.append(f.read())
+        yield pa.array(out, pa.binary())
+
+
 def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = config.DOCUMENT_SUFFIXES) -> DataFrame:
-    """Supported files directly in a folder: path, modificationTime, length, content, type.
+    """Supported files directly in a folder, whatever their names: path, modificationTime, length, content, type.
 
     Columns that are not used are not read: a state needs no bytes. A missing folder is an error at once.
     """
-    return supported(spark.read.format("binaryFile").load(folder), suffixes)
+    seen = spark.read.format("binaryFile").load(folder)
+    return supported(seen.unionByName(_hidden(spark, folder)), suffixes)
 
 
 def _decode(raw: bytes) -> str:

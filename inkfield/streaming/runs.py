@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from inkfield.operators import snapshots
 from inkfield.operators.encode import Encoder
-from inkfield.plans.index import chunk_and_embed
+from inkfield.plans.index import chunk_and_embed, store_plan
 from inkfield.plans.store import ChunkStore
-from inkfield.session import scratch_path
-from inkfield.sources.documents import load_documents, supported
-
-FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+from inkfield.session import materialize, scratch_path
+from inkfield.sources.documents import list_files, load_documents
 
 
 def run_to_table(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -41,24 +40,34 @@ def refresh_batch(files: DataFrame, batch: int, store: ChunkStore, encoder: Enco
     store.write_batch(batch, actions, chunk_and_embed(docs, encoder))
 
 
-def document_stream(
-    spark: SparkSession, folder: str, store_folder: str, encoder: Encoder, *, pages=None, files_per_batch: int = 1000
-) -> StreamingQuery:
-    """New files of a folder flow into chunks and vectors until all present files are done.
+def poll_documents(spark: SparkSession, folder: str, store_folder: str, encoder: Encoder, *, pages=None) -> int:
+    """Compare a folder with the state of the poll before and bring the store up to it; the number of files that changed.
 
-    The file source reports new paths only; edits and removals are found by ``open_or_refresh``.
+    New and edited files are cut and embedded, removed ones are passed over from then on; other files are listed but not
+    read. The state is saved behind the chunks, so a poll that failed is done again and gives the same.
     """
     store = ChunkStore(spark, store_folder)
-    source = (
-        spark.readStream.format("binaryFile")
-        .schema(FILE_SCHEMA)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
-    )
+    files = list_files(spark, folder)
+    current = materialize(snapshots.collect_state(files), "listing")
+    last = store.last_batch()
+    saved = snapshots.load_state(spark, f"{store_folder}/states/{last}") if last >= 0 else None
+    plan = materialize(store_plan(snapshots.rebuild_plan(saved, current), current, store), "plan")
+    n = plan.count()
+    if n or last < 0 or saved is None:
+        chosen = files.join(plan.where("action = 'build'").select("path"), "path", "left_semi")
+        store.write_batch(last + 1, plan, chunk_and_embed(load_documents(chosen, pages), encoder))
+        snapshots.save_state(current, f"{store_folder}/states/{last + 1}")
+    return n
+
+
+def document_stream(
+    spark: SparkSession, folder: str, store_folder: str, encoder: Encoder, *, pages=None, interval: str = "1 minute"
+) -> StreamingQuery:
+    """Polls a folder every ``interval`` until stopped: additions, edits and removals flow into chunks and vectors."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return (
-        supported(source)
-        .writeStream.foreachBatch(lambda df, n: refresh_batch(df, n, store, encoder, pages))
+        clock.writeStream.foreachBatch(lambda _, n: poll_documents(spark, folder, store_folder, encoder, pages=pages))
         .option("checkpointLocation", f"{store_folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(processingTime=interval)
         .start()
     )

@@ -172,15 +172,48 @@ def test_document_stream(spark, tmp_path):
     docs.mkdir()
     (docs / "a.txt").write_text("alpha")
     (docs / "b.md").write_text("no")
-    run = lambda: runs.document_stream(spark, str(docs), home, HashEncoder(16)).awaitTermination()
-    run()
-    (docs / "c.txt").write_text("gamma")
-    run()
+    poll = lambda: runs.poll_documents(spark, str(docs), home, HashEncoder(16))
+    assert poll() == 1
+    (docs / "_c.txt").write_text("gamma")
+    (docs / ".d.txt").write_text("delta")
+    assert poll() == 2 and poll() == 0
     store = ChunkStore(spark, home)
-    assert sorted(r["text"] for r in store.chunks().collect()) == ["alpha", "gamma"]
-    batch = store.last_batch()
-    runs.refresh_batch(D.list_files(spark, str(docs)).where("path like '%c.txt'"), batch, store, HashEncoder(16))
-    assert store.chunks().count() == 2
+    assert sorted(r["text"] for r in store.chunks().collect()) == ["alpha", "delta", "gamma"]
+    (docs / "a.txt").write_text("alpha, edited")
+    (docs / ".d.txt").unlink()
+    assert poll() == 2
+    assert sorted(r["text"] for r in store.chunks().collect()) == ["alpha, edited", "gamma"]
+    batch = store.last_batch() + 1
+    for _ in range(2):  # the same batch again changes nothing
+        runs.refresh_batch(D.list_files(spark, str(docs)).where("path like '%c.txt'"), batch, store, HashEncoder(16))
+        assert store.chunks().count() == 2
+
+
+def test_documents_are_polled_by_the_clock(spark, tmp_path):
+    docs, home = tmp_path / "docs", str(tmp_path / "store")
+    docs.mkdir()
+    (docs / "_a.txt").write_text("alpha")
+    q = runs.document_stream(spark, str(docs), home, HashEncoder(16), interval="1 second")
+    try:
+        end = time.time() + 60
+        while time.time() < end and ChunkStore(spark, home).chunks().count() < 1:
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert [r["text"] for r in ChunkStore(spark, home).chunks().collect()] == ["alpha"]
+
+
+def test_hidden_names_are_files_too(spark, tmp_path):
+    for name in ("_a.txt", ".b.txt", "c.txt", "_d.md"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "_sub").mkdir()
+    (tmp_path / "_sub" / "e.txt").write_text("no")
+    files = D.list_files(spark, str(tmp_path))
+    assert {(r["path"].rpartition("/")[2], bytes(r["content"]).decode(), r["length"]) for r in files.collect()} == {
+        (n, n, len(n)) for n in ("_a.txt", ".b.txt", "c.txt")
+    }
+    sizes = [f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()]
+    assert W.folder_bytes(spark, str(tmp_path)).first()["bytes"] >= sum(sizes)
 
 
 def test_prompts(spark):
