@@ -13,6 +13,7 @@ from inkfield.operators import schema as S
 from inkfield.operators import snapshots as N
 from inkfield.plans.registry import ORACLES, query, table, wide
 from inkfield.session import scratch_path
+from inkfield.sinks import documents as WD
 from inkfield.sinks import tables as W
 from inkfield.sources import records as SR
 
@@ -513,29 +514,68 @@ def search_run_summary(spark, sf_dir):
     )
 
 
-def _refuse_some(ids, docs):
-    """A store that refuses documents without a price."""
-    return ["price missing" if '"price":null' in d else None for d in docs]
+_DOCS_SQL = """docs as (select o_orderkey as record_id, row_number() over (order by o_orderdate, o_orderkey) - 1 as ordinal,
+  case when o_orderkey % 3 <> 0 then o_totalprice end as price, strftime(o_orderdate, '%Y-%m-%d') as day,
+  case when o_orderkey % 50 = 0 then '"soon"' else '"' || strftime(o_orderdate, '%Y-%m-%d') || '"' end as due from orders),
+checked as (select *, case when price is null then 'price missing' when due = '"soon"' then 'due is no date' end as error from docs)"""
 
 
-@query("""
-select count(*) as attempted, count(*) filter (where o_orderkey % 3 <> 0) as succeeded, count(*) filter (where o_orderkey % 3 = 0) as failed
-from orders
+def _order_docs(spark, sf_dir):
+    """Orders as JSON documents in the order of their days; some lack what the store wants."""
+    o = table(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
+    due = F.when(F.col("o_orderkey") % 50 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    doc = F.to_json(F.struct(F.col("o_orderkey").alias("id"), price.alias("price"), due.alias("due")), {"ignoreNullFields": "false"})
+    docs = o.select("o_orderdate", F.col("o_orderkey").alias("record_id"), doc.alias("doc"))
+    return O.dense_ordinals(docs, ["o_orderdate", "record_id"], "ordinal")
+
+
+def _wants_price_and_day(ids, docs):
+    """The store's own check of its documents."""
+    import datetime
+    import json
+
+    def wrong(doc):
+        if doc["price"] is None:
+            return "price missing"
+        try:
+            datetime.date.fromisoformat(doc["due"])
+        except ValueError:
+            return "due is no date"
+
+    return [wrong(json.loads(d)) for d in docs]
+
+
+def _loaded(spark, sf_dir):
+    """Report of a load into a folder, and the folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "loaded"))
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return WD.write_documents(_order_docs(spark, sf_dir), WD.FolderStore(folder, _wants_price_and_day)), folder
+
+
+@query(f"""with {_DOCS_SQL}
+select count(*) as attempted, count(*) filter (where error is null) as succeeded, count(error) as failed from checked
 """)
 def load_report(spark, sf_dir):
-    price = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price"), "o_orderdate")
-    doc = F.to_json(F.struct("o_orderkey", "price"), {"ignoreNullFields": "false"})
-    docs = o.select(F.col("o_orderkey").alias("record_id"), doc.alias("doc"))
-    r = W.load_report(W.write_documents(docs, _refuse_some))
-    return r.select(*[F.col(c).cast("bigint").alias(c) for c in r.columns])
+    return _loaded(spark, sf_dir)[0].drop("errors")
 
 
-@query()
+@query(f"""with {_DOCS_SQL}
+select ordinal, record_id::varchar as record_id, error from checked where error is not null order by ordinal limit 5
+""")
 def load_first_errors(spark, sf_dir):
-    """The first five errors of a load."""
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.lit('{"price":null}').alias("doc"))
-    return W.first_errors(W.write_documents(docs, _refuse_some))
+    """The first five errors of a load, by the records' places."""
+    return WD.first_errors(_loaded(spark, sf_dir)[0])
+
+
+@query(f"""with {_DOCS_SQL}
+select record_id::varchar as id, price, due[2:-2] as due from checked where error is null
+""")
+def load_read_back(spark, sf_dir):
+    """The documents that a load has left in the store."""
+    _, folder = _loaded(spark, sf_dir)
+    doc = F.from_json("doc", "id bigint, price double, due string").alias("d")
+    return spark.read.schema("id string, doc string").parquet(folder).select("id", doc).select("id", "d.price", "d.due")
 
 
 @query()

@@ -1,58 +1,10 @@
-"""Sinks: keyed document batches, relational tables, write modes, storage reports."""
+"""Sinks: keyed tables, relational tables, write modes, storage reports."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Writes a batch of records to a store: (ids, documents) -> one error text or None per record.
-BatchWriter = Callable[[list, list], list]
-
-DOCUMENT_BATCH = 500
-MAX_FIRST_ERRORS = 5
-
-
-def write_documents(
-    docs: DataFrame, writer: BatchWriter, *, id_: str = "record_id", doc: str = "doc",
-    batch_rows: int = DOCUMENT_BATCH, tasks: int | None = None,
-) -> DataFrame:
-    """Send documents in batches: (batch, attempted, ok, failed, first_error) per batch.
-
-    The store is keyed by id, so a repeated task writes the same records again and changes nothing.
-    Errors are reported, not raised. ``tasks`` caps the writers that run at a time; what comes before them
-    keeps its own partitions.
-    """
-    rows = docs.select(F.col(id_).cast("string").alias("id"), F.col(doc).alias("doc"))
-    if tasks:
-        rows = rows.repartition(tasks)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for at in range(0, len(pdf), batch_rows):
-                part = pdf.iloc[at : at + batch_rows]
-                errors = writer(part["id"].to_list(), part["doc"].to_list())
-                bad = [e for e in errors if e is not None]
-                out.append((part["id"].iloc[0], len(part), len(part) - len(bad), len(bad), bad[:MAX_FIRST_ERRORS]))
-            yield pd.DataFrame(out, columns=["batch", "attempted", "ok", "failed", "errors"])
-
-    return rows.mapInPandas(run, "batch string, attempted bigint, ok bigint, failed bigint, errors array<string>")
-
-
-def load_report(results: DataFrame) -> DataFrame:
-    """One row: attempted, succeeded, failed."""
-    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return results.agg(n("attempted").alias("attempted"), n("ok").alias("succeeded"), n("failed").alias("failed"))
-
-
-def first_errors(results: DataFrame, n: int = MAX_FIRST_ERRORS) -> DataFrame:
-    """The first errors of a load, by batch; a bounded heap per task."""
-    return results.select("batch", F.posexplode("errors").alias("pos", "error")).orderBy("batch", "pos").limit(n)
-
-
 def write_keyed(docs: DataFrame, path: str, *, id_: str = "record_id") -> None:
     """Documents into a keyed Parquet table: same ids replace, others stay.
 

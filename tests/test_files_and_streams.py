@@ -15,6 +15,7 @@ from inkfield.operators.segments import segment, tokens_of
 from inkfield.plans import index as P
 from inkfield.plans.file_queries import _docx, line_pages
 from inkfield.plans.store import ChunkStore
+from inkfield.sinks import documents as WD
 from inkfield.sinks import tables as W
 from inkfield.sources import documents as D
 from inkfield.streaming import runs
@@ -94,13 +95,36 @@ def test_state_needs_no_bytes(spark, tmp_path):
     assert "ReadSchema" in scan and "content:binary" not in scan
 
 
-def test_document_sink_collects_errors(spark):
-    docs = spark.range(20).select(F.col("id").alias("record_id"), F.concat(F.lit("d"), F.col("id")).alias("doc"))
-    writer = lambda ids, docs: ["refused" if int(i) % 4 == 0 else None for i in ids]
-    results = W.write_documents(docs.coalesce(1), writer, batch_rows=6)
-    assert sorted(r["attempted"] for r in results.collect()) == [2, 6, 6, 6]
-    assert tuple(W.load_report(results).first()) == (20, 15, 5)
-    assert [r["error"] for r in W.first_errors(results, 3).collect()] == ["refused"] * 3
+def numbered(spark, n):
+    return spark.range(n).select(F.col("id").alias("record_id"), F.concat(F.lit("d"), F.col("id")).alias("doc"), (n - F.col("id")).alias("ordinal"))
+
+
+def test_document_sink_tells_errors_by_ordinal(spark, tmp_path):
+    writer = lambda ids, docs: ["refused" if int(i) % 4 == 0 else None for i in ids]
+    store = WD.FolderStore(f"file://{tmp_path}/out", writer)
+    report = WD.write_documents(numbered(spark, 20).repartition(3), store, batch_rows=6, most_errors=3)
+    assert tuple(report.drop("errors").first()) == (20, 15, 5)
+    assert [tuple(r) for r in WD.first_errors(report).collect()] == [(4, "16", "refused"), (8, "12", "refused"), (12, "8", "refused")]
+    kept = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(tuple(r) for r in kept.collect()) == sorted((str(k), f"d{k}") for k in range(20) if k % 4)
+    assert WD.write_documents(numbered(spark, 0), store).drop("errors").first().asDict() == {"attempted": 0, "succeeded": 0, "failed": 0}
+
+
+def test_a_load_that_fails_leaves_nothing(spark, tmp_path):
+    def writer(ids, docs):
+        if "7" in ids:
+            raise RuntimeError("store is down")
+        return [None] * len(ids)
+
+    store = WD.FolderStore(f"file://{tmp_path}/out", writer)
+    with pytest.raises(Exception, match="store is down"):
+        WD.write_documents(numbered(spark, 20).repartition(4), store, batch_rows=2)
+    assert [f for f in tmp_path.rglob("*.parquet") if not f.name.startswith("_")] == []
+
+
+def test_a_plain_function_is_a_store(spark):
+    report = WD.write_documents(numbered(spark, 5), lambda ids, docs: [None] * len(ids), tasks=2)
+    assert tuple(report.first()) == (5, 5, 0, [])
 
 
 def test_keyed_sink(spark, tmp_path):
