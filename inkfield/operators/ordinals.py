@@ -12,7 +12,7 @@ from inkfield.session import materialize
 BROADCAST_ROWS = 100_000  # offsets, one for each file or partition, that are shipped; more are joined by a shuffle
 
 
-def _running_offsets(spark: SparkSession, counts: DataFrame, key: str) -> DataFrame:
+def running_offsets(spark: SparkSession, counts: DataFrame, key: str) -> DataFrame:
     """(key, offset) from (key, n): one row per file or partition, the size of a file listing."""
     total, rows = 0, []
     for r in counts.orderBy(key).toLocalIterator():
@@ -36,7 +36,7 @@ def file_ordinals(spark: SparkSession, path, schema: T.StructType | None = None,
         .groupBy("__file")
         .agg((F.max("__i") + 1).alias("n"))
     )
-    offsets = _running_offsets(spark, counts, "__file")
+    offsets = running_offsets(spark, counts, "__file")
     rows = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__i"))
     return rows.join(offsets, "__file").select(*raw.columns, (F.col("__offset") + F.col("__i")).alias(name))
 
@@ -69,7 +69,7 @@ def dense_ordinals(df: DataFrame, order_by: list, name: str = "_ordinal", partit
         F.col("__tag").bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"),
     )
     counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
-    offsets = _running_offsets(df.sparkSession, counts, "__part")
+    offsets = running_offsets(df.sparkSession, counts, "__part")
     return placed.join(offsets, "__part").select(*df.columns, (F.col("__offset") + F.col("__at")).alias(name))
 
 
