@@ -7,11 +7,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfield.llm.common import Tables, arrow_rows, of_process
 from inkfield.llm.tokens import DocumentIds
+from inkfield.operators.ordinals import running_offsets
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Row groups small enough to be read alone, pages that their indexes can skip; ids by dictionary, whole numbers by delta.
@@ -61,9 +62,8 @@ def read_figures(spark: SparkSession, path: str, *more: str) -> DataFrame:
     """doc_id, start and ``more`` columns of the files; ids are read only if asked for."""
     files = spark.read.parquet(path)
     totals = files.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))  # a row for each file
-    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("file_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
-    return files.join(starts, "file_no").select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), *more)
+    starts = running_offsets(spark, totals, "file_no")
+    return files.join(starts, "file_no").select("doc_id", (F.col("__offset") + F.col("before")).alias("start"), *more)
 
 
 def read_tokens(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:

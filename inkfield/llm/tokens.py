@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import chain
 
 import numpy as np
 
 END = 0
-KNOWN_WORDS, KNOWN_IDS = 700_000, 10_000_000
 CHARS_AT_ONCE = 1_000_000
 
-# How the tokenizer's files cut text into words, for letters up to U+024F (fixed values: its pattern and Unicode's classes).
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
-_WORDS = re.compile(
-    rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-)
+# How byte-level tokenizers cut text into words (fixed value: the published pattern).
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _OTHER = re.compile("[^\x00-ɏ]")
 
 
@@ -26,29 +23,41 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _printable_bytes() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level tokenizer's file: itself where it prints, else one from U+0100 on."""
+    prints = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    others = [b for b in range(256) if b not in prints]
+    return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class DocumentIds:
     """Ids of texts as the tokenizers library gives them, without special tokens added.
 
-    Words are encoded by the library once and remembered, at most KNOWN_WORDS with KNOWN_IDS ids; texts with letters beyond U+024F or with a
-    special token's own text are given to the library whole.
+    The vocabulary and merges of the tokenizer's file are run by a faster encoder, whose ids are the library's wherever
+    merges are numbered in their order, as they are checked to be. Texts with a special token's own text, or with letters
+    beyond U+024F, whose classes the two may see differently, are given to the library itself, as are all texts of a file
+    of another kind.
     """
 
     def __init__(self, name: str, end: int = END):
-        self.name, self.end, self.library = name, end, None
+        self.name, self.end, self.library, self.encoder = name, end, None, None
 
     def _open(self):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(tokenizer_path(self.name))
+        path = tokenizer_path(self.name)
+        self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self._forget()
-
-    def _forget(self):
-        self.place: dict[str, int] = {}
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used, self.next = np.zeros(4096, np.uint32), 0, 0
-        self.place[""] = 0
-        self._store([[self.end]])
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        before, model = file["pre_tokenizer"] or {}, file["model"]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if plain and not file["normalizer"] and all(a < b for a, b in zip(merged, merged[1:])):
+            of = _printable_bytes()
+            ranks = {bytes(map(of.__getitem__, t)): i for t, i in model["vocab"].items() if t not in self.specials}
+            self.encoder = tiktoken.Encoding(self.name, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, the end id after each text's, and the number of each text's ids with it."""
@@ -65,44 +74,14 @@ class DocumentIds:
         return tuple(np.concatenate(x) for x in zip(*parts))
 
     def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.next > KNOWN_WORDS or self.used > KNOWN_IDS:
-            self._forget()
-        words, count, apart = [], np.ones(len(texts), np.int64), []
-        for k, t in enumerate(texts):
-            if _OTHER.search(t) or any(s in t for s in self.specials):
-                own = [t]
-                apart.append(t)
-            else:
-                own = _WORDS.findall(t)
-            words += own
-            words.append("")  # the end
-            count[k] += len(own)
-        self._learn(list(set(words).difference(self.place)))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        for t in apart:  # whole texts are not worth remembering
-            self.place.pop(t, None)
-        size = self.size[at]
-        ids = self.flat[np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        total, last = np.r_[0, np.cumsum(size)], np.cumsum(count)
-        return ids, total[last] - total[last - count]
-
-    def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            ids = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
-            self.place.update(zip(part, range(self.next, self.next + len(part))))
-            self._store(ids)
-
-    def _store(self, ids: list[list[int]]) -> None:
-        """Entries for the ids of some words, after those there are."""
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        end, used = self.next + len(ids), self.used + len(flat)
-        while end > len(self.start):
-            self.start, self.size = (np.r_[x, np.zeros(len(x), np.int64)] for x in (self.start, self.size))
-        while used > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.uint32)]
-        self.size[self.next : end] = size
-        self.start[self.next : end] = self.used + np.cumsum(size) - size
-        self.flat[self.used : used] = flat
-        self.next, self.used = end, used
+        ids = [self._ids(t) for t in texts]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _ids(self, text: str) -> list[int]:
+        if self.encoder is None or _OTHER.search(text) or any(s in text for s in self.specials):
+            out = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            out = self.encoder.encode_ordinary(text)
+        out.append(self.end)
+        return out
