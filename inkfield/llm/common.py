@@ -48,9 +48,14 @@ _OF_PROCESS: dict[tuple, object] = {}
 
 
 def of_process(kind: Callable, *args):
-    """One ``kind(*args)`` for all tasks of a Python worker, so that what it has learned serves the next task too."""
+    """One ``kind(*args)`` for all tasks of a Python worker, so that what it has learned serves the next task too.
+
+    A worker lives through the stages of a pipeline: what kinds of other modules have learned is dropped first.
+    """
     key = (kind, args)
     if key not in _OF_PROCESS:
+        for other in [k for k in _OF_PROCESS if k[0].__module__ != kind.__module__]:
+            del _OF_PROCESS[other]
         if len(_OF_PROCESS) >= 8:
             _OF_PROCESS.pop(next(iter(_OF_PROCESS)))
         _OF_PROCESS[key] = kind(*args)
