@@ -117,6 +117,18 @@ def _digest(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
+def quoted(name: str) -> str:
+    """A column's name for use in expressions, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def remainder(column: str, by: int) -> Column:
     """crc32 of a column's text, modulo ``by``; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by

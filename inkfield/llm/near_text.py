@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import Tables, arrow_rows, connected, of_process
+from inkfield.llm.common import Tables, arrow_rows, connected, free_name, of_process, quoted
 from inkfield.llm.shingles import WORDS_PER_SHINGLE, Collections, WordHashes, shingle_set, words_of
+from inkfield.operators.ordinals import dense_ordinals
 
 GROUPS = 12
 ROWS = 3
@@ -80,17 +81,35 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), block: int
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates: of each component the document with the least doc_id stays.
 
-    Rows without doc_id cannot be told apart by it and stay; of repeated rows (same doc_id and text) one stays.
+    Rows without doc_id cannot be told apart by it and stay; of repeated rows (same doc_id and text) one stays. Different
+    texts under one doc_id are documents of their own.
     """
     tables = Tables(docs.sparkSession, "one-of-each")
+    wording = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(wording).alias("a"), F.max(wording).alias("b"))
+    if several.where("a <> b").isEmpty():
+        return _one_of_each(tables, docs, settings)
+    # Numbers in the order of doc_id tell the texts under one doc_id apart.
+    number, name = free_name(docs.columns, "number"), free_name(docs.columns, "wording")
+    named = docs.withColumn(name, wording)
+    pairs = named.where("doc_id is not null").select("doc_id", name).distinct()
+    numbers = tables.keep(dense_ordinals(pairs, ["doc_id", name], number))
+    numbered = tables.keep(named.join(numbers, ["doc_id", name], "left").select(*map(quoted, docs.columns), number))
+    kept = _one_of_each(tables, numbered.withColumnRenamed("doc_id", name).withColumnRenamed(number, "doc_id"), settings)
+    return kept.drop("doc_id").withColumnRenamed(name, "doc_id").select(*map(quoted, docs.columns))
+
+
+def _one_of_each(tables: Tables, docs: DataFrame, settings: Settings) -> DataFrame:
+    """``one_of_each`` where every doc_id has one text."""
     found = tables.keep(near_duplicates(docs, settings).where("doc_id is not null").select("doc_id", "kept"))
     gone = found.where("not kept").select("doc_id").distinct()
     repeated = tables.keep(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    rest = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    columns = [*map(quoted, docs.columns)]
+    rest = docs.join(gone, "doc_id", "left_anti").select(*columns)
     if repeated.isEmpty():
         return rest
     again = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(again).select(*[f"`{c}`" for c in docs.columns])
+    return rest.join(repeated, "doc_id", "left_anti").select(*columns).unionAll(again.select(*columns))
 
 
 def _signed(docs: DataFrame, settings: Settings) -> DataFrame:

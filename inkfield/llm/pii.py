@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfield.llm.common import free_name, quoted
+
 # Give a secret of your own; whoever holds the key can undo the permutation.
 DEVELOPMENT_KEY = "inkfield"
 ROUNDS = 8
@@ -61,19 +63,18 @@ def pseudonyms(docs: DataFrame, key: str = DEVELOPMENT_KEY) -> DataFrame:
     has = F.col("text").rlike(CANDIDATE)
     gaps = F.split("text", CANDIDATE, -1)
     columns = [c for c in docs.columns if c != "pii"]
-    staged = docs.select(
-        *columns, F.when(has, new).alias("__new"), F.when(has, gaps).alias("__gaps")
-    )
+    made, rest = (free_name(docs.columns, name) for name in ("made", "rest"))
+    staged = docs.select(*map(quoted, columns), F.when(has, new).alias(made), F.when(has, gaps).alias(rest))
     joined = F.concat(
-        F.element_at("__gaps", 1),
+        F.element_at(rest, 1),
         F.array_join(
-            F.zip_with(F.slice("__gaps", F.lit(2), F.size("__new")), "__new", lambda g, v: F.concat(v["value"], g)), ""
+            F.zip_with(F.slice(rest, F.lit(2), F.size(made)), made, lambda g, v: F.concat(v["value"], g)), ""
         ),
     )
     counts = F.map_from_entries(
         F.filter(
             F.array(*[
-                F.struct(F.lit(k), F.size(F.filter(F.transform("__new", lambda v: v["kind"]), _equals(k)))) for k in KINDS
+                F.struct(F.lit(k), F.size(F.filter(F.transform(made, lambda v: v["kind"]), _equals(k)))) for k in KINDS
             ]),
             lambda e: e["col2"] > 0,
         )
@@ -81,10 +82,10 @@ def pseudonyms(docs: DataFrame, key: str = DEVELOPMENT_KEY) -> DataFrame:
     none = F.create_map().cast("map<string,int>")
     return staged.select(
         *[
-            F.when(F.col("__new").isNull(), F.col("text")).otherwise(joined).alias(c) if c == "text" else F.col(f"`{c}`")
+            F.when(F.col(made).isNull(), F.col("text")).otherwise(joined).alias(c) if c == "text" else F.col(quoted(c))
             for c in columns
         ],
-        F.when(F.col("__new").isNull(), none).otherwise(counts).alias("pii"),
+        F.when(F.col(made).isNull(), none).otherwise(counts).alias("pii"),
     )
 
 

@@ -91,8 +91,7 @@ def score_of(text: str, model: Model) -> Column:
 def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below one half; null and empty texts stay."""
     model = fit(docs, labels, sample_rows)
-    scored = docs.withColumn("__score", score_of("text", model))
-    return scored.where((F.col("__score") < 0.5) | (F.coalesce("text", F.lit("")) == "")).drop("__score")
+    return docs.where((score_of("text", model) < 0.5) | (F.coalesce("text", F.lit("")) == ""))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
