@@ -95,6 +95,47 @@ def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
+_COMPONENTS = """
+reach as (
+    select id as node, id as root from nodes union select l.b, r.root from reach r join links l on l.a = r.node
+),
+components as (select node, min(root) as component_id from reach group by 1)
+"""
+
+ORACLES["op6_minhash_near_dedup"] = rf"""
+with recursive texts as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+    from documents
+),
+shingles as (
+    select distinct doc_id, case when len(words) < 4 then array_to_string(words, ' ') else array_to_string(words[i:i + 3], ' ') end as s
+    from (select doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) as i from texts where len(words) > 0)
+),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+links as (
+    select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as common from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by all) p
+    join sizes u on u.doc_id = p.a join sizes v on v.doc_id = p.b where 100 * common >= 80 * (u.n + v.n - common)
+),
+nodes as (select doc_id as id from documents), {_COMPONENTS}
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join sizes using (doc_id) join components c on c.node = d.doc_id
+"""
+
+ORACLES["op7_near_vectors"] = f"""
+with recursive rows as (
+    select vec_id, label, list_transform(embedding, lambda c: cast(c as double)) as x from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0
+        and len(list_filter(embedding, lambda c: c <> 0)) > 0
+),
+links as (
+    select a.vec_id as a, b.vec_id as b from rows a join rows b on a.label = b.label and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.x, b.x) >= 0.93
+),
+nodes as (select vec_id as id from embeddings), {_COMPONENTS}
+select e.vec_id, count(l.b) as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join components c on c.node = e.vec_id left join links l on l.a = e.vec_id group by all
+"""
+
 ORACLES["op12_hard_negatives"] = """
 with rows as (
     select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
