@@ -45,9 +45,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), block: int
     2. Every class draws two small collections of minhash groups. A group that no other class has cannot
        be part of a shared key; only the rest is combined in pairs to table keys.
     3. In each bucket one class, the same in all buckets as far as possible, is compared with all others.
-       Buckets whose classes are all connected are done; the others choose other leaders at random, until
-       a round finds no link. What is left is compared whole, in blocks of bounded size, so that every pair that shares
-       a table is tested or connected already. No bucket emits its pairs.
+       Buckets whose classes are all connected are done; each further round draws another order, again one for all
+       buckets, until a round finds no link. What is left is compared whole, in blocks of bounded size, so that every pair
+       that shares a table is tested or connected already. No bucket emits its pairs.
 
     Null or blank texts have no shingles, link with nothing and are kept. Repeated rows are copies of each other
     and share a component; ``kept`` holds for each of them if it holds for one. Rows whose doc_id is null count
@@ -60,9 +60,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), block: int
         signed.where("node is not null").groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("groups").alias("groups"))
     )
-    keys = tables.keep(_shared_keys(tables, classes, settings))
-    sets = tables.keep(_sets(tables, docs, classes.join(keys.select("node").distinct(), "node", "left_semi"), settings))
+    keys = _shared_keys(tables, classes, settings)
+    sets = _sets(tables, docs, classes.join(keys.select("node").distinct(), "node", "left_semi"), settings)
     components = _link(tables, keys, sets, classes.select("node", "groups"), settings, block)
+    tables.drop(sets)
     named = tables.keep(
         classes.join(components, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
         .agg(F.min("doc_id").alias("component_id"))
@@ -71,6 +72,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), block: int
         classes.select("node").join(components, "node", "left")
         .withColumn("component", F.coalesce("component", "node")).join(named, "component").select("node", "component_id")
     )
+    tables.drop(classes, components, named)
     plain = signed.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = signed.where("node is not null").select("doc_id", "n_shingles", "node").join(of_class, "node")
     return out.select("doc_id", "n_shingles", "component_id").unionAll(plain).withColumn(
@@ -129,7 +131,7 @@ def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _shared_keys(tables: Tables, classes: DataFrame, settings: Settings) -> DataFrame:
-    """key, node, n: table keys of the classes for which another class has both groups of the key."""
+    """key, place, node, n: table keys, and the tables they are of, of the classes for which another class has both groups."""
     g = settings.groups
     groups = classes.select("node", "n", F.posexplode("groups").alias("place", "value"))
     shared = tables.keep(groups.groupBy("place", "value").agg(F.count("*").alias("members")).where("members > 1"))
@@ -140,7 +142,10 @@ def _shared_keys(tables: Tables, classes: DataFrame, settings: Settings) -> Data
     pairs = own.select("node", "n", F.explode("first").alias("x"), "second").select(
         "node", "n", "x", F.explode("second").alias("y")
     )
-    return pairs.select(F.xxhash64("x", "y").alias("key"), "node", "n")
+    place = (F.col("x.place") * g + F.col("y.place") - g).cast("int").alias("place")
+    keys = tables.keep(pairs.select(F.xxhash64("x", "y").alias("key"), place, "node", "n"))
+    tables.drop(shared)
+    return keys
 
 
 def _sets(tables: Tables, docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
@@ -161,7 +166,9 @@ def _sets(tables: Tables, docs: DataFrame, classes: DataFrame, settings: Setting
     texts = docs.select("doc_id", "text").join(
         _shipped(wanted), F.col("doc_id").eqNullSafe(F.col("doc_id_"))
     ).select("node", "text")
-    return arrow_rows(texts, collect, "node binary, shingles binary").dropDuplicates(["node"])
+    sets = tables.keep(arrow_rows(texts, collect, "node binary, shingles binary").dropDuplicates(["node"]))
+    tables.drop(wanted)
+    return sets
 
 
 def _link(tables: Tables, keys: DataFrame, sets: DataFrame, groups: DataFrame, settings: Settings, block: int) -> DataFrame:
@@ -175,15 +182,15 @@ def _link(tables: Tables, keys: DataFrame, sets: DataFrame, groups: DataFrame, s
     tested, marks, turn = None, None, 0
     while True:
         members = keys.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        order = F.xxhash64("node") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
         leaders = tables.keep(
             members.groupBy("key").agg(
-                F.min_by(F.struct("node", "n", "component"), F.struct(order, "node")).alias("leader"),
+                F.min_by(F.struct("node", "n", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("leader"),
                 F.min("component").alias("least"), F.max("component").alias("most"),
             ).where("least <> most").select("key", "leader")
         )
         still = tables.keep(members.join(leaders, "key"))
-        keys = still.select("key", "node", "n")
+        tables.drop(leaders, keys)
+        keys = still
         size, other = F.col("n"), F.col("leader.n")
         here = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("of"))
         there = F.struct(F.xxhash64("leader.node").alias("h"), F.col("leader.node").alias("of"))
@@ -194,12 +201,14 @@ def _link(tables: Tables, keys: DataFrame, sets: DataFrame, groups: DataFrame, s
         if turn:
             pairs = _possible(pairs.join(tested, ["a", "b"], "left_anti"), marks, far)
         pairs = tables.keep(pairs)
-        results = tables.keep(_compared(tables, pairs, sets))
+        keys = still.select("key", "place", "node", "n")
+        results = _compared(tables, pairs, sets)
         links = results.where(100 * F.col("common") >= settings.similarity * F.col("whole")).select("a", "b")
-        tables.drop(leaders)
         last = links.isEmpty()
         if last:
-            links = tables.keep(_rest(tables.keep(keys), components, sets, groups, settings, block))
+            tables.drop(results, pairs)
+            links = _rest(tables, keys, components, sets, groups, settings, block)
+            tables.drop(still)
             if links.isEmpty():
                 return components
         # Links join components of the last round; only those are contracted.
@@ -212,57 +221,75 @@ def _link(tables: Tables, keys: DataFrame, sets: DataFrame, groups: DataFrame, s
         old = components.join(
             merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left"
         ).select("node", F.coalesce("to", "component").alias("component"))
-        components = tables.keep(old.unionAll(merged.join(components.select("node"), "node", "left_anti")))
+        after = tables.keep(old.unionAll(merged.join(components.select("node"), "node", "left_anti")))
+        tables.drop(components, merged)
+        components = after
         if last:
+            tables.drop(links)
             return components
         if turn == 0:
             distance = 1 - F.col("common") / F.col("whole")
             marks = tables.keep(
                 results.groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("mark"), distance.alias("d"))).alias("marks"))
             )
-        tested = pairs if tested is None else tables.keep(tested.unionAll(pairs))
+            tested = pairs
+        else:
+            both = tables.keep(tested.unionAll(pairs))
+            tables.drop(tested, pairs)
+            tested = both
+        tables.drop(results)
         turn += 1
 
 
 def _rest(
-    keys: DataFrame, components: DataFrame, sets: DataFrame, groups: DataFrame, settings: Settings, block: int
+    tables: Tables, keys: DataFrame, components: DataFrame, sets: DataFrame, groups: DataFrame, settings: Settings, block: int
 ) -> DataFrame:
     """(a, b): links enough to connect what the links inside the given buckets connect.
 
     A bucket of two was compared when one of them led. Others are cut into blocks by hash, and each block is compared with itself
-    and each other. Of the buckets that two classes share, the first by the places of their groups compares them.
+    and each other. Of the buckets that two classes share, the first by the places of their groups compares them, so most buckets
+    compare few: group values, sizes and components tell which classes have a partner in a block, and only their sets are moved there.
     """
     side, similarity = settings.groups, settings.similarity
     sizes = keys.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles_of")).where("members > 2")
     cut = keys.join(sizes.select("key", F.ceil(F.col("shingles_of") / block).cast("int").alias("blocks")), "key")
     own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
     both = cut.withColumn("own", own).select(
-        "key", "node", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("key", "node", "n", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    rows = (
-        both.join(groups, "node").join(components, "node", "left")
-        .withColumn("component", F.coalesce("component", "node")).join(sets, "node")
+        "key", "place", "node", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select("key", "place", "node", "n", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = tables.keep(
+        both.join(groups, "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+    def partners(group: pd.DataFrame):
+        """For each class of the one block, its place and the places of the classes of the other that it is compared with here."""
         own, x, y = (group[k].to_numpy() for k in ("own", "x", "y"))
+        n, root = group["n"].to_numpy(), pd.factorize(group["component"])[0]
+        values = np.array(group["groups"].tolist(), np.int64)
+        first, second = divmod(int(group["place"].iloc[0]), side)
+        earlier = values[:, np.r_[0:first, side : side + second]]  # a pair that agrees here is compared in another bucket
+        left, right = np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0])
+        for at, i in enumerate(left):
+            to = right[at + 1 :] if x[0] == y[0] else right
+            to = to[(root[to] != root[i]) & (100 * np.minimum(n[to], n[i]) >= similarity * np.maximum(n[to], n[i]))]
+            yield i, to[~(earlier[to] == earlier[i]).any(axis=1)]
+
+    def needed(group: pd.DataFrame) -> pd.DataFrame:
+        use = np.zeros(len(group), bool)
+        for i, to in partners(group):
+            use[to] = True
+            use[i] |= len(to) > 0
+        return group.loc[use, ["key", "x", "y", "node"]]
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
         n, node = group["n"].to_numpy(), group["node"].to_numpy()
         root = pd.factorize(group["component"])[0]
-        values = np.array(group["groups"].tolist(), np.int64)
-        same = (values == values[0]).all(axis=0)
-        first = np.array([same[:side].argmax(), side + same[side:].argmax()])
-        earlier = np.r_[0 : first[0], side : first[1]]  # a pair that agrees here is compared in another bucket
         each = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
         ids = np.split(np.unique(np.concatenate(each), return_inverse=True)[1], np.cumsum([len(s) for s in each])[:-1])
         here = np.zeros(max(i.max() for i in ids) + 1, bool)
-        left, right = np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0])
         a, b = [], []
-        for at, i in enumerate(left):
-            to = right[at + 1 :] if x[0] == y[0] else right
-            to = to[
-                (root[to] != root[i]) & (100 * np.minimum(n[to], n[i]) >= similarity * np.maximum(n[to], n[i]))
-            ]
-            to = to[~(values[to][:, earlier] == values[i, earlier]).any(axis=1)]
+        for i, to in partners(group):
+            to = to[root[to] != root[i]]  # not connected by a link found before
             if not len(to):
                 continue
             here[ids[i]] = True
@@ -270,13 +297,18 @@ def _rest(
             common = np.add.reduceat(here[np.concatenate([ids[j] for j in to])], starts, dtype=np.int64)
             here[ids[i]] = False
             for j in to[100 * common >= similarity * (n[i] + n[to] - common)]:
-                if root[j] != root[i]:  # not connected by a link found before
+                if root[j] != root[i]:
                     a.append(node[i])
                     b.append(node[j])
                     root[root == root[j]] = root[i]
         return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
-    return rows.groupBy("key", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
+    at = ["key", "x", "y"]
+    used = tables.keep(rows.groupBy(*at).applyInPandas(needed, "key long, x int, y int, node binary"))
+    compared = rows.join(used, [*at, "node"]).join(sets, "node").groupBy(*at).applyInPandas(compare, "a binary, b binary")
+    links = tables.keep(compared.distinct())
+    tables.drop(rows, used)
+    return links
 
 
 def _possible(pairs: DataFrame, marks: DataFrame, far: float) -> DataFrame:
@@ -303,11 +335,13 @@ def _compared(tables: Tables, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     # Only sets of compared classes are moved, and once for each pair.
     numbered = tables.keep(pairs.withColumn("pair", F.monotonically_increasing_id()))
-    ends = numbered.select("pair", "a", "b", F.explode(F.array("a", "b")).alias("node"))
-    met = sets.join(_shipped(tables.keep(ends)), "node").groupBy("pair").agg(
+    ends = tables.keep(numbered.select("pair", "a", "b", F.explode(F.array("a", "b")).alias("node")))
+    met = sets.join(_shipped(ends), "node").groupBy("pair").agg(
         F.first("a").alias("a"), F.first("b").alias("b"), F.collect_list("shingles").alias("sets")
     )
-    return arrow_rows(met.select("a", "b", "sets"), sizes, "a binary, b binary, common long, whole long")
+    results = tables.keep(arrow_rows(met.select("a", "b", "sets"), sizes, "a binary, b binary, common long, whole long"))
+    tables.drop(numbered, ends)
+    return results
 
 
 def _shipped(rows: DataFrame) -> DataFrame:
