@@ -22,7 +22,7 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark, self.root, self.n = spark, scratch_path(spark, name), 0
-        self.where: dict[int, str] = {}
+        self.where: dict[int, tuple[DataFrame, str]] = {}  # a frame is held, so that no other takes its id
 
     def path(self) -> str:
         self.n += 1
@@ -32,15 +32,15 @@ class Tables:
         path = self.path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.where[id(out)] = path
+        self.where[id(out)] = out, path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in frames:
-            path = self.where.pop(id(df), None)
-            if path:
-                place = jvm.org.apache.hadoop.fs.Path(path)
+            known = self.where.pop(id(df), None)
+            if known:
+                place = jvm.org.apache.hadoop.fs.Path(known[1])
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 

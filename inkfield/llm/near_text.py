@@ -19,6 +19,7 @@ GROUPS = 12
 ROWS = 3
 SIMILARITY = 80  # percent
 BROADCAST_ROWS = 500_000  # of some 60 bytes
+WORTH = 10  # rounds of leaders end when less than one in so many comparisons finds a link
 BLOCK = 1_000_000  # shingles of a crowded bucket that one task compares with as many others
 
 
@@ -44,10 +45,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), block: int
     1. Documents with equal sets become one class, so copies cost nothing from here on.
     2. Every class draws two small collections of minhash groups. A group that no other class has cannot
        be part of a shared key; only the rest is combined in pairs to table keys.
-    3. In each bucket one class, the same in all buckets as far as possible, is compared with all others.
-       Buckets whose classes are all connected are done; each further round draws another order, again one for all
-       buckets, until a round finds no link. What is left is compared whole, in blocks of bounded size, so that every pair
-       that shares a table is tested or connected already. No bucket emits its pairs.
+    3. Each round draws an order; the first class of a bucket leads it, and every class is compared with one leader, the
+       first of those of its buckets that it may link with. Rounds go on while a tenth of their comparisons find links.
+       Buckets whose classes are all connected are done; the others are compared whole, in blocks of bounded size, so that
+       every pair that shares a table is tested or connected already. No bucket emits its pairs.
 
     Null or blank texts have no shingles, link with nothing and are kept. Repeated rows are copies of each other
     and share a component; ``kept`` holds for each of them if it holds for one. Rows whose doc_id is null count
@@ -172,43 +173,40 @@ def _sets(tables: Tables, docs: DataFrame, classes: DataFrame, settings: Setting
 
 
 def _link(tables: Tables, keys: DataFrame, sets: DataFrame, groups: DataFrame, settings: Settings, block: int) -> DataFrame:
-    """(node, component) after as many rounds as find links, and a whole comparison of the buckets that are left.
+    """(node, component): components after rounds of leaders, and a whole comparison of the buckets that are left.
 
-    The first round's leaders also serve as marks: Jaccard distance is a metric, so two classes whose distances to a mark
-    differ by more than the threshold cannot be linked and are not compared again.
+    A round makes at most one comparison for each class, however many of its buckets are crowded.
     """
-    spark, far = keys.sparkSession, 1 - settings.similarity / 100 + 1e-9
+    spark = keys.sparkSession
     components = spark.createDataFrame([], "node binary, component binary")
-    tested, marks, turn = None, None, 0
+    before, turn = keys, 0
     while True:
         members = keys.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        order = F.struct(F.xxhash64("node", F.lit(turn)), "node")
         leaders = tables.keep(
             members.groupBy("key").agg(
-                F.min_by(F.struct("node", "n", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("leader"),
+                F.min(F.struct(order.alias("order"), "node", "n", "component")).alias("leader"),
                 F.min("component").alias("least"), F.max("component").alias("most"),
             ).where("least <> most").select("key", "leader")
         )
         still = tables.keep(members.join(leaders, "key"))
-        tables.drop(leaders, keys)
-        keys = still
+        tables.drop(leaders, before)
+        before, keys = still, still.select("key", "place", "node", "n")
         size, other = F.col("n"), F.col("leader.n")
-        here = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("of"))
-        there = F.struct(F.xxhash64("leader.node").alias("h"), F.col("leader.node").alias("of"))
-        pairs = still.where(
-            (F.col("component") != F.col("leader.component"))
-            & (100 * F.least(size, other) >= settings.similarity * F.greatest(size, other))
-        ).select(F.greatest(here, there)["of"].alias("a"), F.least(here, there)["of"].alias("b")).distinct()
-        if turn:
-            pairs = _possible(pairs.join(tested, ["a", "b"], "left_anti"), marks, far)
-        pairs = tables.keep(pairs)
-        keys = still.select("key", "place", "node", "n")
+        pairs = tables.keep(
+            still.where(
+                (F.col("component") != F.col("leader.component"))
+                & (100 * F.least(size, other) >= settings.similarity * F.greatest(size, other))
+            ).groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("leader")).select("a", F.col("leader.node").alias("b"))
+        )
         results = _compared(tables, pairs, sets)
         links = results.where(100 * F.col("common") >= settings.similarity * F.col("whole")).select("a", "b")
-        last = links.isEmpty()
+        compared, found = pairs.count(), links.count()
+        last = WORTH * found < compared or not found
         if last:
-            tables.drop(results, pairs)
-            links = _rest(tables, keys, components, sets, groups, settings, block)
-            tables.drop(still)
+            rest = _rest(tables, keys, components, sets, groups, settings, block)
+            links = tables.keep(links.unionAll(rest))
+            tables.drop(still, rest, pairs, results)
             if links.isEmpty():
                 return components
         # Links join components of the last round; only those are contracted.
@@ -227,17 +225,7 @@ def _link(tables: Tables, keys: DataFrame, sets: DataFrame, groups: DataFrame, s
         if last:
             tables.drop(links)
             return components
-        if turn == 0:
-            distance = 1 - F.col("common") / F.col("whole")
-            marks = tables.keep(
-                results.groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("mark"), distance.alias("d"))).alias("marks"))
-            )
-            tested = pairs
-        else:
-            both = tables.keep(tested.unionAll(pairs))
-            tables.drop(tested, pairs)
-            tested = both
-        tables.drop(results)
+        tables.drop(pairs, results)
         turn += 1
 
 
@@ -246,19 +234,29 @@ def _rest(
 ) -> DataFrame:
     """(a, b): links enough to connect what the links inside the given buckets connect.
 
-    A bucket of two was compared when one of them led. Others are cut into blocks by hash, and each block is compared with itself
+    A bucket is cut into blocks by hash, and each block is compared with itself
     and each other. Of the buckets that two classes share, the first by the places of their groups compares them, so most buckets
     compare few: group values, sizes and components tell which classes have a partner in a block, and only their sets are moved there.
     """
     side, similarity = settings.groups, settings.similarity
-    sizes = keys.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles_of")).where("members > 2")
-    cut = keys.join(sizes.select("key", F.ceil(F.col("shingles_of") / block).cast("int").alias("blocks")), "key")
+    classes = groups.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    wide = tables.keep(keys.join(classes, "node"))
+    agree = F.array(*[F.min(F.get("groups", F.lit(j))) == F.max(F.get("groups", F.lit(j))) for j in range(2 * side)])
+    first, second = F.floor(F.col("place") / side).cast("int"), F.col("place") % side
+    # Where all classes of a bucket agree in an earlier group too, another bucket compares all of them.
+    open_ = wide.groupBy("key", "place").agg(
+        F.count("*").alias("members"), F.sum("n").alias("shingles_of"), agree.alias("agree")
+    ).where(
+        (F.col("members") > 1)
+        & ~F.exists(F.slice("agree", F.lit(1), first), lambda v: v)
+        & ~F.exists(F.slice("agree", F.lit(side + 1), second), lambda v: v)
+    )
+    cut = wide.join(open_.select("key", F.ceil(F.col("shingles_of") / block).cast("int").alias("blocks")), "key")
     own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    both = cut.withColumn("own", own).select(
-        "key", "place", "node", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("key", "place", "node", "n", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     rows = tables.keep(
-        both.join(groups, "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        cut.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "blocks")
     )
 
     def partners(group: pd.DataFrame):
@@ -304,43 +302,30 @@ def _rest(
         return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
     at = ["key", "x", "y"]
-    used = tables.keep(rows.groupBy(*at).applyInPandas(needed, "key long, x int, y int, node binary"))
+    parts = int(tables.spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but costly: not to be coalesced
+    used = tables.keep(rows.repartition(parts, *at).groupBy(*at).applyInPandas(needed, "key long, x int, y int, node binary"))
     compared = rows.join(used, [*at, "node"]).join(sets, "node").groupBy(*at).applyInPandas(compare, "a binary, b binary")
     links = tables.keep(compared.distinct())
-    tables.drop(rows, used)
+    tables.drop(wide, rows, used)
     return links
 
 
-def _possible(pairs: DataFrame, marks: DataFrame, far: float) -> DataFrame:
-    """Pairs that no common mark rules out."""
-    apart = F.exists(
-        "x", lambda p: F.exists("y", lambda q: (p["mark"] == q["mark"]) & (F.abs(p["d"] - q["d"]) > far))
-    )
-    both = pairs.join(marks.select("a", F.col("marks").alias("x")), "a", "left").join(
-        marks.select(F.col("a").alias("b"), F.col("marks").alias("y")), "b", "left"
-    )
-    return both.where(~F.coalesce(apart, F.lit(False))).select("a", "b")
-
-
 def _compared(tables: Tables, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs with the sizes of the intersection and union of their whole sets."""
 
     def sizes(columns):
         common, whole = [], []
-        for both in columns["sets"]:
-            s, t = (np.frombuffer(x.as_buffer(), np.uint64) for x in both.values)
+        for x, y in zip(columns["x"], columns["y"]):
+            s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             whole.append(len(np.union1d(s, t)))
             common.append(len(s) + len(t) - whole[-1])
         return {"a": columns["a"], "b": columns["b"], "common": common, "whole": whole}
 
-    # Only sets of compared classes are moved, and once for each pair.
-    numbered = tables.keep(pairs.withColumn("pair", F.monotonically_increasing_id()))
-    ends = tables.keep(numbered.select("pair", "a", "b", F.explode(F.array("a", "b")).alias("node")))
-    met = sets.join(_shipped(ends), "node").groupBy("pair").agg(
-        F.first("a").alias("a"), F.first("b").alias("b"), F.collect_list("shingles").alias("sets")
-    )
-    results = tables.keep(arrow_rows(met.select("a", "b", "sets"), sizes, "a binary, b binary, common long, whole long"))
-    tables.drop(numbered, ends)
+    # Only sets of compared classes are moved. A leader of many is a common key of an inner join, which can be split.
+    led = tables.keep(sets.withColumnRenamed("node", "a").withColumnRenamed("shingles", "x").join(_shipped(pairs), "a"))
+    met = led.join(sets.withColumnRenamed("node", "b").withColumnRenamed("shingles", "y"), "b")
+    results = tables.keep(arrow_rows(met.select("a", "b", "x", "y"), sizes, "a binary, b binary, common long, whole long"))
+    tables.drop(led)
     return results
 
 
