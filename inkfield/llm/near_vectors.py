@@ -1,4 +1,4 @@
-"""Near-duplicate vectors within a label by passes of projection signs, every bucket compared whole."""
+"""Near-duplicate vectors within a label by sorted projection passes, neighbours in the order compared."""
 
 from __future__ import annotations
 
@@ -12,29 +12,34 @@ from pyspark.sql import functions as F
 
 from inkfield.llm.common import Tables, arrow_rows, connected
 from inkfield.llm.vectors import cosines, matrix, unit, usable
+from inkfield.operators.ordinals import dense_ordinals
 
 SIMILARITY = 0.93
 SEED = 20_017
 BITS = tuple(range(0, 31, 2))  # numbers of signs to choose from
-BLOCK = 8192  # rows of a bucket that one task compares with each other
+WINDOW = 128  # rows that follow a row in the order and are compared with it
+STRETCH = 4096  # rows of the order in one group
+BLOCK = 8192  # rows of a crowded run that one task compares with each other
 SLICE = 256
 ROW_COST = 1024  # what moving a row costs, in comparisons
 MISSED = 0.003  # share of pairs right at the threshold that all passes together may miss
 MARGIN = 1e-9  # radians, far above rounding
 
 
-def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors`` (vec_id, embedding, label).
 
     Two vectors of the same label are linked if their cosine, in double precision, is ``similarity`` or more. Vectors that
     are null, zero or hold null or non-finite components, and those without a label, link with nothing.
 
     1. Equal vectors of a label become one class with a weight.
-    2. Each pass puts the classes of a label into buckets by the signs of their projections on random directions, and
-       compares all classes of a bucket. A pair at the threshold agrees in each sign with a known probability, so the
-       number of passes follows from the number of signs alone and holds for any data. Each label takes the number of
-       signs that costs least by the sizes of its buckets; where rows crowd, buckets are large and are cut into blocks.
-       A small label is one bucket, so all its pairs are compared. Verified pairs of all passes make the components.
+    2. Each pass hashes the classes of a label by the signs of their projections on random directions and sorts them by all
+       of these signs, first sign foremost. Each class is compared with the ``window`` classes after it, and with
+       all that share its first signs, of which there are enough that an even label has at most a window for each prefix. A
+       pair at the threshold agrees in each sign with a known probability, so the number of passes follows from
+       the number of signs and holds for any data. Where rows crowd, runs of one prefix are longer than the window; a label takes
+       more signs and passes if that costs less by its run lengths, and long runs are cut into blocks.
+       Verified pairs of all passes make the components.
     3. Links are counted within components. Vectors within half the threshold's angle of a centre are all linked with
        each other; sums for whole centres are taken where the angles leave no doubt, and single pairs compared elsewhere.
 
@@ -49,8 +54,8 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, block: int
         rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    plan = tables.keep(_plan(classes, similarity, block))
-    links = tables.keep(_links(tables, classes, plan, similarity, block))
+    plan = tables.keep(_plan(classes, similarity, block, window))
+    links = tables.keep(_links(tables, classes, plan, similarity, block, window))
     components = tables.keep(connected(tables, links))
     grouped = tables.keep(components.join(classes.select("node", "embedding", "weight", "vec_id"), "node"))
     counts = _counts(tables, grouped, similarity)
@@ -81,8 +86,8 @@ def _signs(x: np.ndarray, seed: list[int], bits: int) -> np.ndarray:
     return ((x @ axes) >= 0) @ (1 << np.arange(bits, dtype=np.int64))[::-1]
 
 
-def _plan(classes: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(label, bits, turns): for each label the number of signs that costs least, measured on all of its rows."""
+def _plan(classes: DataFrame, similarity: float, block: int, window: int) -> DataFrame:
+    """(label, bits, turns): for each label the number of signs, enough for its size, that costs least, measured on all of its rows."""
     label = classes.schema["label"].dataType.simpleString()
 
     def keyed(batches):
@@ -98,14 +103,15 @@ def _plan(classes: DataFrame, similarity: float, block: int) -> DataFrame:
     size, copies = F.col("size").cast("double"), F.ceil(F.col("size") / block)
     return (
         signs.select("label", F.explode(prefixes).alias("p")).groupBy("label", "p.bits", "p.prefix", "p.turns").agg(F.count("*").alias("size"))
-        .groupBy("label", "bits", "turns").agg(F.sum(size * (size / 2 + ROW_COST * copies)).alias("cost"))
+        .groupBy("label", "bits", "turns").agg(F.sum(size * (size / 2 + window + ROW_COST * copies)).alias("cost"), F.sum("size").alias("rows"))
+        .where((F.col("rows") <= window * F.pow(F.lit(2.0), F.col("bits"))) | (F.col("bits") == BITS[-1]))
         .groupBy("label").agg(F.min_by(F.struct("bits", "turns"), F.struct(F.col("cost") * F.col("turns"), "bits")).alias("best"))
         .select("label", "best.bits", "best.turns")
     )
 
 
-def _links(tables: Tables, classes: DataFrame, plan: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(a, b): for each bucket of each pass, links enough to connect what the verified pairs of the bucket connect."""
+def _links(tables: Tables, classes: DataFrame, plan: DataFrame, similarity: float, block: int, window: int = WINDOW) -> DataFrame:
+    """(a, b): for each stretch and crowded run of each pass, links enough to connect what its verified pairs connect."""
     kind = classes.schema["embedding"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
 
@@ -115,24 +121,63 @@ def _links(tables: Tables, classes: DataFrame, plan: DataFrame, similarity: floa
             bits, turns = b.column("bits").to_numpy(), b.column("turns").to_numpy()
             for turn in range(turns.max(initial=0)):
                 at = np.flatnonzero(turns > turn)
-                key = _signs(x[at], [SEED, 1 + turn], BITS[-1]) >> (BITS[-1] - bits[at])
+                key = _signs(x[at], [SEED, 1 + turn], BITS[-1])
                 some = b.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("label"), pa.array(np.full(len(at), turn, np.int32)), pa.array(key), some.column("node"), some.column("embedding")],
-                    ["label", "pass", "key", "node", "embedding"],
+                    [
+                        some.column("label"), pa.array(np.full(len(at), turn, np.int32)), pa.array(key),
+                        pa.array(key >> (BITS[-1] - bits[at])), some.column("node"), some.column("embedding"),
+                    ],
+                    ["label", "pass", "key", "prefix", "node", "embedding"],
                 )
 
-    bucket = ["label", "pass", "key"]
-    keys = tables.keep(
+    keys = (
         classes.select("label", "node", "embedding").join(plan, "label")
-        .mapInArrow(keyed, f"label {label}, pass int, key long, node long, embedding {kind}")
+        .mapInArrow(keyed, f"label {label}, pass int, key long, prefix long, node long, embedding {kind}")
     )
-    sizes = tables.keep(keys.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1"))
-    # A crowded bucket is cut into blocks by hash, and each block is compared with itself and each other.
+    hashed = tables.keep(keys)
+    order = dense_ordinals(hashed, ["label", "pass", "key", "node"], "at")
+    tables.drop(hashed)
+    # A stretch of the order, followed by the window of its last row.
+    home, columns = F.floor(F.col("at") / STRETCH), ["at", "label", "pass", "node", "embedding"]
+    stretches = order.select(*columns, home.alias("stretch"), F.lit(True).alias("own"))
+    for before in range(1, -(-window // STRETCH) + 1):
+        after = order.where((F.col("at") % STRETCH < window - (before - 1) * STRETCH) & (home >= before))
+        stretches = stretches.unionAll(after.select(*columns, (home - before).alias("stretch"), F.lit(False).alias("own")))
+
+    def verified(vectors, i, j, near):
+        """Which of the pairs are linked; those close to the threshold are decided by the plain cosine."""
+        true = near >= similarity
+        narrow = np.abs(near - similarity) <= 1e-9
+        true[narrow] = cosines(vectors[i[narrow]], vectors[j[narrow]]) >= similarity
+        return i[true], j[true]
+
+    def neighbours(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at", ignore_index=True)
+        place, turn, node = (group[k].to_numpy() for k in ("at", "pass", "node"))
+        label, last = pd.factorize(group["label"])[0], int(group["own"].sum())
+        plain = np.array(group["embedding"].tolist(), np.float64)
+        vectors, a, b = unit(plain), [], []
+        for start in range(0, last, SLICE):
+            end = min(start + SLICE, last)
+            near = vectors[start:end] @ vectors[start + 1 : end + window].T
+            i, j = np.nonzero(near >= similarity - 1e-9)
+            near, i, j = near[i, j], start + i, start + 1 + j
+            true = (place[j] > place[i]) & (place[j] <= place[i] + window) & (label[i] == label[j]) & (turn[i] == turn[j])
+            i, j = verified(plain, i[true], j[true], near[true])
+            some = _forest(np.arange(len(node)), i, j)
+            a.append(some["a"].to_numpy())
+            b.append(some["b"].to_numpy())
+        a, b = (np.concatenate(z) if z else np.zeros(0, int) for z in (a, b))
+        return _forest(node, a, b)
+
+    bucket = ["label", "pass", "prefix"]
+    sizes = tables.keep(order.groupBy(*bucket).agg(F.count("*").alias("size")).where(F.col("size") > window + 1))
+    # A run longer than a window is cut into blocks by hash, and each block is compared with itself and each other.
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     both = (
-        keys.join(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size"), bucket)
+        order.join(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size"), bucket)
         .withColumn("own", own).select(*bucket, "node", "embedding", "own", other)
         .select(*bucket, "node", "embedding", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     )
@@ -140,7 +185,8 @@ def _links(tables: Tables, classes: DataFrame, plan: DataFrame, similarity: floa
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         own, x, y = (group[k].to_numpy() for k in ("own", "x", "y"))
         node = group["node"].to_numpy()
-        vectors = unit(np.array(group["embedding"].tolist(), np.float64))
+        plain = np.array(group["embedding"].tolist(), np.float64)
+        vectors = unit(plain)
         left, right = np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0])
         a, b = [], []
         for at in range(0, len(left), SLICE):
@@ -149,18 +195,17 @@ def _links(tables: Tables, classes: DataFrame, plan: DataFrame, similarity: floa
             to = right[at + 1 :] if x[0] == y[0] else right
             near = vectors[rows] @ vectors[to].T
             i, j = np.nonzero(near >= similarity - 1e-9)
-            narrow = near[i, j] < similarity + 1e-9
-            i, j = rows[i], to[j]
+            near, i, j = near[i, j], rows[i], to[j]
             true = (i < j) if x[0] == y[0] else np.ones(len(i), bool)
-            narrow &= true
-            true[narrow] = cosines(vectors[i[narrow]], vectors[j[narrow]]) >= similarity
-            some = _forest(np.arange(len(node)), i[true], j[true])
+            i, j = verified(plain, i[true], j[true], near[true])
+            some = _forest(np.arange(len(node)), i, j)
             a.append(some["a"].to_numpy())
             b.append(some["b"].to_numpy())
         a, b = (np.concatenate(z) if z else np.zeros(0, int) for z in (a, b))
         return _forest(node, a, b)
 
-    return both.groupBy(*bucket, "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    crowded = both.groupBy(*bucket, "x", "y").applyInPandas(compare, "a long, b long")
+    return stretches.groupBy("stretch").applyInPandas(neighbours, "a long, b long").unionAll(crowded).distinct()
 
 
 def _forest(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import plain
 
 from inkfield.llm.common import Tables
+from inkfield.llm import near_vectors as near_vectors_module
 from inkfield.llm.near_vectors import _links, near_vectors, passes
 from inkfield.llm.tree_search import fit_tree, nearest
 
@@ -84,6 +85,19 @@ def test_passes_of_several_signs_keep_their_promise(spark):
     assert sum(found[a] == found[b] for a, b in linked) >= 0.97 * len(linked)
 
 
+def test_windows_reach_over_the_ends_of_stretches(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors_module, "STRETCH", 50)
+    x, labels = clusters()
+    linked = all_links(x.astype(float)) & (labels[:, None] == labels[None, :])
+    df = spark.createDataFrame(rows_of(x, labels), SCHEMA)
+    for window in (400, 20):  # as wide as a label, and shorter than a stretch with several passes
+        got = {r["vec_id"]: r for r in near_vectors(df, window=window).collect()}
+        pairs = [(int(a), int(b)) for a, b in zip(*np.nonzero(linked))]
+        found = sum(got[a]["component_id"] == got[b]["component_id"] for a, b in pairs)
+        assert found == len(pairs) if window == 400 else found >= 0.99 * len(pairs)
+        assert all(got[i]["n_links"] <= linked[i].sum() for i in got)
+
+
 def exact(rows, queries, k=5):
     out = {}
     for q, v in queries:
