@@ -7,13 +7,14 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkfield import config
+from inkfield.functions.batches import PIECE_BYTES, pieces
+from inkfield.session import materialize, spread
 
 # Pages of a PDF file as texts: (bytes, page limit or None) -> list.
 PageExtractor = Callable[[bytes, int | None], list]
@@ -50,22 +51,79 @@ def _hidden(spark: SparkSession, folder: str) -> DataFrame:
 def _bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     from pyarrow import fs
 
+    systems: dict[str, tuple] = {}  # of folders
     for a in batches:
-        out = []
+        out, size = [], 0
         for path in a.to_pylist():
-            system, place = fs.FileSystem.from_uri(path)
-            with system.open_input_stream(place) as f:
+            folder, _, name = path.rpartition("/")
+            if folder not in systems:
+                systems = {folder: fs.FileSystem.from_uri(folder)}
+            system, place = systems[folder]
+            with system.open_input_stream(f"{place}/{name}") as f:
                 out.append(f.read())
-        yield pa.array(out, pa.binary())
+            size += len(out[-1])
+            if size > PIECE_BYTES:
+                yield pa.array(out, pa.binary())
+                out, size = [], 0
+        if out:
+            yield pa.array(out, pa.binary())
+
+
+def _arrow_folder(spark: SparkSession, folder: str) -> str | None:
+    """The full address of a folder that Arrow's file systems find in the same place, else None."""
+    from pyarrow import fs
+
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place) or not system.getFileStatus(place).isDirectory():
+        return None
+    full = system.getFileStatus(place).getPath()
+    try:
+        found = fs.FileSystem.from_uri(full.toString())[1]
+    except (pa.ArrowException, OSError, ImportError):
+        return None
+    return full.toString().rstrip("/") if found == full.toUri().getPath() else None
+
+
+def _listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, modificationTime, length) of the files of a folder that Arrow can read, written by the task that lists it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            system, place = fs.FileSystem.from_uri(folder)
+            found = system.get_file_info(fs.FileSelector(place))
+            for at in range(0, len(found), 10_000):
+                files = [x for x in found[at : at + 10_000] if x.type == fs.FileType.File]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([f"{folder}/{x.base_name}" for x in files], pa.string()),
+                        pa.array([x.mtime_ns // 1_000_000 for x in files], pa.int64()),
+                        pa.array([x.size for x in files], pa.int64()),
+                    ],
+                    names=["path", "millis", "length"],
+                )
+
+    listed = spark.range(1, numPartitions=1).mapInArrow(run, "path string, millis bigint, length bigint")
+    return materialize(listed.select("path", F.timestamp_millis("millis").alias("modificationTime"), "length"), "files")
 
 
 def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = config.DOCUMENT_SUFFIXES) -> DataFrame:
     """Supported files directly in a folder, whatever their names: path, modificationTime, length, content, type.
 
-    Columns that are not used are not read: a state needs no bytes. A missing folder is an error at once.
+    Columns that are not used are not read: a state needs no bytes. A missing folder is an error at once. A folder that
+    Arrow's file systems can read is listed by one of them, once, and a file's bytes are read by path where they are used,
+    after filters and joins. Other folders are left to Spark's reader.
     """
-    seen = spark.read.format("binaryFile").load(folder)
-    return supported(seen.unionByName(_hidden(spark, folder)), suffixes)
+    full = _arrow_folder(spark, folder)
+    if full is None:
+        seen = spark.read.format("binaryFile").load(folder)
+        return supported(seen.unionByName(_hidden(spark, folder)), suffixes)
+    listed = spread(supported(_listing(spark, full), suffixes))
+    return listed.select("path", "modificationTime", "length", _bytes_of("path").alias("content"), "type")
 
 
 def _decode(raw: bytes) -> str:
@@ -79,8 +137,9 @@ def _decode(raw: bytes) -> str:
 
 @F.arrow_udf(T.StringType())
 def _decode_other(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for a in batches:
-        yield pa.array([None if raw is None else _decode(raw) for raw in a.to_pylist()], pa.string())
+    for b in batches:
+        for a in pieces(b):
+            yield pa.array([None if raw is None else _decode(raw) for raw in a.to_pylist()], pa.string())
 
 
 def decode_text(content: str = "content") -> Column:
@@ -120,17 +179,18 @@ def _per_file(df: DataFrame, extract: Callable[[bytes], str]) -> DataFrame:
     """Adds ``text``; a file that fails stops the load and names itself."""
     schema = T.StructType([f for f in df.schema.fields if f.name != "content"] + [T.StructField("text", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (p for batch in batches for p in pieces(batch)):
             texts = []
-            for path, raw in zip(pdf["path"], pdf["content"]):
+            for path, raw in zip(b.column("path").to_pylist(), b.column("content")):
                 try:
-                    texts.append(extract(bytes(raw)))
+                    texts.append(extract(bytes(raw.as_py())))
                 except Exception as e:
                     raise RuntimeError(f"Failed to load {path}: {e}") from e
-            yield pdf.drop(columns=["content"]).assign(text=texts)[schema.names]
+            columns = [b.column(c) for c in schema.names[:-1]] + [pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def docx_text(files: DataFrame) -> DataFrame:

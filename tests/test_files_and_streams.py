@@ -372,3 +372,27 @@ def test_stream_and_table_agree(spark, sf):
     a = {tuple(r) for r in QUERIES["token_segments"](spark, sf).collect()}
     b = {tuple(r) for r in QUERIES["stream_segments"](spark, sf).collect()}
     assert a == b and a
+
+
+def test_hidden_names_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    names = ["_a.txt", ".b.txt", "c.txt", "d e%20.txt"]
+    for name in names:
+        (tmp_path / name).write_text(name)
+
+    def refused(*_):
+        raise AssertionError("named one by one on the driver")
+
+    monkeypatch.setattr(D, "_hidden", refused)
+    rows = D.list_files(spark, str(tmp_path)).withColumn("ms", F.unix_millis("modificationTime")).collect()
+    assert sorted((r["path"].rpartition("/")[2], bytes(r["content"]).decode(), r["length"]) for r in rows) == sorted(
+        (n, n, len(n)) for n in names
+    )
+    assert {r["ms"] for r in rows} == {(tmp_path / n).stat().st_mtime_ns // 1_000_000 for n in names}
+
+
+def test_only_chosen_files_are_read(spark, tmp_path):
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text(name)
+    files = D.list_files(spark, str(tmp_path))
+    (tmp_path / "b.txt").unlink()
+    assert [r["text"] for r in D.load_documents(files.where("path like '%a.txt'")).collect()] == ["a.txt"]
