@@ -190,3 +190,31 @@ def test_review_rounds(spark):
     df = spark.createDataFrame(rows, "id int, question string, critic string, critic_iters int")
     got = {r["id"]: (r["verdict"], r["retrieval_query"], r["next_iters"]) for r in R.reviewed(df).collect()}
     assert got == {1: ("REVISE", "better", 1), 2: ("REVISE", "q2", 2), 3: ("PASS", None, 2), 4: ("PASS", None, 0)}
+
+
+def test_pairs_of_blocks_come_a_bounded_number_at_a_time():
+    import numpy as np
+
+    from inkfield.operators import blocks as B
+
+    q = B.prepare(np.ones((3000, 4), np.float32), "cosine", "query")
+    c = B.prepare(np.ones((2000, 4), np.float32), "cosine", "corpus")
+    parts = [(qi, ci, key) for qi, ci, key in B.block_within(q, c, 1.0, "cosine", -0.9)]
+    assert max(len(qi) for qi, _, _ in parts) <= 1_000_000
+    pairs = np.concatenate([qi * 2000 + ci for qi, ci, _ in parts])
+    assert np.array_equal(np.sort(pairs), np.arange(6_000_000))
+
+
+def test_visits_of_crowded_cells_come_a_bounded_number_at_a_time(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from inkfield.operators.cells import VISITS_AT_ONCE, CellIndex
+
+    spread = {0: (1.0, 3), 1: (1.0, 40)}
+    index = CellIndex(None, np.eye(2, dtype=np.float32), "l2", None, spread)
+    rows = spark.range(0, 2000, 1, 1).select("id", F.array(F.lit(0.5), F.lit(0.5)).cast("array<float>").alias("v"))
+    visits = index._visits(rows, None, None, 5.0)
+    assert visits.count() == 2000 * 43 > 4 * VISITS_AT_ONCE
+    found = visits.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("cell", "part").alias("d")).distinct().collect()
+    assert [(r["n"], r["d"]) for r in found] == [(43, 43)]
