@@ -7,9 +7,10 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from inkfield.functions.batches import pieces
 from inkfield.operators.conversation import conversation_prompts
 from inkfield.plans import index as P
 from inkfield.plans.registry import query, table, wide
@@ -43,14 +44,14 @@ def _with_content(df):
     """Adds the file's bytes: a DOCX archive for that type, UTF-8 text for the others."""
     schema = df.drop("text").schema.add("content", "binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [
-                _docx(t) if p.endswith(".docx") else t.encode() for p, t in zip(pdf["path"], pdf["text"])
-            ]
-            yield pdf.drop(columns=["text"]).assign(content=made)[schema.names]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (p for batch in batches for p in pieces(batch)):
+            texts = zip(b.column("path").to_pylist(), b.column("text").to_pylist())
+            made = [_docx(t) if p.endswith(".docx") else t.encode() for p, t in texts]
+            columns = [b.column(c) for c in schema.names[:-1]] + [pa.array(made, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def document_files(spark, sf_dir, suffix: str | None = None):

@@ -146,3 +146,16 @@ def test_truncated_chunk_by_nfkc(spark):
     docs = spark.createDataFrame([("a", "ﷺ" * 1000)], "doc_id string, text string")
     assert C.split_documents(docs).select(F.length("text")).first()[0] == 1800
     assert C.chunk_counts(docs).first()["truncated"] == 1
+
+
+def test_batches_are_worked_on_in_pieces():
+    import pyarrow as pa
+
+    from inkfield.functions.batches import PIECE_BYTES, pieces
+    from inkfield.functions.text import nfkc
+
+    a = pa.array(["é" * 4000] * 5000 + [None])
+    parts = list(nfkc.func(iter([a])))
+    assert len(parts) > 5 and max(p.nbytes for p in parts) < 2 * PIECE_BYTES
+    assert pa.concat_arrays(parts).equals(a)
+    assert list(pieces(a[:0])) == [] and [len(p) for p in pieces(pa.array([None, None]))] == [2]
