@@ -154,3 +154,19 @@ def test_language_model_scores(spark, sf, odd_documents, monkeypatch):
     assert Counter((key(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     assert language_model.scores(docs.limit(0)).count() == 0
+
+
+def test_attention_learns_from_rows_beyond_the_sample(spark):
+    ids_of = language_model.DocumentIds(language_model.TOKENIZER, language_model.END)
+    counts = np.zeros(language_model.IDS)
+    text = "red fish blue fish one fish two fish " * 20
+    ids, sizes = ids_of([text])
+    np.add.at(counts, ids, 1)
+    vocabulary = attention.Vocabulary.of(counts)
+    start = attention.fit(*ids_of(["blue two one"]), vocabulary, language_model.END, steps=1)
+    training = spark.createDataFrame([(text,)] * 400 + [(None,), ("",)], "text string").repartition(3)
+    after = language_model.learned(training, start, vocabulary)
+    better, worse = (attention.log10_probability(w, vocabulary, ids, sizes, language_model.END)[0] for w in (after, start))
+    assert better > worse + 10
+    again = language_model.learned(training.limit(0), start, vocabulary)
+    assert all(np.array_equal(x, y) for x, y in zip(again.all(), start.all()))
