@@ -20,6 +20,7 @@ from inkfield.session import materialize
 
 LEVELS = 4  # levels of objects opened in one pass; deeper ones are carried on with
 MAX_FIELDS = 10_000  # of a schema object
+PATHS_AT_ONCE = 100_000  # field paths that a task sorts and joins, about; they compress so well that bytes shuffled say little
 
 
 @dataclass(frozen=True)
@@ -106,11 +107,15 @@ def merged_fields(records: DataFrame, value: str = "v", strict_dates: bool = Fal
     fields = field_kinds(records, value).select("path", kind.alias("kind"), "bits")
     nested = (F.col("kind") == "object") & (F.col("bits").bitwiseAND(F.lit(V.DICT_SEEN)) != 0)
     fields = materialize(fields.withColumn("nested", nested).select("path", "kind", "nested", "bits"), "fields")
+    parts = max(1, -(-fields.count() // PATHS_AT_ONCE))
+    by = lambda df, key: df.repartition(parts, key) if parts > 1 else df
     prefixes = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", 1, n))
     above = fields.where(F.size("path") > 1).select("path", F.explode(prefixes).alias("above"))
     plain = fields.where(~F.col("nested")).select(F.col("path").alias("above"))
-    hidden = above.join(plain, "above").select("path").distinct()
-    return fields.join(hidden, "path", "left_anti")
+    # An object may have most of the paths for members: what is above them is told apart before it is joined.
+    closed = materialize(by(above.select("above").distinct(), "above").join(by(plain, "above"), "above", "left_semi"), "closed")
+    hidden = above.join(closed, "above").select("path").distinct()
+    return by(fields, "path").join(by(hidden, "path"), "path", "left_anti")
 
 
 def infer_fields(records: DataFrame, value: str = "v", strict_dates: bool = False, most: int = MAX_FIELDS) -> list[Field]:

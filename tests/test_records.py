@@ -292,3 +292,19 @@ def test_format_bytes(spark):
 
     df = spark.createDataFrame([(n,) for n in sizes], "n bigint").select("n", format_bytes("n").alias("s"))
     assert {r["n"]: r["s"] for r in df.collect()} == {n: plain(n) for n in sizes}
+
+
+def test_fields_below_one_object_with_many_members(spark, monkeypatch):
+    """What lies above many paths is told apart before it is joined, and paths are dealt out by their number."""
+    rows = [{"by": {f"k{i}": {"n": i}}, "d": {"a": i} if i % 2 else "text"} for i in range(400)]
+    asked = []
+    plain = lambda: {tuple(r["path"]): (r["kind"], r["nested"]) for r in S.merged_fields(texts(spark, rows), "j").collect()}
+    want = plain()
+    assert len(want) == 802 and ("d", "a") not in want and want[("by", "k7", "n")] == ("long", False)
+    monkeypatch.setattr(S, "PATHS_AT_ONCE", 50)
+    write = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: asked.append((name, write(df, name))) or asked[-1][1])
+    assert plain() == want
+    closed = [df for name, df in asked if name == "closed"]
+    assert [tuple(r["above"]) for r in closed[0].collect()] == [("d",)]
+    assert len(asked) and S.merged_fields(texts(spark, rows), "j").rdd.getNumPartitions() >= 10
