@@ -294,6 +294,24 @@ def test_segments_of_long_streams(spark, block, chunk_chars, soft_chars):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_tokens_travel_in_packs(spark):
+    """Tokens that follow each other are one row of what is shuffled; places out of order and repeated ones give the same pieces."""
+    from inkfield.operators.segments import _packed
+
+    text = "".join(f"word{i % 7}{'. ' if i % 9 == 0 else ' '}é" for i in range(3000))
+    tokens = tokens_of(spark.createDataFrame([(s, text) for s in range(4)], "id int, text string").coalesce(1), "id")
+    assert _packed(tokens, 1000).count() < tokens.count() / 200
+    mixed = tokens.repartition(7, "token").orderBy(F.xxhash64("token", "seq"))
+    want = {s: plain_pieces([r["token"] for r in tokens.where(F.col("stream_id") == s).orderBy("seq").collect()], 64, 24) for s in range(4)}
+    got = segment(mixed, chunk_chars=64, soft_chars=24).collect()
+    assert sorted(map(tuple, got)) == sorted((s, *p) for s, pieces in want.items() for p in pieces)
+    twice = [(1, i, t) for i, t in enumerate(["a. ", "b", "c! ", "d"]) for _ in (0, 1)] + [(None, 0, "x. "), (1, None, "n"), (2, 5, None), (2, 6, "")]
+    got = segment(spark.createDataFrame(twice, "stream_id int, seq bigint, token string").repartition(5)).collect()
+    assert {s: "".join(r["piece"] for r in sorted(got, key=lambda r: r["start"]) if r["stream_id"] == s) for s in (1, None, 2)} == {
+        1: "na. a. bbc! c! dd", None: "x. ", 2: "",
+    }
+
+
 def test_tokens_give_the_text_back(spark):
     texts = ["  a b\n\nc  ", "x", " ", "é. ü!\t"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
