@@ -218,3 +218,16 @@ def test_visits_of_crowded_cells_come_a_bounded_number_at_a_time(spark):
     assert visits.count() == 2000 * 43 > 4 * VISITS_AT_ONCE
     found = visits.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("cell", "part").alias("d")).select("n", "d").distinct().collect()
     assert [(r["n"], r["d"]) for r in found] == [(43, 43)]
+
+
+def test_lists_are_trained_on_a_share(spark, monkeypatch):
+    """k-means sees as many rows for each list however many there are; every row is in a list."""
+    x = np.random.default_rng(2).standard_normal((3000, 8))
+    seen = []
+    fit = ivf.KMeans.fit
+    monkeypatch.setattr(ivf.KMeans, "fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    index = ivf.build(frame(spark, x), lists=4, pq_m=None)
+    assert 4 <= seen[0] <= 2 * 4 * ivf.TRAIN_ROWS_PER_CENTRE
+    assert index.blocks.select(F.sum(F.size("ids"))).first()[0] == 3000
+    same = frame(spark, x).withColumn("id", F.lit(0).cast("bigint"))  # ids that repeat are all of the share or none
+    assert ivf.build(same, lists=4, pq_m=None).blocks.select(F.sum(F.size("ids"))).first()[0] == 3000
