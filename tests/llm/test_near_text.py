@@ -87,3 +87,21 @@ def test_empty_table(spark):
 
 def test_more_rows_need_more_passes():
     assert passes(100, 0.93) <= passes(10_000, 0.93) <= passes(10**9, 0.93)
+
+
+def test_only_sets_of_compared_classes_are_moved(spark):
+    """Of the side of the leaders, too, only the sets of those that lead are joined."""
+    import numpy as np
+
+    from inkfield.llm import near_text
+    from inkfield.llm.common import Tables
+
+    of = lambda *x: np.array(x, np.uint64).tobytes()
+    sets = spark.createDataFrame([(b"a", of(1, 2, 3)), (b"b", of(1, 2, 4)), (b"c", of(5))], "node binary, shingles binary")
+    pairs = spark.createDataFrame([(b"a", b"b")], "a binary, b binary")
+    tables, plans = Tables(spark, "moved"), []
+    keep = tables.keep
+    tables.keep = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df)
+    got = near_text._compared(tables, pairs, sets).collect()
+    assert [(bytes(r["a"]), bytes(r["b"]), r["common"], r["whole"]) for r in got] == [(b"a", b"b", 2, 4)]
+    assert "LeftSemi" in plans[-1]
