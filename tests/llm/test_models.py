@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -55,6 +56,20 @@ def test_toxicity_on_held_out_texts(spark):
     assert [got[i]["predicted"] for i in (1000, 1001, 1002, 1003)] == [0, 0, 1, 1]
 
 
+def test_a_fit_holds_each_word_once(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9))) for _ in range(2000)]
+    texts = [" ".join(rnd.choices(words, k=400) + [BAD[i % 3]] * (i % 2)) for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    tracemalloc.start()
+    model = toxicity.fit(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(BAD) <= set(model.landmarks)
+    assert most < 4 * sum(map(len, texts))  # each text's words as texts of their own take 11 times as much
+
+
 def test_toxicity_odd_input(spark, odd_documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity.toxicity(odd_documents, none).collect()} == {0}
