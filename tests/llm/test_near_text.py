@@ -105,3 +105,31 @@ def test_only_sets_of_compared_classes_are_moved(spark):
     got = near_text._compared(tables, pairs, sets).collect()
     assert [(bytes(r["a"]), bytes(r["b"]), r["common"], r["whole"]) for r in got] == [(b"a", b"b", 2, 4)]
     assert "LeftSemi" in plans[-1]
+
+
+def test_one_of_the_buckets_with_the_same_classes_is_kept(spark):
+    """Every pair that shares a bucket shares one that is kept, and its first one."""
+    from inkfield.llm import near_text
+    from inkfield.llm.common import Tables
+
+    rnd = random.Random(9)
+    base = [[f"w{rnd.randint(0, 10**6)}" for _ in range(200)] for _ in range(20)]
+    texts = [" ".join([*b[: 100 + 7 * k], f"x{k}", *b[100 + 7 * k :]]) for b in base for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    settings = Settings()
+    tables = Tables(spark, "buckets")
+    signed = near_text._signed(docs, settings).withColumnsRenamed({"n_shingles": "n"})
+    groups = {bytes(r["node"]): r["groups"] for r in signed.collect()}
+    got = defaultdict(set)
+    for r in near_text._shared_keys(tables, signed, settings).collect():
+        got[r["key"], r["place"]].add(bytes(r["node"]))
+    members = [frozenset(m) for m in got.values()]
+    assert len(members) == len(set(members)) and min(map(len, members)) > 1
+    g, pairs = settings.groups, 0
+    for a, b in itertools.combinations(groups, 2):
+        same = [x == y for x, y in zip(groups[a], groups[b])]
+        if any(same[:g]) and any(same[g:]):
+            pairs += 1
+            first = same.index(True) * g + same.index(True, g) - g
+            assert any(place == first and {a, b} <= m for (_, place), m in got.items())
+    assert pairs >= 60
