@@ -133,3 +133,41 @@ def test_one_of_the_buckets_with_the_same_classes_is_kept(spark):
             first = same.index(True) * g + same.index(True, g) - g
             assert any(place == first and {a, b} <= m for (_, place), m in got.items())
     assert pairs >= 60
+
+
+def test_counts_of_shingles_bound_what_sets_share(spark):
+    """Pairs whose counts show that they are no links are not compared; no link is lost, by long texts neither."""
+    from inkfield.llm import near_text
+    from inkfield.llm.common import Tables
+
+    rnd = np.random.default_rng(3)
+    draw = lambda n: np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+    sets = {}
+    for k, n in enumerate([40, 400, 120_000]):
+        base = draw(n)
+        sets |= {f"{k}a": base, f"{k}b": np.union1d(base[n // 10 :], draw(n // 20)), f"{k}c": draw(n)}
+    rows = [(k.encode(), s.tobytes(), near_text.counted(s)) for k, s in sets.items()]
+    table = spark.createDataFrame(rows, "node binary, shingles binary, counts binary")
+    pairs = [(f"{k}a".encode(), f"{k}{x}".encode()) for k in range(3) for x in "bc"]
+    got = near_text._possible(Tables(spark, "counts"), spark.createDataFrame(pairs, "a binary, b binary"), table, 80).collect()
+    got = {(bytes(r["a"]).decode(), bytes(r["b"]).decode()) for r in got}
+    assert {(f"{k}a", f"{k}b") for k in range(3)} <= got
+    assert ("0a", "0c") not in got and ("1a", "1c") not in got
+
+
+def test_connected_groups_make_no_keys(spark):
+    """Near copies that the rounds connect are not combined to table keys, and rows with equal text are read once."""
+    from inkfield.llm import near_text
+
+    rnd = random.Random(2)
+    base = [f"w{rnd.randint(0, 10**6)}" for _ in range(300)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k:]]) for k in range(10, 290, 7)]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    made, shared_keys = [], near_text._shared_keys
+    near_text._shared_keys = lambda *x: made.append(shared_keys(*x).count()) or shared_keys(*x)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+    finally:
+        near_text._shared_keys = shared_keys
+    assert got == dict.fromkeys(range(len(texts)), 0)
+    assert made == [0]
