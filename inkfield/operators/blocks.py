@@ -137,6 +137,82 @@ def block_topk(q: np.ndarray, c: np.ndarray, c_ids: pa.Array, k: int, metric: st
     return tuple(np.concatenate(p) for p in zip(*out))
 
 
+class Nearest:
+    """The k best corpus rows of some queries, of all blocks that were shown.
+
+    ``kth`` has for each query a key within which k rows are known to lie, inf where there are none. Distances in
+    single precision, with room for their rounding, tell what is compared exactly.
+    """
+
+    def __init__(self, q: np.ndarray, kth: np.ndarray, k: int, metric: str):
+        self.q, self.kth, self.k, self.metric = prepare(q, metric, "query"), kth.astype(np.float64), k, metric
+        self.size = np.einsum("ij,ij->i", self.q, self.q)
+        self.factors = np.c_[-2 * self.q, np.ones(len(q))].astype(np.float32)
+        self.found = None
+
+    def see(self, rows: np.ndarray, c: np.ndarray, c_ids: pa.Array) -> None:
+        """Shows the corpus rows ``c`` to the queries ``rows``."""
+        c = prepare(c, self.metric, "corpus")
+        c_size = np.einsum("ij,ij->i", c, c)
+        scale = float(self.size[rows].max() + c_size.max())
+        known = np.isfinite(self.kth[rows]) & bool(scale < 1e30)
+        parts = [self._all(rows[~known], c, c_ids)] if not known.all() else []
+        rows = rows[known]
+        if len(rows):
+            factors = np.c_[c, c_size].astype(np.float32).T
+            most = 2 + 2 * self.kth[rows] if self.metric == "cosine" else self.kth[rows]
+            most = most - self.size[rows] + 1e-8 + (c.shape[1] + 8) * 2.0**-22 * scale
+            step = max(1, _CELLS_PER_PASS // len(c))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                near = self.factors[part] @ factors <= most[at : at + step, None].astype(np.float32)
+                near = np.flatnonzero(near.ravel())
+                if len(near) > (8 * self.k + 32) * len(part):
+                    parts.append(self._all(part, c, c_ids))
+                    continue
+                qi, ci = np.divmod(near, len(c))
+                qi = part[qi]
+                key = keys_at(self.q, c, qi, ci, self.metric)
+                ok = key <= self.kth[qi]
+                parts.append((qi[ok], ids_of(c_ids.take(pa.array(ci[ok]))), key[ok]))
+        self._add(tuple(np.concatenate(p) for p in zip(*parts)))
+
+    def _all(self, rows: np.ndarray, c: np.ndarray, c_ids: pa.Array) -> tuple:
+        qi, ids, key = block_topk(self.q[rows], c, c_ids, self.k, self.metric)
+        return rows[qi], ids, key
+
+    def _add(self, new: tuple) -> None:
+        if not len(new[0]):
+            return
+        if self.found is None:
+            rest, mixed = None, new
+        else:
+            touched = np.zeros(len(self.q), bool)
+            touched[new[0]] = True
+            old = touched[self.found[0]]
+            rest = tuple(x[~old] for x in self.found)
+            mixed = tuple(np.concatenate([x[old], y]) for x, y in zip(self.found, new))
+        pick = best(*mixed, self.k)
+        mixed = tuple(x[pick] for x in mixed)
+        worst = np.full(len(self.q), -np.inf)
+        np.maximum.at(worst, mixed[0], mixed[2])
+        full = np.bincount(mixed[0], minlength=len(self.q)) >= self.k
+        self.kth[full] = np.minimum(self.kth[full], worst[full])
+        self.found = mixed if rest is None else tuple(np.concatenate(p) for p in zip(rest, mixed))
+
+
+def block_cosines(q: np.ndarray, c: np.ndarray, threshold: float) -> Iterator[tuple]:
+    """(query row, corpus row, cosine) of all pairs of unit vectors with at least ``threshold``, some query rows at a time."""
+    step = max(1, _CELLS_PER_PASS // max(1, len(c)))
+    for at in range(0, len(q), step):
+        cosine = (q[at : at + step] @ c.T).ravel()
+        near = np.flatnonzero(cosine >= threshold - 2 * 10.0**-KEY_DIGITS)
+        cosine = np.round(cosine[near], KEY_DIGITS) + 0.0
+        ok = cosine >= threshold
+        qi, ci = np.divmod(near[ok], len(c))
+        yield qi + at, ci, cosine[ok]
+
+
 def block_within(q: np.ndarray, c: np.ndarray, radius: float, metric: str, limit: float) -> Iterator[tuple]:
     """(query row, corpus row, key) of all pairs with key at most ``limit``, some query rows at a time; ``radius`` prunes."""
     step = max(1, _CELLS_PER_PASS // max(1, len(c)))
@@ -149,11 +225,12 @@ def block_within(q: np.ndarray, c: np.ndarray, radius: float, metric: str, limit
 
 
 def pack_blocks(
-    df: DataFrame, keys: list[str], id_: str, vector: str, dim: int, extra: str | None = None, dtype=np.float32
+    df: DataFrame, keys: list[str], id_: str, vector: str, dim: int, extra: str | None = None, dtype=np.float32,
+    carry: str | None = None, partitions: int | None = None,
 ) -> DataFrame:
-    """Rows laid out by ``keys`` into blocks of up to 4096 vectors: (*keys, n, ids, data[, radius]).
+    """Rows laid out by ``keys`` into blocks of up to 4096 vectors: (*keys, n, ids, data[, radius][, carried]).
 
-    The layout is by range over the keys and the id, so a key that holds a large share of the rows is cut
+    ``carried`` has the values of the column ``carry`` beside the ids. The layout is by range over the keys and the id, so a key that holds a large share of the rows is cut
     over many partitions, and every partition is packed in one streaming pass.
     """
     id_type = df.schema[id_].dataType
@@ -164,10 +241,12 @@ def pack_blocks(
     ]
     if extra:
         fields.append(T.StructField("radius", T.DoubleType()))
-    columns = [*keys, id_, vector] + ([extra] if extra else [])
+    if carry:
+        fields.append(T.StructField("carried", T.ArrayType(df.schema[carry].dataType)))
+    columns = [*keys, id_, vector] + ([extra] if extra else []) + ([carry] if carry else [])
     laid = (
         df.select(*columns)
-        .repartitionByRange(*keys, F.xxhash64(id_))
+        .repartitionByRange(*([partitions] if partitions else []), *keys, F.xxhash64(id_))
         .sortWithinPartitions(*keys)
     )
 
@@ -188,6 +267,9 @@ def pack_blocks(
             if extra:
                 row.append(pa.array([float(np.max(t.column(extra).to_numpy()))]))
                 names.append("radius")
+            if carry:
+                row.append(pa.ListArray.from_arrays(pa.array([0, len(data)], pa.int32()), t.column(carry).combine_chunks()))
+                names.append("carried")
             return pa.RecordBatch.from_arrays(row, names=names)
 
         for b in batches:

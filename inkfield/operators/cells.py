@@ -2,6 +2,10 @@
 
 The layout serves the approximate search (a fixed number of cells) and the exact joins (as many cells as
 the triangle inequality demands). A cell is a set of blocks, so a crowded cell is many rows of work.
+
+The exact joins may have to compare everything. Their vectors travel in tiles of some thousands, and each pair of
+tiles meets in a product of the two tables that is not shuffled: what is moved and stored grows with the rows, not
+with the cells that each of them visits.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +29,9 @@ BLOCKS_PER_KEY = 16
 # Cells of the exact joins: the square root of the rows, within these.
 MIN_PIVOTS, MAX_PIVOTS = 16, 4096
 
+# Vectors of a tile of the exact joins.
+TILE_ROWS = 4096
+
 # Rows of visits that a task hands on at a time.
 VISITS_AT_ONCE = 16_384
 
@@ -37,14 +45,15 @@ def pick_pivots(rows: DataFrame, n: int, dim: int) -> np.ndarray:
     return B.matrix_of(top.toArrow().column("v"), dim)
 
 
-def assign(rows: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
-    """(id, v) with the nearest centroid and the distance to it: (id, v, cell, dist)."""
+def assign(rows: DataFrame, centroids: np.ndarray, metric: str, *carry: str) -> DataFrame:
+    """(id, v, *carry) with the nearest centroid and the distance to it: (id, v, *carry, cell, dist)."""
     dim = centroids.shape[1]
     held = rows.sparkSession.sparkContext.broadcast(centroids)
     schema = T.StructType(
         [
             rows.schema["id"],
             rows.schema["v"],
+            *(rows.schema[c] for c in carry),
             T.StructField("cell", T.IntegerType()),
             T.StructField("dist", T.DoubleType()),
         ]
@@ -60,11 +69,38 @@ def assign(rows: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
                 d = B.squared_distances(x[at : at + step], c)
                 cell[at : at + step] = d.argmin(axis=1)
                 dist[at : at + step] = np.sqrt(d.min(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(cell), pa.array(dist)], names=["id", "v", "cell", "dist"]
-            )
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], names=schema.names)
+
+    return rows.select("id", "v", *carry).mapInArrow(run, schema)
+
+
+class Bounds:
+    """Which cells may hold something near a query, by the triangle inequality."""
+
+    def __init__(self, centroids: np.ndarray, cells: dict[int, tuple[float, int]], metric: str):
+        self.names = np.array(sorted(cells), np.int32)
+        self.radii = np.array([cells[c][0] for c in self.names])
+        self.c = B.prepare(centroids[self.names], metric, "corpus")
+        self.gaps = np.sqrt(B.squared_distances(self.c, self.c))
+        self.size = float(np.sqrt(np.einsum("ij,ij->i", self.c, self.c).max()))
 
-    return rows.select("id", "v").mapInArrow(run, schema)
+    def visit(self, q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of prepared queries and their radii, queries by cells: which to visit; and the nearest cell of each."""
+        d2 = B.squared_distances(q, self.c)
+        home = np.argmin(d2, axis=1)
+        # Rounding grows with the vectors' length; two centroids in one place bound nothing.
+        size = max(1.0, self.size, float(np.sqrt(np.einsum("ij,ij->i", q, q).max())))
+        reach = r[:, None] + 1e-6 * size
+        visit = np.sqrt(d2) - self.radii[None, :] <= reach
+        gap = self.gaps[home]
+        plane = (d2 - d2[np.arange(len(q)), home][:, None]) / np.maximum(2 * gap, 1e-6 * size)
+        visit &= (plane <= reach) | (gap <= 1e-6 * size)
+        return visit, home
+
+    def visits(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """What ``visit`` says of any number of queries, some at a time."""
+        step = max(1, 500_000 // len(self.names))
+        return np.concatenate([self.visit(q[at : at + step], r[at : at + step])[0] for at in range(0, len(q), step)])
 
 
 @dataclass
@@ -88,11 +124,6 @@ class CellIndex:
         cells = {s["cell"]: (s["r"], -(-s["n"] // BLOCKS_PER_KEY)) for s in stats}
         return CellIndex(blocks, centroids, metric, blocks.schema["ids"].dataType.elementType, cells)
 
-    def radius_of(self, key: Column) -> Column:
-        """Distance in which everything with at most this key lies."""
-        sq = 2 + 2 * key if self.metric == "cosine" else key
-        return F.sqrt(F.greatest(sq, F.lit(0.0)) + F.lit(1e-8))
-
     def _keyed_blocks(self, only: list[int] | None) -> DataFrame:
         spark = self.blocks.sparkSession
         spread = spark.createDataFrame([(c, s) for c, (_, s) in self.cells.items()], "cell int, spread int")
@@ -121,13 +152,9 @@ class CellIndex:
         )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = np.array(sorted(cells), np.int32)
-            radii = np.array([cells[c][0] for c in names])
+            bounds = Bounds(held.value, cells, metric)
+            names, c = bounds.names, bounds.c
             spread = np.array([cells[c][1] for c in names], np.int64)
-            c = B.prepare(held.value[names], metric, "corpus")
-            if probes is None:
-                gaps = np.sqrt(B.squared_distances(c, c))
-                c_size = float(np.sqrt(np.einsum("ij,ij->i", c, c).max()))
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -135,8 +162,8 @@ class CellIndex:
                 for at in range(0, b.num_rows, step):
                     part = b.slice(at, step)
                     q = B.prepare(B.matrix_of(part.column(1), dim), metric, "query")
-                    d2 = B.squared_distances(q, c)
                     if probes is not None:
+                        d2 = B.squared_distances(q, c)
                         p = min(probes, len(names))
                         near = np.argpartition(d2, p - 1, axis=1)[:, :p] if p < len(names) else None
                         visit = np.ones(d2.shape, bool)
@@ -149,17 +176,9 @@ class CellIndex:
                             r = np.where(np.isnan(r), np.inf, r)
                         else:
                             r = np.full(len(q), radius)
-                        home = np.argmin(d2, axis=1)
-                        rows = np.arange(len(q))
-                        # Rounding grows with the vectors' length; two centroids in one place bound nothing.
-                        size = max(1.0, c_size, float(np.sqrt(np.einsum("ij,ij->i", q, q).max())))
-                        reach = r[:, None] + 1e-6 * size
-                        visit = np.sqrt(d2) - radii[None, :] <= reach
-                        gap = gaps[home]
-                        plane = (d2 - d2[rows, home][:, None]) / np.maximum(2 * gap, 1e-6 * size)
-                        visit &= (plane <= reach) | (gap <= 1e-6 * size)
+                        visit, home = bounds.visit(q, r)
                         if theta:
-                            visit[rows, home] = False
+                            visit[np.arange(len(q)), home] = False
                     qi, ci = np.nonzero(visit)
                     if not len(qi):
                         continue
@@ -236,37 +255,187 @@ class CellIndex:
 
         return self._meet(self._visits(queries, probes, theta, None), **reading).mapInArrow(run, schema)
 
-    def within(self, queries: DataFrame, threshold: float) -> DataFrame:
-        """Pairs (id_a < id_b, score) with a cosine of at least ``threshold``."""
-        dim, metric = self.dim, self.metric
+    def _tiles(self, blocks: DataFrame, radii=None) -> DataFrame:
+        """Blocks of neighbouring cells put together: (tile, cells, sizes, ids, data[, carried][, visits]).
+
+        ``cells`` and ``sizes`` say how many rows of which cell follow each other. ``radii``, a function of what is
+        carried, gives the distance that each row looks around itself; ``visits`` are the cells in reach of any row.
+        """
+        dim, metric, cells = self.dim, self.metric, self.cells
+        held = blocks.sparkSession.sparkContext.broadcast(self.centroids)
+        carried = [f for f in blocks.schema if f.name == "carried"]
+        whole = T.ArrayType(T.IntegerType())
+        fields = [T.StructField("tile", T.LongType()), T.StructField("cells", whole), T.StructField("sizes", whole)]
+        fields += [blocks.schema["ids"], blocks.schema["data"], *carried]
+        fields += [T.StructField("visits", whole)] if radii else []
+        schema = T.StructType(fields)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bounds = Bounds(held.value, cells, metric) if radii else None
+            tile = TaskContext.get().partitionId() << 33
+
+            def together(rows: list[dict]) -> pa.RecordBatch:
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                data = b"".join(r["data"] for r in rows)
+                sizes = pa.array([len(r["ids"]) for r in rows], pa.int32())
+                out = [pa.array([tile]), one(pa.array([r["cell"] for r in rows], pa.int32())), one(sizes)]
+                out += [one(pa.concat_arrays([r["ids"] for r in rows])), pa.array([data], pa.binary())]
+                if carried:
+                    values = pa.concat_arrays([r["carried"] for r in rows])
+                    out.append(one(values))
+                if bounds:
+                    q = B.prepare(np.frombuffer(data, np.float32).reshape(-1, dim), metric, "query")
+                    visit = bounds.visits(q, radii(values.to_numpy(zero_copy_only=False))).any(axis=0)
+                    out.append(one(pa.array(bounds.names[visit])))
+                return pa.RecordBatch.from_arrays(out, names=schema.names)
+
+            rows, n = [], 0
+            for b in batches:
+                at = {name: b.column(k) for k, name in enumerate(b.schema.names)}
+                for i in range(b.num_rows):
+                    ids = at["ids"][i].values
+                    if rows and n + len(ids) > TILE_ROWS:
+                        yield together(rows)
+                        rows, n, tile = [], 0, tile + 1
+                    row = {"cell": at["cell"][i].as_py(), "ids": ids, "data": at["data"][i].as_py()}
+                    rows.append(row | ({"carried": at["carried"][i].values} if carried else {}))
+                    n += len(ids)
+            if rows:
+                yield together(rows)
+
+        return blocks.select("cell", "ids", "data", *(f.name for f in carried)).mapInArrow(run, schema)
+
+    def _product(self, q: DataFrame, c: DataFrame, tasks: int, only=None) -> DataFrame:
+        """Pairs of tiles of which the first visits cells of the second; nothing is shuffled.
+
+        A task holds a partition of ``q``, some tiles, and reads ``c`` once, or a part of it where the ``tasks`` are few.
+        """
+        parts = max(1, 2 * q.sparkSession.sparkContext.defaultParallelism // tasks)
+        q = q.select(*(F.col(x).alias(f"q_{x}") for x in q.columns))
+        c = c.coalesce(parts).select(*(F.col(x).alias(f"c_{x}") for x in c.columns if x != "visits"))
+        meet = F.arrays_overlap("q_visits", "c_cells")
+        c = c.hint("shuffle_replicate_nl")
+        # The side named first is read as a stream, the other one is held.
+        return c.join(q, meet if only is None else meet & only).drop("q_visits")
+
+    def nearest(self, queries: DataFrame, k: int, kth: str) -> DataFrame:
+        """Up to k hits per query and part of the corpus: (query_id, id, key); rank them with ``top_k``.
+
+        The column ``kth`` is a key within which the query has k hits, inf where that is not known.
+        """
+        dim, metric, cells = self.dim, self.metric, self.cells
+        radii = lambda keys: radii_of(keys, metric)
+        held = queries.sparkSession.sparkContext.broadcast(self.centroids)
+        assigned = assign(queries, self.centroids, metric, kth)
+        parts = max(1, -(-queries.count() // TILE_ROWS))
+        q = self._tiles(B.pack_blocks(assigned, ["cell"], "id", "v", dim, carry=kth, partitions=parts), radii)
+        c = materialize(self._tiles(self.blocks.drop("carried")), "tiles")
+        schema = T.StructType(
+            [
+                T.StructField("query_id", queries.schema["id"].dataType),
+                T.StructField("id", self.id_type),
+                T.StructField("key", T.DoubleType()),
+            ]
+        )
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bounds = Bounds(held.value, cells, metric)
+            searches = {}
+            for row in _rows(batches):
+                tile = row["q_tile"].as_py()
+                if tile not in searches:
+                    known = row["q_carried"].values.to_numpy(zero_copy_only=False)
+                    found = B.Nearest(_matrix(row["q_data"], dim), known, k, metric)
+                    ids = row["q_ids"].values.take(pa.array(np.arange(len(known))))  # a copy, as the batch goes
+                    searches[tile] = ids, found, bounds.visits(found.q, radii(known))
+                _, found, visits = searches[tile]
+                q_at, c_at = _in_reach(row, bounds, visits)
+                if len(q_at):
+                    c_ids = row["c_ids"].values
+                    every = len(c_at) == len(c_ids)
+                    c = _matrix(row["c_data"], dim)
+                    found.see(q_at, c if every else c[c_at], c_ids if every else c_ids.take(pa.array(c_at)))
+            for q_ids, found, _ in searches.values():
+                if found.found:
+                    qi, ids, key = found.found
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(qi)), pa.array(ids), pa.array(key)], names=schema.names)
+
+        return self._product(q, c, parts).mapInArrow(run, schema)
+
+    def pairs(self, threshold: float) -> DataFrame:
+        """Pairs of the vectors, for cosine cells with something carried: (id_a < id_b, score, carried_a, carried_b).
+
+        Two tiles are compared once, by a task that a hash of both chooses.
+        """
+        dim, metric, cells = self.dim, self.metric, self.cells
         radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
+        radii = lambda values: np.full(len(values), radius)
+        held = self.blocks.sparkSession.sparkContext.broadcast(self.centroids)
+        carried = self.blocks.schema["carried"].dataType.elementType
         schema = T.StructType(
             [
-                T.StructField("id_a", queries.schema["id"].dataType),
+                T.StructField("id_a", self.id_type),
                 T.StructField("id_b", self.id_type),
                 T.StructField("score", T.DoubleType()),
+                T.StructField("carried_a", carried),
+                T.StructField("carried_b", carried),
             ]
         )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    q_ids, q, c_ids, c = _sides(b, i, dim)
-                    left, right = B.ids_of(q_ids), B.ids_of(c_ids)
-                    for qi, ci, key in B.block_within(
-                        B.prepare(q, metric, "query"), B.prepare(c, metric, "corpus"), radius, metric, -threshold
-                    ):
-                        ordered = left[qi] < right[ci]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                q_ids.take(pa.array(qi[ordered])),
-                                c_ids.take(pa.array(ci[ordered])),
-                                pa.array(-key[ordered]),
-                            ],
-                            names=["id_a", "id_b", "score"],
-                        )
+            bounds = Bounds(held.value, cells, metric)
+            tiles = {}
+            for row in _rows(batches):
+                tile = row["q_tile"].as_py()
+                if tile not in tiles:
+                    q = B.prepare(_matrix(row["q_data"], dim), metric, "query")
+                    more = row["q_carried"].values.to_numpy(zero_copy_only=False).copy()
+                    tiles[tile] = q, B.ids_of(row["q_ids"].values).copy(), more, bounds.visits(q, radii(q))
+                q, left, left_more, visits = tiles[tile]
+                q_at, c_at = _in_reach(row, bounds, visits)
+                if not len(q_at):
+                    continue
+                c = B.prepare(_matrix(row["c_data"], dim), metric, "corpus")[c_at]
+                right, right_more = B.ids_of(row["c_ids"].values), row["c_carried"].values.to_numpy(zero_copy_only=False)
+                same = tile == row["c_tile"].as_py()
+                for qi, ci, score in B.block_cosines(q[q_at], c, threshold):
+                    qi, ci = q_at[qi], c_at[ci]
+                    a, b = left[qi], right[ci]
+                    keep = a < b if same else a != b
+                    qi, ci, a, b, score = (x[keep] for x in (qi, ci, a, b, score))
+                    first = a < b
+                    ids = np.where(first, a, b), np.where(first, b, a)
+                    m, n = left_more[qi], right_more[ci]
+                    more = np.where(first, m, n), np.where(first, n, m)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*ids, score, *more)], names=schema.names)
+
+        tiles = materialize(self._tiles(self.blocks, radii), "tiles")
+        pair = F.pmod(F.xxhash64(F.least("q_tile", "c_tile"), F.greatest("q_tile", "c_tile")), F.lit(2)) == 0
+        once = (F.col("q_tile") == F.col("c_tile")) | ((F.col("q_tile") < F.col("c_tile")) == pair)
+        parts = max(1, tiles.count())
+        return self._product(tiles.repartition(parts), tiles, parts, once).mapInArrow(run, schema)
+
+
+def radii_of(keys: np.ndarray, metric: str) -> np.ndarray:
+    """Distances in which everything with at most these keys lies."""
+    return np.sqrt(np.maximum(2 + 2 * keys if metric == "cosine" else keys, 0.0) + 1e-8)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {name: b.column(k)[i] for k, name in enumerate(b.schema.names)}
+
+
+def _matrix(data: pa.Scalar, dim: int) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), np.float32).reshape(-1, dim)
+
 
-        return self._meet(self._visits(queries, None, None, radius)).mapInArrow(run, schema)
+def _in_reach(row: dict[str, pa.Scalar], bounds: Bounds, visits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first tile that visit a cell of the second, and rows of the second in cells that are visited."""
+    visit = visits[:, np.searchsorted(bounds.names, row["c_cells"].values.to_numpy())]
+    sizes = row["c_sizes"].values.to_numpy()
+    return np.flatnonzero(visit.any(axis=1)), np.flatnonzero(np.repeat(visit.any(axis=0), sizes))
 
 
 def _sides(b: pa.RecordBatch, i: int, dim: int):
@@ -276,9 +445,10 @@ def _sides(b: pa.RecordBatch, i: int, dim: int):
     return b.column(0)[i].values, q, b.column(2)[i].values, c
 
 
-def build_cells(rows: DataFrame, dim: int, metric: str, pivots: int | None = None) -> CellIndex:
-    """Cells around pivots taken from the rows, for the exact joins."""
+def build_cells(rows: DataFrame, dim: int, metric: str, pivots: int | None = None, carry: str | None = None) -> CellIndex:
+    """Cells around pivots taken from the rows, for the exact joins; the blocks also hold the column ``carry``."""
     n = pivots or int(min(MAX_PIVOTS, max(MIN_PIVOTS, rows.count() ** 0.5)))
     centroids = pick_pivots(rows, n, dim)
-    packed = B.pack_blocks(assign(rows, centroids, metric), ["cell"], "id", "v", dim, extra="dist")
+    assigned = assign(rows, centroids, metric, *([carry] if carry else []))
+    packed = B.pack_blocks(assigned, ["cell"], "id", "v", dim, extra="dist", carry=carry)
     return CellIndex.open(materialize(packed, "cells"), centroids, metric)

@@ -135,7 +135,7 @@ def knn_join(corpus: DataFrame, queries: DataFrame, dim: int, k: int, metric: st
 
     Both sides are (id, v). Copies are searched once. The corpus is cut into cells around pivots; each
     query first visits its nearest cell, which bounds its k-th distance, and then only those cells that
-    the triangle inequality cannot rule out. Nothing is sampled away: pivots only shape the cells.
+    the triangle inequality cannot rule out, in tiles of queries and of the corpus that are not shuffled. Nothing is sampled away: pivots only shape the cells.
     """
     reps = queries.groupBy("v").agg(F.min("id").alias("id"))
     reps = materialize(reps.select("id", "v"), "knn-queries")
@@ -143,13 +143,11 @@ def knn_join(corpus: DataFrame, queries: DataFrame, dim: int, k: int, metric: st
     index = build_cells(distinct, dim, metric, pivots=pivots)
     near = materialize(index.search(reps, k, probes=1), "knn-near")
     bound = top_k(near, k).groupBy("query_id").agg(F.max("key").alias("kth"), F.count("*").alias("n"))
-    theta = F.when(F.col("n") >= k, index.radius_of(F.col("kth")))
-    bounded = (
-        reps.join(bound, reps["id"] == bound["query_id"], "left").select("id", "v", theta.alias("theta"))
-    )
-    rest = index.search(bounded, k, theta="theta")
+    kth = F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(float("inf")))
+    bounded = reps.join(bound, reps["id"] == bound["query_id"], "left").select("id", "v", kth.alias("kth"))
+    found = index.nearest(bounded, k, "kth")
     # Written, so that the join below is of two plain shuffles and a vector with many owners can be split.
-    hits = materialize(top_k(near.unionByName(rest), k), "knn-hits").select(
+    hits = materialize(top_k(found, k), "knn-hits").select(
         F.col("query_id").alias("__rep"), F.col("id").alias("hit"), "key"
     )
     owners = queries.join(reps.select(F.col("id").alias("__rep"), "v"), "v").select(F.col("id").alias("query_id"), "__rep")
@@ -171,15 +169,9 @@ def similar_pairs(
     _, dim = matrix_shape(named, "v")
     reps = named.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     reps = materialize(reps.select("id", "v", "n"), "pair-reps")
-    nonzero = reps.where(F.exists("v", lambda x: x != 0))
-    index = build_cells(nonzero.select("id", "v"), dim, "cosine", pivots=pivots)
-    pairs = index.within(nonzero.select("id", "v"), threshold)
-    n = reps.select("id", "n")
-    return (
-        pairs.join(n.select(F.col("id").alias("id_a"), F.col("n").alias("n_a")), "id_a")
-        .join(n.select(F.col("id").alias("id_b"), F.col("n").alias("n_b")), "id_b")
-        .select("id_a", "id_b", "score", "n_a", "n_b")
-    )
+    nonzero = reps.where(F.exists("v", lambda x: x != 0) & F.col("id").isNotNull())
+    pairs = build_cells(nonzero, dim, "cosine", pivots=pivots, carry="n").pairs(threshold)
+    return pairs.withColumnsRenamed({"carried_a": "n_a", "carried_b": "n_b"})
 
 
 def score_against(corpus: DataFrame, query: list[float], metric: str, *, id_: str, vector: str) -> DataFrame:
